@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, line_dedup
+from wayfold.llm import exact_dedup, line_dedup, packing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_token_files": token_files.op3_token_files,
+        "op4_packing": packing.op4_packing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
     }
 
