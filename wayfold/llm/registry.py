@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, line_dedup, packing, token_files
+from wayfold.llm import exact_dedup, line_dedup, packing, token_files, word_bpe
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
+        "op5_word_bpe": word_bpe.op5_word_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
     }
 
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op5_word_bpe": word_bpe.op5_word_bpe,
         "op7_line_dedup": line_dedup.ORACLE,
     }
