@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, line_dedup, packing, secret_scan, token_files, word_bpe
+from wayfold.llm import exact_dedup, line_dedup, near_dedup, packing, secret_scan, token_files, word_bpe
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_word_bpe": word_bpe.op5_word_bpe,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
@@ -20,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
+        "op8_near_dedup": near_dedup.ORACLE,
         "op10_secret_scan": secret_scan.ORACLE,
     }
