@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, line_dedup, near_dedup, packing, secret_scan, token_files, word_bpe
+from wayfold.llm import exact_dedup, line_dedup, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_top_k": vector_search.op2_top_k,
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
         "op5_word_bpe": word_bpe.op5_word_bpe,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_top_k": vector_search.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_near_dedup": near_dedup.ORACLE,
         "op10_secret_scan": secret_scan.ORACLE,
