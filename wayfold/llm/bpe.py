@@ -1,28 +1,34 @@
 """Byte-pair ids by the tokenizers library, encoding each distinct chunk once.
 
 A byte-level tokenizer cuts a text with a fixed pattern before it merges
-bytes, and a space that stands alone always begins a new piece.  So a text
-without two neighbouring white-space characters can be cut at its spaces and
-line ends, and the ids of the text are the ids of the chunks in a row.  Every
-other text, and any text that holds the string of a special token, is given
-to the library whole.
+bytes.  In a text without two neighbouring white-space characters a piece
+always begins at a space, at a line end, after a line end, and where ASCII
+punctuation follows an ASCII letter.  Such a text is cut there, and its ids are
+the ids of its chunks in a row.  Every other text, and any text that holds the
+string of a special token, is given to the library whole.
+
+Chunks are cut and looked up with numpy, over the bytes of many texts at once:
+a chunk is known by two 64-bit hashes, and the library encodes those that are
+not known yet.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries after which a worker forgets its chunks; this only costs encoding them again.
-CACHE_ENTRIES = 400_000
-#: Characters that are cut and looked up at a time.
-SLICE_CHARS = 1_000_000
+#: Chunks after which a worker forgets them; this only costs encoding them again.
+MOST_CHUNKS = 1_500_000
+#: Bytes that are cut at a time; a text with more is given to the library whole.
+BLOCK_BYTES = 1 << 20
+#: Documents that are encoded at a time.
+BLOCK_DOCS = 1024
 
-_TWO_SPACES = re.compile(r"\s\s")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -37,20 +43,108 @@ def load(path: str):
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer file; its cache outlives a task."""
+    """This worker's encoder for a tokenizer file; what it knows outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit integers."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class SpanHash:
+    """64-bit hashes of many spans of a block of bytes, from one running sum."""
+
+    def __init__(self, seed: int, factor: int, size: int):
+        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
+        self.power = np.cumprod(np.full(size + 1, factor, dtype=np.uint64))
+        self.inverse = np.cumprod(np.full(size + 1, pow(factor, -1, 1 << 64), dtype=np.uint64))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
+        return mix((total[ends] - total[starts]) * self.inverse[starts])
+
+
+class ChunkTable:
+    """Open addressing from a pair of hashes to a run of ids."""
+
+    def __init__(self, most: int):
+        self.size = 1 << max(10, (2 * most - 1).bit_length())
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(self.size, dtype=np.uint64)
+        self.entry = np.zeros(self.size, dtype=np.int32)
+        self.n = self.n_ids = 0
+        self.check = np.empty(1024, dtype=np.uint64)
+        self.start = np.empty(1024, dtype=np.int64)
+        self.length = np.empty(1024, dtype=np.int64)
+        self.ids = np.empty(4096, dtype=np.uint32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entries, -1 where there is none."""
+        found = np.full(len(key), -1, dtype=np.int64)
+        left = np.arange(len(key))
+        slot = (key & np.uint64(self.size - 1)).astype(np.int64)
+        while len(left):
+            held = self.key[slot]
+            same = held == key[left]
+            found[left[same]] = self.entry[slot[same]]
+            go = ~same & (held != 0)
+            left, slot = left[go], (slot[go] + 1) & (self.size - 1)
+        known = found >= 0
+        if (self.check[found[known]] != check[known]).any():
+            raise RuntimeError("two chunks share a hash")  # under 1e-6 in a lifetime of the table
+        return found
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New, distinct keys; the table has room for them."""
+        n, n_ids = self.n + len(key), self.n_ids + len(ids)
+        for name, need in (("check", n), ("start", n), ("length", n), ("ids", n_ids)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.empty(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+        at = slice(self.n, n)
+        self.check[at], self.length[at] = check, lengths
+        self.start[at] = self.n_ids + np.cumsum(lengths) - lengths
+        self.ids[self.n_ids : n_ids] = ids
+        number = np.arange(self.n, n, dtype=np.int32)
+        slot = (key & np.uint64(self.size - 1)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            free = np.flatnonzero(self.key[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[slot[put]], self.entry[slot[put]] = key[left[put]], number[left[put]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & (self.size - 1)
+        self.n, self.n_ids = n, n_ids
+
+    def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the entries in a row, and the number of each."""
+        lengths = self.length[entries]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.start[entries] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[at], lengths
+
+
 class ChunkEncoder:
-    """Texts to ids as little-endian unsigned 32-bit integers."""
+    """Texts to ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_CHUNKS):
         self.tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         cut = spec["pre_tokenizer"] or {}
         self.can_cut = (
             spec["normalizer"] is None
@@ -59,78 +153,115 @@ class ChunkEncoder:
             and (cut.get("type"), cut.get("use_regex"), cut.get("add_prefix_space")) == ("ByteLevel", True, False)
         )
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.chunks: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-            self.chunks[""] = b""
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(part))).tolist()
-            flat, start = ids.tobytes(), 0
-            for chunk, end in zip(part, ends):
-                self.chunks[chunk] = flat[4 * start : 4 * end]
-                start = end
-
-    def _cut(self, text: str) -> Iterator[list[str]]:
-        """Lists of chunks; a long text comes in several lists."""
-        at = 0
-        while len(text) - at > 2 * SLICE_CHARS and (end := text.find(" ", at + SLICE_CHARS)) > 0:
-            yield text[at:end].replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-            at = end
-        yield text[at:].replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], []
-        for i, text in enumerate(texts):
-            plain = self.can_cut and "\0" not in text and not any(s in text for s in self.special)
-            (cut if plain and not _TWO_SPACES.search(text) else whole).append(i)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])) if whole else ():
+        self.table = ChunkTable(most)
+        self.hash = SpanHash(0x9E3779B97F4A7C15, 0xD1342543DE82EF95, BLOCK_BYTES)
+        self.second = SpanHash(0xA0761D6478BD642F, 0xDA942042E4DD58B5, BLOCK_BYTES)
+        kind = np.zeros(256, dtype=np.uint8)
+        letters = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]
+        space = [*range(0x09, 0x0E), *range(0x1C, 0x21)]
+        marks = [c for c in range(0x21, 0x7F) if c not in letters and not 0x30 <= c <= 0x39]
+        kind[letters], kind[space], kind[marks] = 1, 2, 3
+        kind[[0xC2, 0xE1, 0xE2, 0xE3]] = 4  # may begin a white-space character
+        self.kind = kind
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _whole(self, data: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut."""
+        odd = np.zeros(len(bounds), dtype=bool)  # one more than there are texts
+        white = kind == 2
+        at = np.flatnonzero(kind == 4)
+        if len(at):
+            padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
+            a, b, c = padded[at], padded[at + 1], padded[at + 2]
+            wide = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+            three = a << 16 | b << 8 | c
+            wide |= (three == 0xE19A80) | (three >= 0xE28080) & (three <= 0xE2808A) | (three == 0xE38080)
+            wide |= np.isin(three, [0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F])
+            odd[np.searchsorted(bounds, at[wide], side="right") - 1] = True
+        twice = np.flatnonzero(white[1:] & white[:-1]) + 1
+        odd[np.searchsorted(bounds, twice, side="right") - 1] = True
+        raw = data.tobytes()
+        for s in self.special:
+            x = raw.find(s)
+            while x >= 0:
+                odd[np.searchsorted(bounds, x, side="right") - 1] = True
+                x = raw.find(s, x + 1)
+        return odd[:-1]
+
+    def encode_block(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of the texts between ``bounds``, at most BLOCK_BYTES together."""
+        n = len(bounds) - 1
+        kind = self.kind[data]
+        whole = self._whole(data, kind, bounds) if self.can_cut else np.ones(n, dtype=bool)
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        if len(data):
+            line = data == 0x0A
+            cut[:-1] = line | (data == 0x20)
+            cut[1:] |= line
+            cut[1:-1] |= (kind[1:] == 3) & (kind[:-1] == 1)
+        cut[bounds] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        ours = ~whole[text]
+        starts, ends, text = starts[ours], ends[ours], text[ours]
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * n
+        if len(starts):
+            key, check = self.hash(data, starts, ends), self.second(data, starts, ends)
+            key[key == 0] = 1
+            entries = self.table.find(key, check)
+            if (entries < 0).any():
+                self._learn(data, starts, ends, key, check, entries)
+                entries = self.table.find(key, check)
+            ids, lengths = self.table.runs(entries)
+            after = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(text, np.arange(n + 1))].tolist()
+            for i, (a, b) in enumerate(zip(after[:-1], after[1:])):
+                out[i] = ids[a:b]
+        at = np.flatnonzero(whole).tolist()
+        for i, ids in zip(at, self._library([data[bounds[i] : bounds[i + 1]].tobytes().decode() for i in at])) if at else ():
             out[i] = ids
-        held, size = [], 0
-        for i in cut:
-            if len(texts[i]) > SLICE_CHARS:
-                out[i] = b"".join(self._look_up([part])[0] for part in self._cut(texts[i]))
-                continue
-            held.append(i)
-            size += len(texts[i])
-            if size >= SLICE_CHARS:
-                self._fill(out, texts, held)
-                held, size = [], 0
-        if held:
-            self._fill(out, texts, held)
         return out
 
-    def _fill(self, out: list[bytes], texts: list[str], at: list[int]) -> None:
-        for i, ids in zip(at, self._look_up([next(self._cut(texts[i])) for i in at])):
-            out[i] = ids
+    def _learn(self, data, starts, ends, key, check, entries) -> None:
+        first = np.unique(key[entries < 0], return_index=True)[1]
+        new = np.flatnonzero(entries < 0)[first]
+        if self.table.n + len(new) > self.table.most:
+            self.table.clear()
+            new = np.unique(key, return_index=True)[1]
+        raw = data.tobytes()
+        chunks = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], dtype=np.int64)
+        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
+        self.table.add(key[new], check[new], flat, lengths)
 
-    def _look_up(self, parts: list[list[str]]) -> list[bytes]:
-        wanted = set().union(*parts)
-        new = wanted.difference(self.chunks)
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-            self.chunks[""] = b""
-            new = wanted - {""}
-        if new:
-            self._learn(sorted(new))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, part)) for part in parts]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null is an empty text."""
+        texts = texts.cast(pa.string())
+        n = len(texts)
+        if not n:
+            return []
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        out: list[np.ndarray] = []
+        at = 0
+        while at < n:
+            to = int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES, side="right")) - 1
+            if to <= at:  # a text beyond the block
+                out += self._library([data[bounds[at] : bounds[at + 1]].tobytes().decode()])
+                to = at + 1
+            else:
+                out += self.encode_block(data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
+            at = to
+        return out
 
 
-def encode_documents(batches: Iterable, path: str) -> Iterator[tuple[list, list[bytes]]]:
+def encode_documents(batches: Iterable, path: str) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(doc_ids, ids) of Arrow batches with the columns doc_id and text, a few at a time."""
     run = encoder(path)
     for batch in batches:
-        ids, texts = batch.column("doc_id"), batch.column("text")
-        for at in range(0, batch.num_rows, 512):
-            part = [t or "" for t in texts.slice(at, 512).to_pylist()]
-            yield ids.slice(at, 512).to_pylist(), run.encode(part)
+        ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+        for at in range(0, batch.num_rows, BLOCK_DOCS):
+            yield ids.slice(at, BLOCK_DOCS).to_pylist(), run.encode(texts.slice(at, BLOCK_DOCS))

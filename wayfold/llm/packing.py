@@ -129,7 +129,7 @@ def harmonic_pack(
         packer = HarmonicPacker(capacity, smallest, TaskContext.get().partitionId() * NUMBERS)
         for doc_ids, encoded in bpe.encode_documents(batches, tokenizer):
             for doc_id, ids in zip(doc_ids, encoded):
-                packer.add(doc_id, ids + end)
+                packer.add(doc_id, ids.astype("<u4").tobytes() + end)
             if len(packer.out) >= ROWS:
                 yield from packer.take()
         packer.finish()

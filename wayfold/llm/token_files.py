@@ -189,7 +189,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             w = TokenFileWriter(out, width)
             while first is not None:
                 for doc_id, ids in zip(*first):
-                    w.add(doc_id, np.concatenate([np.frombuffer(ids, dtype="<u4"), end]))
+                    w.add(doc_id, np.concatenate([ids, end]))
                 first = next(groups, None)
             w.finish()
         yield pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(w.ends)], "n_ids": [w.n_ids]})
