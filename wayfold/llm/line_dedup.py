@@ -60,8 +60,10 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     * A null or empty text is one empty line, which stays.
     * Rows that repeat a doc_id are one document to the count, and each is
       cleaned alike; rows without a doc_id are not counted and stay whole.
-    * Other columns pass through; names that start with ``_ld_`` are reserved.
+    * Other columns pass through; columns of the three names are replaced, and
+      names that start with ``_ld_`` are reserved.
     """
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
     work = Workspace(docs.sparkSession, "line-dedup")
     shared = work.table(shared_lines(docs, min_docs), "shared")
     each = with_lines(docs.select("doc_id", "text")).select(
