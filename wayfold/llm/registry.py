@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, line_dedup, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
+from wayfold.llm import exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_files": token_files.op3_token_files,
         "op4_packing": packing.op4_packing,
         "op5_word_bpe": word_bpe.op5_word_bpe,
+        "op6_language_id": language_id.op6_language_id,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op10_secret_scan": secret_scan.op10_secret_scan,
