@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, language_id, line_dedup, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
+from wayfold.llm import exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": language_id.op6_language_id,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_near_dedup": near_dedup.op8_near_dedup,
+        "op9_lm_score": lm_score.op9_lm_score,
         "op10_secret_scan": secret_scan.op10_secret_scan,
     }
 
