@@ -23,11 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks after which a worker forgets them; this only costs encoding them again.
-MOST_CHUNKS = 1_500_000
+MOST_CHUNKS = 600_000
 #: Bytes that are cut at a time; a text with more is given to the library whole.
-BLOCK_BYTES = 1 << 20
-#: Documents that are encoded at a time.
-BLOCK_DOCS = 1024
+BLOCK_BYTES = 1 << 19
+#: Documents, and new chunks, that are encoded at a time.
+BLOCK_DOCS, BLOCK_CHUNKS = 512, 4096
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -85,8 +85,8 @@ class ChunkTable:
         self.entry = np.zeros(self.size, dtype=np.int32)
         self.n = self.n_ids = 0
         self.check = np.empty(1024, dtype=np.uint64)
-        self.start = np.empty(1024, dtype=np.int64)
-        self.length = np.empty(1024, dtype=np.int64)
+        self.start = np.empty(1024, dtype=np.int32)
+        self.length = np.empty(1024, dtype=np.int32)
         self.ids = np.empty(4096, dtype=np.uint32)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ class ChunkTable:
 
     def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the entries in a row, and the number of each."""
-        lengths = self.length[entries]
+        lengths = self.length[entries].astype(np.int64)
         ends = np.cumsum(lengths)
         at = np.repeat(self.start[entries] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self.ids[at], lengths
@@ -231,11 +231,13 @@ class ChunkEncoder:
             self.table.clear()
             new = np.unique(key, return_index=True)[1]
         raw = data.tobytes()
-        chunks = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
-        self.table.add(key[new], check[new], flat, lengths)
+        for at in range(0, len(new), BLOCK_CHUNKS):
+            part = new[at : at + BLOCK_CHUNKS]
+            chunks = [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            lengths = np.array([len(x) for x in found], dtype=np.int64)
+            flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
+            self.table.add(key[part], check[part], flat, lengths)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null is an empty text."""
