@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: The suffixes of the road tiers, the longest first, and the label of all others.
@@ -20,7 +21,7 @@ def compact(name: Column) -> Column:
     return F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", "")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode's composed form, for which Spark has no function."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
