@@ -108,13 +108,13 @@ def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: s
         if not p or p == n:
             part = rows.filter(F.col(group) == g).select(key, group, "label", F.lit(p / n if n else None).alias("score"))
         else:
-            weighted = train.withColumn("w", F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))))
-            assembler = VectorAssembler(inputCols=features, outputCol="raw")
-            scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
+            weighted = train.withColumn("_w", F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))))
+            assembler = VectorAssembler(inputCols=features, outputCol="_raw")
+            scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
             if kind == "logistic":
-                model = LogisticRegression(featuresCol="x", weightCol="w", regParam=1 / n, standardization=False)
+                model = LogisticRegression(featuresCol="_x", weightCol="_w", regParam=1 / n, standardization=False)
             else:
-                model = RandomForestClassifier(featuresCol="x", weightCol="w", numTrees=50, minInstancesPerNode=5, seed=seed)
+                model = RandomForestClassifier(featuresCol="_x", weightCol="_w", numTrees=50, minInstancesPerNode=5, seed=seed)
             fitted = Pipeline(stages=[assembler, scaler, model]).fit(weighted)
             scored = fitted.transform(rows.filter(F.col(group) == g))
             part = scored.select(key, group, "label", vector_to_array("probability")[1].alias("score"))

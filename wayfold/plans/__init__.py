@@ -1,6 +1,6 @@
 """Queries over the driver's tables."""
 
-from wayfold.plans import judgements, lines, networks, places, profiles, series, texts
+from wayfold.plans import judgements, lines, networks, places, profiles, series, sites, texts
 from wayfold.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "judgements", "lines", "networks", "places", "profiles", "series", "texts"]
+__all__ = ["ORACLES", "QUERIES", "judgements", "lines", "networks", "places", "profiles", "series", "sites", "texts"]
