@@ -37,10 +37,20 @@ class Workspace:
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a reader of what was written."""
-        where = self.folder(name)
-        df.write.mode("overwrite").parquet(where)
+    def table(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return a reader of what was written.
+
+        ``batch_rows`` bounds the Arrow batches that Python workers get while
+        it is written, for rows of many kilobytes.
+        """
+        where, key = self.folder(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if batch_rows is not None:
+            self.spark.conf.set(key, str(batch_rows))
+        try:
+            df.write.mode("overwrite").parquet(where)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self) -> None:
