@@ -208,6 +208,31 @@ def test_resolution_traced_by_hand():
     assert got == {9: ("confirmed", 0), 1: ("confirmed", 0), 2: ("rerouted", 0), 3: ("delayed", 2), 8: ("unresolved", 0), 5: ("advice", 0), 6: ("delayed", 2), 7: ("unresolved", 0)}
 
 
+def test_staging_traced_by_hand():
+    free = {(link, s): n for link, n in ((1, 2), (2, 3), (3, 9)) for s in range(3)} | {(1, 0): 1}
+    # link 1 has no spare lane in slot 0; link 2 takes two; then 1 takes one from slot 1
+    assert slots.stage_vehicles([(1, 2), (2, 3)], free, 2) == [(0, 2), (0, 2), (1, 1)]
+    assert slots.stage_vehicles([(1, 2), (2, 3)], free, 2, keep=(2,)) == [(1, 1)]
+
+
+def test_general_requests_under_observed_capacity():
+    got = slots.place_general(
+        [request(2, "general", 0, 1, [1]), request(1, "general", 0, 1, [1]), request(3, "general", 0, 1, [1]), request(4, "general", 0, 1, [1])],
+        {1: 1},
+        {(1, 1): 0},
+        {},
+    )
+    # slot 1 is shut by observation: 1 at once, 2 two late, the others not
+    assert [(d["id"], d["status"], d["delay"]) for d in got] == [(1, "confirmed", 0), (2, "delayed", 2), (3, "unresolved", 0), (4, "unresolved", 0)]
+
+
+def test_staging_candidates_in_order(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 2)], "link_id long, lanes int")
+    reach = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "link_id long, hop int")
+    water = spark.createDataFrame([(1, 5.0), (3, 5.0)], "link_id long, d double")
+    assert [r.link_id for r in slots.staging_candidates(links, reach, water).collect()] == [3, 1, 4]
+
+
 def test_affected_decisions(spark):
     rows = [(1, 1, True, 0, 2, [5]), (1, 2, True, 2, 1, [5]), (1, 3, True, 3, 1, [6]), (1, 4, False, 3, 1, [5])]
     done = spark.createDataFrame(rows, "scenario long, id long, done boolean, slot int, hold int, route array<long>")

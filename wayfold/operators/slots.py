@@ -183,6 +183,48 @@ def staging_candidates(links: DataFrame, reach: DataFrame, water: DataFrame) ->
     return links.join(reach, "link_id").join(water, "link_id", "left").filter("lanes >= 2").orderBy(F.asc_nulls_last("d"), "hop", "link_id")
 
 
+def stage_vehicles(
+    candidates: list[tuple[int, int]], free: dict[tuple[int, int], int], last: int, most: int = 3, keep: tuple[int, ...] = ()
+) -> list[tuple[int, int]]:
+    """(slot, link) of vehicles that wait from a slot to the last one.
+
+    ``candidates`` are (link, lanes) in their order of preference; ``free`` the
+    lanes left of each (link, slot).  Slot by slot the candidates are scanned from
+    the start again after each placement; a place must be free to the end and
+    leave a lane to pass.  Links in ``keep`` stay open.
+    """
+    left, out = dict(free), []
+    for slot in range(last + 1):
+        placed = True
+        while placed and len(out) < most:
+            placed = False
+            for link, _ in candidates:
+                cells = [(link, s) for s in range(slot, last + 1)]
+                if link not in keep and all(left.get(c, 0) >= 2 for c in cells):
+                    for c in cells:
+                        left[c] -= 1
+                    out.append((slot, link))
+                    placed = True
+                    break
+    return out
+
+
+def place_general(requests: list[dict], lanes: dict[int, int], observed: dict[tuple[int, int], int], used: dict[tuple[int, int], int]) -> list[dict]:
+    """General requests in order of id, in their slot or up to two later, under observed capacity where there is one."""
+    used, out = dict(used), []
+    for r in sorted(requests, key=lambda r: r["id"]):
+        status, delay = "unresolved", 0
+        for d in range(GENERAL_DELAY + 1):
+            cells = [(link, s) for link in r["route"] for s in range(r["slot"] + d, r["slot"] + d + r["hold"])]
+            if cells and all(used.get(c, 0) < observed.get(c, lanes.get(c[0], 0)) for c in cells):
+                for c in cells:
+                    used[c] = used.get(c, 0) + 1
+                status, delay = ("confirmed" if d == 0 else "delayed"), d
+                break
+        out.append({"id": r["id"], "status": status, "delay": delay})
+    return out
+
+
 def greedy_removal(pairs: DataFrame, key: str) -> DataFrame:
     """(key, id) of rows that fall to an earlier kept one: keep i, drop a later j that is paired with it.
 
