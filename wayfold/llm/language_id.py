@@ -26,13 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayfold.llm.workers import tidy
+
 DOCS_PER_LANGUAGE, SPANS, SPAN_WORDS, MOST_LANGUAGES = 400, 6, 24, 64
 #: Weights of the n-grams, words of each lexicon, words of a chain.
 SLOTS, LEXICON, CHAIN = 1 << 18, 2000, 128
 GRAMS = (2, 3, 4)
 ROUNDS, RATE, DECAY, SEED = 60, 0.3, 1e-4, 7
 #: Words whose scores a worker keeps; documents that are labelled at a time.
-CACHE_WORDS, BATCH_DOCS, BATCH_WORDS = 400_000, 256, 400_000
+CACHE_WORDS, BATCH_DOCS, BATCH_WORDS = 250_000, 256, 200_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -210,6 +212,7 @@ def learn(docs: DataFrame) -> Crf | None:
         .select("doc_id", "lang")
     )
 
+    @tidy
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, out = [], []
@@ -301,6 +304,7 @@ def identify(docs: DataFrame, crf: Crf | None) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model.value) if model.value else None
         for batch in batches:

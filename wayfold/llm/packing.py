@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import bpe
+from wayfold.llm.workers import tidy
 
 CAPACITY, SMALLEST = 2048, 64
 #: Sequences that one worker may number.
@@ -124,6 +125,7 @@ def harmonic_pack(
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
         packer = HarmonicPacker(capacity, smallest, TaskContext.get().partitionId() * NUMBERS)

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.workers import tidy
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -55,7 +57,7 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 #: Documents and bytes of a segment.
-SEGMENT_DOCS, SEGMENT_BYTES = 2048, 8 << 20
+SEGMENT_DOCS, SEGMENT_BYTES = 1024, 2 << 20
 
 # ---------------------------------------------------------------- regex to query
 #: True stands for "any document"; else a set of alternatives, each a set of trigrams that it needs.
@@ -228,6 +230,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(rules)
         for batch in batches:
@@ -257,6 +260,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars``, if there, counted again for those texts."""
     schema = docs.schema
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of(rules)
         for batch in batches:

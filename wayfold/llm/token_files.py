@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import bpe
 from wayfold.llm.shared_files import reading, writing
+from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
 BLOCK = 65_536
@@ -177,6 +178,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     * An empty table gives no files.  Other columns are ignored.
     """
 
+    @tidy
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, name = None, f"part-{TaskContext.get().partitionId():06d}.tokens"
         groups = bpe.encode_documents(batches, tokenizer)
@@ -212,6 +214,7 @@ def read_token_files(spark: SparkSession, folder: str, files: list[dict]) -> Dat
     """One row for each document in the files: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
+    @tidy
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist()):

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import bpe
 from wayfold.llm.shared_files import reading, writing
+from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
 #: A chunk ends with the document that reaches either number.
@@ -169,6 +170,7 @@ def word_tables(docs: DataFrame, tokenizer: str, folder: str, n_buckets: int | N
     """
     n_buckets = n_buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    @tidy
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, part, chunk, n = splitter(tokenizer), TaskContext.get().partitionId(), Chunk(), 0
 
@@ -189,6 +191,7 @@ def word_tables(docs: DataFrame, tokenizer: str, folder: str, n_buckets: int | N
         if chunk.docs:
             yield from flush()
 
+    @tidy
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, now, table = splitter(tokenizer), None, {}
         for batch in batches:
@@ -231,6 +234,7 @@ def word_bpe(docs: DataFrame, tokenizer: str, with_texts: bool = True) -> DataFr
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>, decoded string" if with_texts else ""
 
+    @tidy
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = splitter(tokenizer).tokenizer
         piece = {i: w for w, i in t.get_vocab(with_added_tokens=True).items()}
