@@ -34,14 +34,15 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
 from wayfold.llm.secret_scan import segments
+from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
 BANDS, ROWS = 51, 5
 SLOTS = 1 << 20
-#: Bytes that are hashed at a time, shingles and sets of a tile's side, columns of a matrix product.
-BLOCK_BYTES, TILE_SHINGLES, TILE_SETS, TILE_COLUMNS = 1 << 21, 1_000_000, 2_500, 2_048
-#: Parts over which the rows of one key are spread.
-SALTS = 64
+#: Bytes that are hashed at a time, shingles and sets of a tile's side, columns and rows of a matrix in work.
+BLOCK_BYTES, TILE_SHINGLES, TILE_SETS, TILE_COLUMNS, TILE_ROWS = 1 << 19, 500_000, 1_000, 2_048, 256
+#: Parts over which the rows of one key are spread; rows of an Arrow batch of texts or sets.
+SALTS, BATCH = 64, 1_000
 
 _A, _P = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
 
@@ -180,6 +181,7 @@ def minhash() -> CirculantMinHash:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, band keys); digest and keys are null for an empty set."""
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, mh = shingler(words), minhash()
         for batch in batches:
@@ -208,6 +210,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, shingles): 64-bit hashes in ascending order, as bytes."""
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = shingler(words)
         for batch in batches:
@@ -225,9 +228,10 @@ def similar(common, a, b, percent: int):
 def verify_stars(tiles: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of rows (leader, salt, side, id, shingles): side 0 is the leader's own set."""
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
-        for batch in batches:
+        for batch in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             a, b = [], []
             columns = (batch.column(c) for c in ("leader", "side", "id", "shingles"))
             for lead, side, i, data in zip(*(c.to_pylist() for c in columns)):
@@ -264,10 +268,7 @@ def tile_links(ids: list[int], comps: list[int], inner: list[bool], sets: list[n
         x = np.zeros((n, TILE_COLUMNS), dtype=np.float32)
         x[row[lo:hi], column[lo:hi] - at] = 1
         common += x @ x.T
-    common = np.rint(common).astype(np.int64)
     comp, inside = np.array(comps), np.array(inner)
-    linked = similar(common, sizes[:, None], sizes[None, :], percent)
-    linked &= (comp[:, None] != comp[None, :]) & (inside[:, None] | inside[None, :])
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -276,17 +277,22 @@ def tile_links(ids: list[int], comps: list[int], inner: list[bool], sets: list[n
         return x
 
     links = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1)))):
-        ri, rj = root(comps[i]), root(comps[j])
-        if ri != rj:
-            up[ri] = rj
-            links.append((ids[i], ids[j]))
+    for at in range(0, n, TILE_ROWS):
+        rows = slice(at, min(at + TILE_ROWS, n))
+        linked = similar(np.rint(common[rows]).astype(np.int64), sizes[rows, None], sizes[None, :], percent)
+        linked &= (comp[rows, None] != comp[None, :]) & (inside[rows, None] | inside[None, :])
+        for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+            i += at
+            if i < j and (ri := root(comps[i])) != (rj := root(comps[j])):
+                up[ri] = rj
+                links.append((ids[i], ids[j]))
     return links
 
 
 def verify_tiles(tiles: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of rows (bucket, tile, id, comp, inner, shingles)."""
 
+    @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -296,7 +302,7 @@ def verify_tiles(tiles: DataFrame, percent: int) -> DataFrame:
             a, b = zip(*links) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
+        for batch in (x.slice(at, 256) for x in batches for at in range(0, x.num_rows, 256)):
             names = ("bucket", "tile", "id", "comp", "inner", "shingles")
             for bucket, tile, i, comp, inner, data in zip(*(batch.column(c).to_pylist() for c in names)):
                 if held and (bucket, tile) != now:
@@ -328,15 +334,15 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "near-dedup")
     signed = work.table(
-        signatures(docs, words).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "signatures"
+        signatures(docs, words).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "signatures", BATCH
     )
     named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
 
     # one representative for each distinct set; salted, since one set may be that of a third of all rows
-    bottom = work.table(named.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")), "bottom")
-    top = work.table(bottom.groupBy("digest").agg(F.min("least").alias("rep"), F.first("n").alias("n")), "sets")
+    bottom = work.table(named.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")), "bottom", small=True)
+    top = bottom.groupBy("digest").agg(F.min("least").alias("rep"))
     bands = named.join(
-        bottom.join(top.select("digest", "rep"), "digest").filter("least = rep").select("digest", "salt", "rep"), ["digest", "salt"]
+        bottom.join(top, "digest").filter("least = rep").select("digest", "salt", "rep"), ["digest", "salt"]
     )
     bands = bands.filter("doc_id = rep").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     members = bands.select("bucket", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
@@ -353,17 +359,18 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     pairs = work.table(
         crowded.filter(fits).select("leader", "id").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")),
         "pairs",
+        small=True,
     )
     # sets are made again for candidates only; all documents' sets would outweigh the texts
     wanted = crowded.select("id").union(crowded.select("leader")).distinct()
     texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = work.table(full_sets(texts, words).dropDuplicates(["id"]), "shingles")
+    sets = work.table(full_sets(texts, words).dropDuplicates(["id"]), "shingles", BATCH)
 
     heads = pairs.select("leader", "salt").distinct().join(sets.withColumnRenamed("id", "leader"), "leader")
     stars = heads.select("leader", "salt", F.lit(0).alias("side"), F.col("leader").alias("id"), "shingles").unionByName(
         pairs.join(sets, "id").select("leader", "salt", F.lit(1).alias("side"), "id", "shingles")
     )
-    found = work.table(verify_stars(stars, percent), "star-links")
+    found = work.table(verify_stars(stars, percent), "star-links", BATCH, small=True)
     comps = components(found, work, "stars")
 
     # what is open: pairs of a bucket, without its leader, in different components
@@ -380,6 +387,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
             (~F.coalesce("comp", "id").eqNullSafe(F.coalesce("lead_comp", "leader"))).alias("inner"),
         ),
         "placed",
+        small=True,
     )
     per_side = placed.groupBy("bucket").agg(
         F.min("comp").alias("low"),
@@ -420,9 +428,17 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         .withColumn("tile", F.explode(F.when(one, F.array(F.lit("all"))).otherwise(others)))
         .select("bucket", "tile", "id", "comp", "inner")
     )
-    more = work.table(verify_tiles(open_rows.join(sets, "id"), percent), "tile-links")
+    more = work.table(verify_tiles(open_rows.join(sets, "id"), percent), "tile-links", BATCH, small=True)
     if not more.isEmpty():
-        comps = components(found.union(more), work, "all")
+        # only the components that the tiles join are solved again
+        a = more.join(of.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left")
+        ab = a.join(of.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        joined = components(ab.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), work, "tiles")
+        joined = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        alone = joined.join(comps.select(F.col("component")).distinct(), "component", "left_anti").select(
+            F.col("component").alias("id"), F.col("top").alias("component")
+        )
+        comps = comps.join(joined, "component", "left").select("id", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
     verdict = top.join(comps, top["rep"] == comps["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     verdict = bottom.select("digest", "salt").join(verdict, "digest")
