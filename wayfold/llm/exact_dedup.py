@@ -78,7 +78,7 @@ def exact_dedup(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) ->
     work = Workspace(docs.sparkSession, "exact-dedup")
     entries = work.table(digest_entries(docs, leaves), "entries")
     bottom, root = merge_runs(entries, leaves, fan_in)
-    bottom = work.table(bottom.select("run", *KEY), "bottom")
+    bottom = work.table(bottom.select("run", *KEY), "bottom", small=True)
     verdict = bottom.join(root, KEY)
     return entries.join(verdict, ["run", *KEY]).select(
         "doc_id",

@@ -65,7 +65,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     work = Workspace(docs.sparkSession, "line-dedup")
-    shared = work.table(shared_lines(docs, min_docs), "shared")
+    shared = work.table(shared_lines(docs, min_docs), "shared", small=True)
     each = with_lines(docs.select("doc_id", "text")).select(
         "doc_id",
         F.explode(F.array_distinct(F.filter(F.transform("_lines", line_hash), lambda h: h.isNotNull()))).alias("h"),
