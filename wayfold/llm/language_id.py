@@ -14,7 +14,6 @@ over each one's whole text.  Prediction reads every word of every text.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -22,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +37,7 @@ ROUNDS, RATE, DECAY, SEED = 60, 0.3, 1e-4, 7
 CACHE_WORDS, BATCH_DOCS, BATCH_WORDS = 250_000, 256, 200_000
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
