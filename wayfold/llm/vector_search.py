@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
 SCALE = 256
 #: Vectors of a shard and of a leaf, queries of a block, shards that a block walks in a row.
-SHARD, LEAF, BLOCK, GROUP = 8192, 64, 512, 8
+SHARD, LEAF, BLOCK, GROUP = 8192, 64, 1024, 8
 
 
 class KDTree:
@@ -44,8 +45,12 @@ class KDTree:
         self.ids, self.vectors = self.ids[self.order], self.vectors[self.order]
         del self.order, self.filled
         self.low, self.high = np.stack(self.low), np.stack(self.high)
+        for kind in (np.int16, np.int32):  # trees travel to every block of queries
+            if self.vectors.min() >= np.iinfo(kind).min and self.vectors.max() <= np.iinfo(kind).max:
+                self.vectors, self.low, self.high = (x.astype(kind) for x in (self.vectors, self.low, self.high))
+                break
         # float64 holds these products and sums exactly, or else Python's integers are used
-        top = float(np.abs(self.vectors).max(initial=0))
+        top = float(np.abs(self.vectors.astype(np.float64)).max(initial=0))
         self.exact = top < 2**23 and vectors.shape[1] * top * top < 2**52
 
     def _build(self, where: np.ndarray) -> int:
@@ -82,9 +87,9 @@ class KDTree:
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
         """Update ``best``, for each query its k (score, -id), as a heap; ``own`` ids are left out."""
         kind = np.float64 if self.exact and float(np.abs(queries).max(initial=0)) < 2**23 else object
-        q = queries.astype(kind)
-        bound = np.maximum(q, 0) @ self.high.astype(kind).T + np.minimum(q, 0) @ self.low.astype(kind).T
-        vectors = self.vectors.astype(kind)
+        q = queries.astype(np.int64).astype(kind)
+        high, low, vectors = (x.astype(np.int64).astype(kind) for x in (self.high, self.low, self.vectors))
+        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
         for i in range(len(q)):
             heap, mine, reach = best[i], int(own[i]), bound[i].tolist()
             todo = [(-reach[0], self.least[0], 0)]
@@ -147,6 +152,7 @@ def walk(rows: DataFrame, k: int) -> DataFrame:
     one row with queries, shard -1, and one for each tree of the group.
     """
 
+    @tidy
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 
@@ -197,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n, n_asked = one.count(), asked.count()
     n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-n_asked // BLOCK))
     trees = work.table(build_trees(one, n_shards).withColumn("grp", F.floor(F.col("shard") / GROUP).cast("int")), "trees")
-    asked = work.table(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")), "queries")
+    asked = work.table(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")), "queries", small=True)
 
     def rows(blocks: DataFrame, meets: DataFrame) -> DataFrame:
         """``meets`` is (dim, block, grp, shard) of the trees that each block walks."""
@@ -219,8 +225,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     nothing = F.lit(None).cast("struct<ids: array<bigint>, scores: array<bigint>>")
     turn = F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.xxhash64("shard", "block"), "shard"))
     home = blocks.join(shards, "dim").withColumn("turn", turn).filter("turn = 1").drop("turn")
-    home = work.table(home, "home")
-    first = work.table(walk(rows(blocks_of(asked.withColumn("floor", nothing)), home), k), "first")
+    home = work.table(home, "home", small=True)
+    first = work.table(walk(rows(blocks_of(asked.withColumn("floor", nothing)), home), k), "first", small=True)
     floors = first.groupBy("query_id").agg(
         F.struct(F.collect_list("vec_id").alias("ids"), F.collect_list("score").alias("scores")).alias("floor")
     )
