@@ -138,6 +138,52 @@ def site_criteria(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(limits), (F.col("f1") >= F.col("p25")) & (F.col("name") <= F.col("top"))).filter("link_id % 11 <> 0").select("link_id")
 
 
+_CENSUS_LINKS = """e AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS link_id,
+  (l_orderkey * 7919 + l_linenumber * 104729) % 100003 AS f, (l_partkey * 31 + l_orderkey * 17 + l_linenumber) % 100003 AS t, l_suppkey % 40 AS name,
+  CAST(l_partkey % 21 - 10 AS DOUBLE) AS ax, CAST(l_orderkey % 19 - 9 AS DOUBLE) AS ay, CAST(l_suppkey % 17 - 8 AS DOUBLE) AS bx, CAST((l_partkey + l_linenumber) % 23 - 11 AS DOUBLE) AS bz FROM lineitem)"""
+
+
+@query(f"""
+WITH {_CENSUS_LINKS},
+m AS (SELECT a.t AS node, a.name = b.name AS same, a.ax * b.bx + a.ay * b.bz AS dot, sqrt(a.ax*a.ax + a.ay*a.ay) * sqrt(b.bx*b.bx + b.bz*b.bz) AS n
+      FROM e a JOIN e b ON a.t = b.f WHERE a.link_id <> b.link_id AND b.t <> a.f),
+d AS (SELECT *, CASE WHEN n > 0 THEN degrees(acos(greatest(-1.0, least(1.0, dot / n)))) END AS theta FROM m),
+x AS (SELECT * FROM d WHERE NOT coalesce(same AND theta >= 150, false))
+SELECT CAST(count(*) AS BIGINT) AS n_moves, {n_if("dot <= 0 AND n > 0")} AS n_sharp, CAST(count(DISTINCT node) FILTER (WHERE dot <= 0 AND n > 0) AS BIGINT) AS n_sharp_nodes,
+  {n_if("theta < 30")} AS to_30, {n_if("theta >= 30 AND theta < 60")} AS to_60, {n_if("theta >= 60 AND dot > 0")} AS to_90, {n_if("dot <= 0 AND theta < 120")} AS to_120,
+  {n_if("theta >= 120 AND theta < 150")} AS to_150, {n_if("theta >= 150")} AS to_180, {n_if("theta IS NULL")} AS degenerate FROM x""")
+def turn_census(spark: SparkSession, sf: str) -> DataFrame:
+    """All moves of a network with a link for each line item: one shuffle join and one aggregation."""
+    order, line, part, supp = (F.col(f"l_{c}") for c in ("orderkey", "linenumber", "partkey", "suppkey"))
+
+    def whole(x):
+        return x.cast("double")
+
+    links = table(spark, sf, "lineitem").select(
+        F.monotonically_increasing_id().alias("link_id"),
+        ((order * 7919 + line * 104729) % 100003).alias("f_node"),
+        ((part * 31 + order * 17 + line) % 100003).alias("t_node"),
+        (supp % 40).alias("name"),
+        whole(part % 21 - 10).alias("last_dx"),
+        whole(order % 19 - 9).alias("last_dy"),
+        whole(supp % 17 - 8).alias("first_dx"),
+        whole((part + line) % 23 - 11).alias("first_dy"),
+    )
+    moves, theta, sharp = polyline.turn_moves(links), F.col("theta"), F.col("sharp")
+    return moves.agg(
+        F.count(F.lit(1)).alias("n_moves"),
+        count_of(sharp).alias("n_sharp"),
+        F.countDistinct(F.when(sharp, F.col("a_t_node"))).alias("n_sharp_nodes"),
+        count_of(theta < 30).alias("to_30"),
+        count_of((theta >= 30) & (theta < 60)).alias("to_60"),
+        count_of((theta >= 60) & ~sharp).alias("to_90"),
+        count_of(sharp & (theta < 120)).alias("to_120"),
+        count_of((theta >= 120) & (theta < 150)).alias("to_150"),
+        count_of(theta >= 150).alias("to_180"),
+        count_of(theta.isNull()).alias("degenerate"),
+    )
+
+
 _TOTAL = 40
 
 
