@@ -56,9 +56,39 @@ def bin_pivot(df: DataFrame, keys: list[str], bins: Column, labels: list[str], n
     return df.withColumn("_bin", bins).groupBy(*keys).agg(*(count_of(F.col("_bin") == b).alias(n) for b, n in zip(labels, names)))
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
-    """Interpolated percentiles, as fixed numbers."""
-    return df.groupBy(*keys).agg(*(fixed(F.percentile(value, F.lit(p))).alias(f"p{100 * p:g}".replace(".", "_")) for p in points))
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with how many rows lie up to each, and the group's rows.
+
+    Rows are counted before any shuffle; the window sorts distinct values only,
+    and spills.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys)
+    return counted.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+
+
+def _name(p: float) -> str:
+    return f"p{100 * p:g}".replace(".", "_")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, points: list[float], hot: bool = False) -> DataFrame:
+    """Interpolated percentiles, as fixed numbers.
+
+    With ``hot`` no aggregation buffer holds a group's values.
+    """
+    if not hot:
+        return df.groupBy(*keys).agg(*(fixed(F.percentile(value, F.lit(p))).alias(_name(p)) for p in points))
+    v, upto = F.col(value), F.col("upto")
+    place = {p: F.lit(p) * (F.col("n") - 1) for p in points}
+    ends = []
+    for p, h in place.items():
+        ends += [F.min(F.when(upto > F.floor(h), v)).alias(f"{_name(p)}_a"), F.min(F.when(upto > F.ceil(h), v)).alias(f"{_name(p)}_b")]
+    rows = _counted(df, keys, value).groupBy(*keys).agg(F.max("n").alias("n"), *ends)
+    out = []
+    for p, h in place.items():
+        a, b = F.col(f"{_name(p)}_a"), F.col(f"{_name(p)}_b")
+        out.append(fixed(a + (b - a) * (h - F.floor(h))).alias(_name(p)))
+    return rows.select(*keys, *out)
 
 
 def upper_median(values: Column) -> Column:
@@ -84,9 +114,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, hot: bool = Fal
         return df.groupBy(*keys).agg(
             F.count(value).alias("n"), F.min(value).alias("least"), index_p10(v).alias("p10"), upper_median(v).alias("upper_median")
         )
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    upto = counted.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    upto = _counted(df, keys, value)
     at_median, at_p10 = F.floor(F.col("n") / 2) + 1, F.greatest(F.lit(0), F.floor(F.col("n") * 0.1) - 1) + 1
     return upto.groupBy(*keys).agg(
         F.max("n").alias("n"),
