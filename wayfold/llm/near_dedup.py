@@ -327,9 +327,10 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     * A text that is null, empty or without words has the empty set; it is
       linked with nothing.
-    * Rows that repeat a doc_id are one document; if their texts differ, they
-      count as linked.  Rows without a doc_id are linked with nothing, have no
-      component, and are kept.
+    * Rows that repeat a doc_id and its text share one verdict.  If their texts
+      differ, each row has the component of its own text's set.
+    * Rows without a doc_id are linked with nothing, have no component, and are
+      kept.
     * Other columns are ignored; an empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "near-dedup")
