@@ -47,7 +47,7 @@ def dedup_null_key_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT role, length(text) AS n_chars, turn FROM conversations")
 def dedup_whole_row(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("role", F.length("text").alias("n_chars"), "turn").distinct()
+    return table(spark, sf, "conversations").select("role", F.length("text").cast("long").alias("n_chars"), "turn").distinct()
 
 
 @query(f"""
