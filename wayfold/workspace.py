@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,28 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OPENED: list[Workspace] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops the workspaces opened within, once what was made from them is written elsewhere."""
+    before = len(_OPENED)
+    try:
+        yield
+    finally:
+        for work in _OPENED[before:]:
+            work.drop()
+        del _OPENED[before:]
+
+
 class Workspace:
     """A folder of durable tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _OPENED.append(self)
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
