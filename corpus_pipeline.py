@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
-from wayfold.workspace import Workspace
+from wayfold.workspace import Workspace, scratch
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "corpus-pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = work.table(stage(spark, docs, sf_dir), name)
     return docs

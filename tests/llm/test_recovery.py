@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import word_bpe
 from wayfold.llm.shared_files import reading, writing
-from wayfold.workspace import Workspace, shared_root
+from wayfold.workspace import Workspace, scratch, shared_root
 
 
 def chunk_of(texts):
@@ -32,7 +32,7 @@ def test_a_failed_attempt_has_no_file(tmp_path):
     with pytest.raises(RuntimeError), writing(str(tmp_path), "x") as out:
         out.write(b"half")
         raise RuntimeError
-    assert not (tmp_path / "x").exists()
+    assert not list(tmp_path.iterdir())
     with writing(str(tmp_path), "x") as out:
         out.write(b"whole")
     with writing(str(tmp_path), "x") as out:
@@ -51,3 +51,13 @@ def test_workspace(spark):
     work.drop()
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
         spark.read.parquet(work.folder("t")).count()
+
+
+def test_scratch_drops_what_was_opened_within(spark):
+    kept = Workspace(spark, "test")
+    with scratch():
+        inner = Workspace(spark, "test")
+        copy = kept.table(inner.table(spark.range(5), "a"), "b")
+    assert copy.count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
+        spark.read.parquet(inner.folder("a")).count()

@@ -25,8 +25,12 @@ def writing(folder: str, name: str):
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
     draft = f"{path}/_{uuid.uuid4().hex}"
-    with fs.open_output_stream(draft) as out:
-        yield out
+    try:
+        with fs.open_output_stream(draft) as out:
+            yield out
+    except BaseException:
+        fs.delete_file(draft)
+        raise
     fs.move(draft, f"{path}/{name}")
 
 
