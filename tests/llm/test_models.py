@@ -150,3 +150,35 @@ def test_scores_of_odd_documents(frame, odd_docs):
         else:
             assert r.log_prob < 0 and math.isclose(r.perplexity, math.exp(-r.log_prob / r.n_tokens), rel_tol=1e-9)
     assert lm_score.lm_score(frame([], 1)).count() == 0
+
+
+def test_tokens_of_a_bucket_are_scored_apart(spark, frame, monkeypatch):
+    monkeypatch.setattr(lm_score, "KNOWN", 800)  # so that most counts are joined
+    words = [f"w{i}" for i in range(1500)]
+    often = [words[i] for i in range(0, 1500, 2)]
+    docs = frame([(k, " ".join(words + often * 3 + often[:300] * 4), "en") for k in range(2)] + [(9, "once", "en"), (9, "once more", "en")])
+    counts = lm_score.token_counts(docs).cache()
+    vocab = lm_score.vocabulary(counts)
+    net = lm_score.Network.fresh(vocab.counts)
+    net.context[:], net.bias[:] = 0, 0  # what is left is the ids' shares of the counts
+    scored = lm_score.Workspace(spark, "test").table(lm_score.score(docs, vocab, net), "scored")
+    assert scored.selectExpr("sum(size(rare))").first()[0] > 500
+    got = sorted((r.doc_id, r.n_tokens, r.log_prob) for r in lm_score.with_rare(scored, counts).collect())
+    n_of = {r.token % (1 << 64): r.n for r in counts.collect()}
+    table = vocab.counts.reshape(lm_score.CLASSES, lm_score.PER_CLASS) + 0.5
+    p_id = (table / table.sum()).ravel()
+
+    def want(text):
+        h, _ = lm_score.TokenHasher().tokens(pa.array([text]))
+        ids = vocab.ids(h)
+        return sum(math.log(p_id[i]) + math.log(n_of[int(t)] / vocab.counts[i]) for t, i in zip(h, ids))
+
+    texts = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    want_rows = sorted((i, len(t.split()), want(t)) for i, t in texts)
+    assert [g[:2] for g in got] == [w[:2] for w in want_rows]
+    for g, w in zip(got, want_rows):
+        assert math.isclose(g[2], w[2], rel_tol=1e-4)
+    # all tokens' probabilities sum to that of all ids but the border's and empty buckets'
+    ids = vocab.ids(np.array(list(n_of), dtype=np.uint64))
+    total = sum(p_id[i] * n / vocab.counts[i] for i, n in zip(ids, n_of.values()))
+    assert math.isclose(total, p_id[np.unique(ids)].sum(), rel_tol=1e-9)

@@ -6,6 +6,11 @@ first the token's class and then the token in its class, so that a prediction
 costs two small softmaxes.  A document's score is the sum of its tokens' log
 probabilities.
 
+Tokens without an id of their own share the ids of the buckets.  Such a token's
+probability is its bucket's times its share of the bucket's count, from the
+counts of all tokens.  The most frequent of these counts are held in memory;
+the rest, which grow with the corpus, are joined.
+
 Tokens are runs of letters and digits, or single marks.  Frequent ones, by a
 count over all documents, have an id of their own, and all others one of a
 fixed number of buckets.
@@ -33,6 +38,8 @@ from wayfold.workspace import Workspace
 #: Ids are classes x per class: one for a text's border, then words, then buckets.
 CLASSES, PER_CLASS, BUCKETS = 32, 32, 256
 WORDS = CLASSES * PER_CLASS - BUCKETS - 1
+#: Tokens whose counts scoring holds in memory; those of all others are joined.
+KNOWN = 1 << 16
 WINDOW, WIDTH = (-2, -1, 1, 2), 16
 STRIDE, BATCH, RATE, SEED = 8, 1024, 0.2, 11
 #: Bytes that are cut at a time; tokens that are scored at a time; floats of a row of weights.
@@ -83,11 +90,11 @@ class TokenHasher:
 
 
 class Vocabulary:
-    def __init__(self, words: list[int], counts: np.ndarray):
-        """``words``: hashes by falling frequency; ``counts``: of each id."""
+    def __init__(self, words: list[int], counts: np.ndarray, known: np.ndarray, times: np.ndarray):
+        """``words``: hashes by falling frequency; ``counts``: of each id; ``known``: sorted hashes, which occur ``times``."""
         order = np.argsort(np.array(words, dtype=np.uint64), kind="stable")
         self.sorted, self.id = np.array(words, dtype=np.uint64)[order], order + 1
-        self.counts = counts
+        self.counts, self.known, self.times = counts, known, times
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         other = 1 + WORDS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
@@ -96,6 +103,18 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.id[at], other)
 
+    def log_shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log of each token's share of its id's count, less its own log count where the second result says so."""
+        logs, open_ = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
+        shared = np.flatnonzero(ids > WORDS)
+        if len(shared):
+            h = hashes[shared]
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            found = self.known[at] == h
+            logs[shared] = np.where(found, np.log(self.times[at]), 0) - np.log(self.counts)[ids[shared]]
+            open_[shared] = ~found
+        return logs, open_
+
 
 def padded(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids with two borders around each text, and the place of each id."""
@@ -242,17 +261,19 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The frequent tokens and the counts of all ids, of which there are a fixed number."""
-    top = counts.orderBy(F.desc("n"), "token").limit(WORDS).collect()
+    """The frequent tokens and their counts, and the counts of all ids; a fixed number of each."""
+    top = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
+    known, times = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     by_id = np.zeros(CLASSES * PER_CLASS)
-    words = [r.token % (1 << 64) for r in top]
+    words = known[:WORDS].tolist()
     # unsigned remainder; BUCKETS divides 2**64
     for r in counts.groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
         by_id[1 + WORDS + r.bucket] = r.n
-    for i, (w, r) in enumerate(zip(words, top)):
-        by_id[1 + i] = r.n
-        by_id[1 + WORDS + w % BUCKETS] -= r.n
-    return Vocabulary(words, by_id)
+    for i, (w, n) in enumerate(zip(words, times.tolist())):
+        by_id[1 + i] = n
+        by_id[1 + WORDS + w % BUCKETS] -= n
+    order = np.argsort(known)
+    return Vocabulary(words, by_id, known[order], times[order])
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Network:
@@ -307,25 +328,48 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Network:
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_prob): summed over all tokens of each document."""
-    model = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))
+    """(row, doc_id, n_tokens, log_prob, rare): summed over all tokens of each document.
+
+    The log counts of the tokens in ``rare`` are still to be added, see
+    :func:`with_rare`.  ``row`` numbers the rows of one run.
+    """
+    model = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))  # KNOWN counts and one network
 
     @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = model.value
-        network = Network(flat)
+        network, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in segments(batch):
                 h, ends = hasher().tokens(part.column("text"))
-                logs = network.log_probs(*padded(words.ids(h), ends))
+                ids = words.ids(h)
+                shares, open_ = words.log_shares(h, ids)
+                logs = network.log_probs(*padded(ids, ends)) + shares
                 sizes = np.diff(ends, prepend=0)
                 sums = np.bincount(np.repeat(np.arange(len(ends)), sizes), weights=logs, minlength=len(ends))
+                rare = pa.array(h[open_].view(np.int64))
+                cuts = np.concatenate([[0], np.cumsum(open_)])[np.concatenate([[0], ends])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())],
-                    ["doc_id", "n_tokens", "log_prob"],
+                    [
+                        pa.array(np.arange(row, row + len(ends)), pa.int64()),
+                        part.column("doc_id").cast(pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(sums, pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare),
+                    ],
+                    ["row", "doc_id", "n_tokens", "log_prob", "rare"],
                 )
+                row += len(ends)
+
+    return docs.select("doc_id", "text").mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double, rare array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_tokens long, log_prob double")
+def with_rare(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, log_prob) of a written table of :func:`score`, with the log counts of its rare tokens."""
+    rare = scored.select("row", F.explode("rare").alias("token")).join(counts, "token")
+    added = rare.groupBy("row").agg(F.sum(F.log("n")).alias("added"))
+    whole = F.col("log_prob") + F.coalesce("added", F.lit(0.0))
+    return scored.select("row", "doc_id", "n_tokens", "log_prob").join(added, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"))
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
@@ -339,9 +383,10 @@ def lm_score(docs: DataFrame) -> DataFrame:
       as they occur.
     * Other columns are ignored; an empty table gives an empty result.
     """
-    counts = Workspace(docs.sparkSession, "lm-score").table(token_counts(docs), "counts", small=True)
+    work = Workspace(docs.sparkSession, "lm-score")
+    counts = work.table(token_counts(docs), "counts", small=True)
     vocab = vocabulary(counts)
-    scored = score(docs, vocab, train(docs, vocab))
+    scored = with_rare(work.table(score(docs, vocab, train(docs, vocab)), "scored"), counts)
     mean = F.col("log_prob") / F.col("n_tokens")
     return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-mean)))
 
