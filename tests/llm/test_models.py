@@ -182,3 +182,12 @@ def test_tokens_of_a_bucket_are_scored_apart(spark, frame, monkeypatch):
     ids = vocab.ids(np.array(list(n_of), dtype=np.uint64))
     total = sum(p_id[i] * n / vocab.counts[i] for i, n in zip(ids, n_of.values()))
     assert math.isclose(total, p_id[np.unique(ids)].sum(), rel_tol=1e-9)
+
+
+def test_training_predicts_every_token(frame):
+    docs = frame([(1, "a b b b b b b b", "en")], 1)  # every eighth token is an a
+    vocab = lm_score.vocabulary(lm_score.token_counts(docs))
+    before, after = lm_score.Network.fresh(vocab.counts), lm_score.train(docs, vocab)
+    b = vocab.ids(lm_score.TokenHasher().tokens(pa.array(["b"]))[0])[0]
+    c, w = divmod(int(b), lm_score.PER_CLASS)
+    assert after.word_bias[c, w] > before.word_bias[c, w]

@@ -16,8 +16,8 @@ count over all documents, have an id of their own, and all others one of a
 fixed number of buckets.
 
 Training: each partition starts from the same weights and walks through all its
-documents, predicting every ``STRIDE``-th token; the partitions' weights are
-averaged, weighted by what each has seen, in two steps.
+documents, predicting every token; the partitions' weights are averaged,
+weighted by what each has seen, in two steps.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ WORDS = CLASSES * PER_CLASS - BUCKETS - 1
 #: Tokens whose counts scoring holds in memory; those of all others are joined.
 KNOWN = 1 << 16
 WINDOW, WIDTH = (-2, -1, 1, 2), 16
-STRIDE, BATCH, RATE, SEED = 8, 1024, 0.2, 11
+BATCH, RATE, SEED = 1024, 0.2, 11
 #: Bytes that are cut at a time; tokens that are scored at a time; floats of a row of weights.
 BLOCK_BYTES, CHUNK, ROW = 1 << 19, 1 << 14, 4096
 
@@ -288,12 +288,11 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Network:
             for part in segments(batch):
                 h, ends = hasher().tokens(part.column("text"))
                 line, place = padded(held.value.ids(h), ends)
-                chosen = place[phase % STRIDE :: STRIDE]
                 phase += 1
-                chosen = chosen[np.random.default_rng(phase).permutation(len(chosen))]
-                for at in range(0, len(chosen), BATCH):
-                    net.learn(line, chosen[at : at + BATCH], squares)
-                seen += len(chosen)
+                place = place[np.random.default_rng(phase).permutation(len(place))]
+                for at in range(0, len(place), BATCH):
+                    net.learn(line, place[at : at + BATCH], squares)
+                seen += len(place)
         if seen:
             at = range(0, net.size(), ROW)
             yield pa.RecordBatch.from_arrays(
