@@ -54,3 +54,12 @@ def test_aggregation_starts_before_the_shuffle(spark, name):
 def test_no_python_in_the_hot_path(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
+
+
+def test_scenarios_hold_every_order(spark):
+    from wayfold.plans import networks
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    assert networks._scenarios(spark, sf)[0].count() == orders.count()
+    assert networks.slot_resolution(spark, sf).select("id").distinct().count() == orders.select("o_orderkey").distinct().count()
