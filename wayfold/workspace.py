@@ -59,13 +59,13 @@ class Workspace:
         """Write ``df`` and return a reader of what was written.
 
         ``batch_rows`` bounds the Arrow batches that Python workers get while
-        it is written, for rows of many kilobytes.  A ``small`` table, of a few
-        bytes a row, takes an eighth of the shuffle's partitions, so that it is
-        not many tiny files.
+        it is written, for rows of many kilobytes.  The rows of a ``small`` table,
+        of a few bytes each, are dealt to an eighth of the shuffle's partitions
+        once they are made, so that it is not many tiny files.
         """
         where, key = self.folder(name), "spark.sql.execution.arrow.maxRecordsPerBatch"
         if small:
-            df = df.coalesce(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+            df = df.repartition(max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8))
         before = self.spark.conf.get(key)
         if batch_rows is not None:
             self.spark.conf.set(key, str(batch_rows))
