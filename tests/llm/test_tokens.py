@@ -94,10 +94,11 @@ def test_token_files(spark, frame, odd_docs):
     assert sum(f["n_ids"] for f in files) == start
 
 
-@pytest.mark.parametrize(("capacity", "smallest"), [(2048, 64), (64, 8), (8, 1), (1, 1)])
-def test_packing(frame, odd_docs, capacity, smallest):
+@pytest.mark.parametrize(("capacity", "gather"), [(2048, 64), (2048, 1), (64, 2), (8, 64), (1, 64)])
+def test_packing(frame, odd_docs, monkeypatch, capacity, gather):
+    monkeypatch.setattr(packing, "GATHER", gather)
     docs = [d for d in odd_docs if capacity > 1 or len(d[1] or "") < 2000]
-    got = packing.packed_digests(packing.harmonic_pack(frame(docs), BYTES, 1, capacity, smallest)).collect()
+    got = packing.packed_digests(packing.harmonic_pack(frame(docs), BYTES, 1, capacity)).collect()
     ids = {i: np.array(library(BYTES, t) + [1], dtype="<u4") for i, t, _ in docs}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -125,6 +126,43 @@ def test_packing(frame, odd_docs, capacity, smallest):
     assert padding <= 0.02 * total
 
 
+def test_bins_hold_their_class_whole_and_no_padding():
+    import random
+
+    r = random.Random(4)
+    packer = packing.HarmonicPacker(2048, 0)
+    sizes = [r.randrange(1, 2048) for _ in range(3000)]
+    for i, n in enumerate(sizes):
+        packer.add(i, b"\0" * 4 * n)
+    full = defaultdict(list)
+    for doc_id, _, length, _, n, sequence, _ in packer.out:
+        full[sequence].append((length, n))
+    whole = 0
+    for pieces in full.values():
+        assert sum(length for length, _ in pieces) == 2048
+        k = 2048 // pieces[0][0]  # the first k pieces are whole documents of class k, the filler follows
+        assert all(length == n and 2048 // length == k for length, n in pieces[:k])
+        whole += k
+    open_ = packer.open()
+    assert sum(p[2] for p in open_) < 100 * 2048 and whole > 2000
+    assert sum(length for pieces in full.values() for length, _ in pieces) + sum(p[2] for p in open_) == sum(sizes)
+
+
+def test_long_words_with_one_polynomial_hash():
+    """Such words share every hash that is a polynomial modulo 2**64."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert [x.tolist() for x in bpe.ChunkEncoder(BYTES).encode(pa.array([a, b, a + " " + b]))] == [library(BYTES, t) for t in (a, b, a + " " + b)]
+
+
+def test_chunks_that_share_a_hash(monkeypatch):
+    monkeypatch.setattr(bpe, "span_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2) + np.uint64(1))
+    texts = [" ".join(f"w{i * j}" for j in range(8)) + " " + "x" * 300 + f"{i}" for i in range(6)]
+    assert [x.tolist() for x in bpe.ChunkEncoder(BYTES).encode(pa.array(texts))] == [library(BYTES, t) for t in texts]
+
+
 def test_packing_takes_powers_of_two_only(frame):
     with pytest.raises(ValueError, match="power of two"):
         packing.harmonic_pack(frame([(1, "a", None)]), BYTES, capacity=1000)

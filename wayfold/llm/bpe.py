@@ -8,8 +8,8 @@ the ids of its chunks in a row.  Every other text, and any text that holds the
 string of a special token, is given to the library whole.
 
 Chunks are cut and looked up with numpy, over the bytes of many texts at once:
-a chunk is known by two 64-bit hashes, and the library encodes those that are
-not known yet.
+a chunk is found by a 64-bit hash and confirmed by its bytes, and the library
+encodes those that are not known yet.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wayfold.llm.spans import LONG, head, lanes, span_hash, text_bytes
+
 #: Chunks after which a worker forgets them; this only costs encoding them again.
 MOST_CHUNKS = 600_000
 #: Bytes that are cut at a time; a text with more is given to the library whole.
@@ -49,31 +51,8 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit integers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class SpanHash:
-    """64-bit hashes of many spans of a block of bytes, from one running sum."""
-
-    def __init__(self, seed: int, factor: int, size: int):
-        self.value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
-        self.power = np.cumprod(np.full(size + 1, factor, dtype=np.uint64))
-        self.inverse = np.cumprod(np.full(size + 1, pow(factor, -1, 1 << 64), dtype=np.uint64))
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.value[data] * self.power[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.inverse[starts])
-
-
 class ChunkTable:
-    """Open addressing from a pair of hashes to a run of ids."""
+    """Open addressing from a chunk, known by its hash and its bytes, to a run of ids."""
 
     def __init__(self, most: int):
         self.size = 1 << max(10, (2 * most - 1).bit_length())
@@ -83,39 +62,61 @@ class ChunkTable:
     def clear(self) -> None:
         self.key = np.zeros(self.size, dtype=np.uint64)
         self.entry = np.zeros(self.size, dtype=np.int32)
-        self.n = self.n_ids = 0
-        self.check = np.empty(1024, dtype=np.uint64)
-        self.start = np.empty(1024, dtype=np.int32)
+        self.n = self.n_ids = self.n_bytes = 0
+        self.at = np.empty(1024, dtype=np.int64)
+        self.bytes = np.empty(1024, dtype=np.int64)
+        self.start = np.empty(1024, dtype=np.int64)
         self.length = np.empty(1024, dtype=np.int32)
         self.ids = np.empty(4096, dtype=np.uint32)
-
-    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """Entries, -1 where there is none."""
+        self.pool = np.zeros(8192, dtype=np.uint8)
+
+    def _same(self, entry: np.ndarray, data: np.ndarray, view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each entry's bytes are those of the span beside it."""
+        same = self.bytes[entry] == sizes
+        pool = np.ndarray(len(self.pool) - 7, dtype="<u8", buffer=self.pool, strides=(1,))
+        rest = np.flatnonzero(same & (sizes <= LONG))
+        here, there, left = starts[rest], self.at[entry[rest]], sizes[rest]
+        while len(rest):
+            equal = head(view, here, left) == head(pool, there, left)
+            same[rest[~equal]] = False
+            go = equal & (left > 8)
+            rest, here, there, left = rest[go], here[go] + 8, there[go] + 8, left[go] - 8
+        for i in np.flatnonzero(same & (sizes > LONG)).tolist():
+            a, b, n = int(starts[i]), int(self.at[entry[i]]), int(sizes[i])
+            same[i] = np.array_equal(data[a : a + n], self.pool[b : b + n])
+        return same
+
+    def find(self, key: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of the spans with these keys, -1 where there is none."""
+        view, sizes = lanes(data), ends - starts
         found = np.full(len(key), -1, dtype=np.int64)
         left = np.arange(len(key))
         slot = (key & np.uint64(self.size - 1)).astype(np.int64)
         while len(left):
             held = self.key[slot]
-            same = held == key[left]
+            hit = np.flatnonzero(held == key[left])
+            same = np.zeros(len(left), dtype=bool)
+            same[hit] = self._same(self.entry[slot[hit]], data, view, starts[left[hit]], sizes[left[hit]])
             found[left[same]] = self.entry[slot[same]]
             go = ~same & (held != 0)
             left, slot = left[go], (slot[go] + 1) & (self.size - 1)
-        known = found >= 0
-        if (self.check[found[known]] != check[known]).any():
-            raise RuntimeError("two chunks share a hash")  # under 1e-6 in a lifetime of the table
         return found
 
-    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        """New, distinct keys; the table has room for them."""
-        n, n_ids = self.n + len(key), self.n_ids + len(ids)
-        for name, need in (("check", n), ("start", n), ("length", n), ("ids", n_ids)):
+    def add(self, key: np.ndarray, chunks: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Chunks that are not in the table, of distinct keys; the table has room for them."""
+        raw = np.frombuffer(b"".join(chunks), dtype=np.uint8)
+        sizes = np.array([len(c) for c in chunks], dtype=np.int64)
+        n, n_ids, n_bytes = self.n + len(key), self.n_ids + len(ids), self.n_bytes + len(raw)
+        for name, need in (("at", n), ("bytes", n), ("start", n), ("length", n), ("ids", n_ids), ("pool", n_bytes + 8)):
             old = getattr(self, name)
             if need > len(old):
-                setattr(self, name, np.concatenate([old, np.empty(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype)]))
         at = slice(self.n, n)
-        self.check[at], self.length[at] = check, lengths
+        self.bytes[at], self.length[at] = sizes, lengths
+        self.at[at] = self.n_bytes + np.cumsum(sizes) - sizes
         self.start[at] = self.n_ids + np.cumsum(lengths) - lengths
         self.ids[self.n_ids : n_ids] = ids
+        self.pool[self.n_bytes : n_bytes] = raw
         number = np.arange(self.n, n, dtype=np.int32)
         slot = (key & np.uint64(self.size - 1)).astype(np.int64)
         left = np.arange(len(key))
@@ -127,7 +128,7 @@ class ChunkTable:
             rest = np.ones(len(left), dtype=bool)
             rest[put] = False
             left, slot = left[rest], (slot[rest] + 1) & (self.size - 1)
-        self.n, self.n_ids = n, n_ids
+        self.n, self.n_ids, self.n_bytes = n, n_ids, n_bytes
 
     def runs(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the entries in a row, and the number of each."""
@@ -154,8 +155,6 @@ class ChunkEncoder:
         )
         self.vocabulary_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.table = ChunkTable(most)
-        self.hash = SpanHash(0x9E3779B97F4A7C15, 0xD1342543DE82EF95, BLOCK_BYTES)
-        self.second = SpanHash(0xA0761D6478BD642F, 0xDA942042E4DD58B5, BLOCK_BYTES)
         kind = np.zeros(256, dtype=np.uint8)
         letters = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]
         space = [*range(0x09, 0x0E), *range(0x1C, 0x21)]
@@ -209,12 +208,11 @@ class ChunkEncoder:
         starts, ends, text = starts[ours], ends[ours], text[ours]
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * n
         if len(starts):
-            key, check = self.hash(data, starts, ends), self.second(data, starts, ends)
+            key = span_hash(data, starts, ends)
             key[key == 0] = 1
-            entries = self.table.find(key, check)
-            if (entries < 0).any():
-                self._learn(data, starts, ends, key, check, entries)
-                entries = self.table.find(key, check)
+            entries = self.table.find(key, data, starts, ends)
+            while (entries < 0).any():  # again only for chunks that share a hash
+                entries = self._learn(data, starts, ends, key, entries)
             ids, lengths = self.table.runs(entries)
             after = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(text, np.arange(n + 1))].tolist()
             for i, (a, b) in enumerate(zip(after[:-1], after[1:])):
@@ -224,29 +222,30 @@ class ChunkEncoder:
             out[i] = ids
         return out
 
-    def _learn(self, data, starts, ends, key, check, entries) -> None:
-        first = np.unique(key[entries < 0], return_index=True)[1]
-        new = np.flatnonzero(entries < 0)[first]
+    def _learn(self, data, starts, ends, key, entries) -> np.ndarray:
+        """Encode one new chunk of each hash; the entries of all."""
+        new = np.flatnonzero(entries < 0)
+        new = new[np.unique(key[new], return_index=True)[1]]
         if self.table.n + len(new) > self.table.most:
             self.table.clear()
+            entries = np.full(len(key), -1, dtype=np.int64)
             new = np.unique(key, return_index=True)[1]
         raw = data.tobytes()
         for at in range(0, len(new), BLOCK_CHUNKS):
             part = new[at : at + BLOCK_CHUNKS]
-            chunks = [raw[a:b].decode() for a, b in zip(starts[part].tolist(), ends[part].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            chunks = [raw[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
             lengths = np.array([len(x) for x in found], dtype=np.int64)
             flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
-            self.table.add(key[part], check[part], flat, lengths)
+            self.table.add(key[part], chunks, flat, lengths)
+        open_ = np.flatnonzero(entries < 0)
+        entries[open_] = self.table.find(key[open_], data, starts[open_], ends[open_])
+        return entries
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null is an empty text."""
-        texts = texts.cast(pa.string())
         n = len(texts)
-        if not n:
-            return []
-        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        data, bounds = text_bytes(texts)
         out: list[np.ndarray] = []
         at = 0
         while at < n:

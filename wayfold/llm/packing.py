@@ -1,16 +1,16 @@
 """Harmonic packing of documents into sequences.
 
 A piece of n tokens belongs to class k = capacity // n, and a bin of class k
-takes exactly k pieces.  Documents may be cut, so each is cut where classes
-waste nothing: whole sequences first, then the exact halves, quarters, ... of
-a sequence down to ``SMALLEST``; only the rest, under ``SMALLEST`` tokens, goes
-to a class that its length does not fill to the last token.  Each worker fills its
-classes' bins independently, without a shuffle, and holds fewer than k pieces
-of class k.
-
-What is left in a worker's open bins is laid end to end and cut at the
-capacity; the last stretch becomes sequences of its powers of two, which need
-no padding.
+takes exactly k pieces.  Of a document the whole sequences are cut off first;
+what is left, under ``capacity`` tokens, goes whole to its class.  The room that
+k pieces leave in a bin, under capacity / (k + 1), is filled with the next
+tokens of one document that is cut for this, the filler.  Each worker fills
+its classes' bins independently and holds fewer than k pieces of class k.
+
+The open bins of ``GATHER`` workers, which are few whatever the workers have
+read, meet in one task, which packs them by the same classes.  What is left
+there is laid end to end and cut at the capacity; the last stretch becomes
+sequences of its powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -25,48 +25,61 @@ from pyspark.sql import functions as F
 
 from wayfold.llm import bpe
 from wayfold.llm.workers import tidy
+from wayfold.workspace import Workspace
 
-CAPACITY, SMALLEST = 2048, 64
-#: Sequences that one worker may number.
-NUMBERS = 1 << 40
+CAPACITY = 2048
+#: Sequences that one worker may number; workers whose open bins meet in one task.
+NUMBERS, GATHER = 1 << 40, 64
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ROWS = 4096
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class HarmonicPacker:
     """One worker's bins.  A piece is (doc_id, start, length, ids, tokens of its document)."""
 
-    def __init__(self, capacity: int, smallest: int, first_sequence: int):
+    def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.sequence = capacity, first_sequence
-        self.cuts = [p for p in (capacity >> i for i in range(1, capacity.bit_length())) if p >= smallest]
         self.bins: dict[int, list] = {}
+        self.filler: list[tuple] = []
+        self.filling = 0
         self.out: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n = len(ids) // 4
-        at, left = 0, n
-
-        def piece(length: int) -> tuple:
-            return doc_id, at, length, ids[4 * at : 4 * (at + length)], n
-
-        while left >= self.capacity:
-            self._sequence([piece(self.capacity)])
-            at, left = at + self.capacity, left - self.capacity
-        for cut in self.cuts:
-            if left >= cut:
-                self._place(piece(cut))
-                at, left = at + cut, left - cut
-        if left:
-            self._place(piece(left))
-
-    def _place(self, piece: tuple) -> None:
+        at = 0
+        while n - at >= self.capacity:
+            self._sequence([(doc_id, at, self.capacity, ids[4 * at : 4 * (at + self.capacity)], n)])
+            at += self.capacity
+        if at < n:
+            self.place((doc_id, at, n - at, ids[4 * at :], n))
+
+    def place(self, piece: tuple) -> None:
+        """A piece shorter than a sequence: whole to its class, or to the filler if a bin's room might outlast it."""
+        if self.filling < self.capacity // 2:
+            self.filler.append(piece)
+            self.filling += piece[2]
+            return
         k = self.capacity // piece[2]
         held = self.bins.setdefault(k, [])
         held.append(piece)
         if len(held) == k:
-            self._sequence(held)
-            self.bins[k] = []
+            del self.bins[k]
+            self._sequence(held + self._fill(self.capacity - sum(p[2] for p in held)))
+
+    def _fill(self, room: int) -> list[tuple]:
+        """Pieces of ``room`` tokens; the filler has as many."""
+        taken = []
+        self.filling -= room
+        while room:
+            head, rest = self._split(self.filler.pop(), room)
+            if rest:
+                self.filler.append(rest)
+            taken.append(head)
+            room -= head[2]
+        return taken
 
     def _sequence(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -75,9 +88,15 @@ class HarmonicPacker:
             offset += piece[2]
         self.sequence += 1
 
+    def open(self) -> list[tuple]:
+        """The pieces that are in no sequence yet, in order of class."""
+        left = [p for k in sorted(self.bins) for p in self.bins[k]] + self.filler[::-1]
+        self.bins, self.filler, self.filling = {}, [], 0
+        return left
+
     def finish(self) -> None:
-        left = [p for k in sorted(self.bins) for p in self.bins[k]]
-        self.bins = {}
+        """Lay all open pieces end to end."""
+        left = self.open()
         total, filled = sum(p[2] for p in left), 0
         room, now = 0, []
         for piece in left:
@@ -101,45 +120,78 @@ class HarmonicPacker:
         return (doc_id, start, room, ids[: 4 * room], n), (doc_id, start + room, length - room, ids[4 * room :], n)
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for at in range(0, len(self.out), ROWS):
-            columns = zip(*self.out[at : at + ROWS])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        yield from _batches(self.out)
         self.out = []
 
 
-def harmonic_pack(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, smallest: int = SMALLEST
-) -> DataFrame:
-    """The pieces of all documents, each with its ids and its place in a sequence.
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + ROWS]), _KINDS)], names=_NAMES)
 
-    ``ids`` are little-endian unsigned 32-bit integers.  A sequence is its
-    pieces in order of ``offset``, padded to ``capacity`` unless its length is a
-    power of two.
 
-    * Each document ends with ``end_id``; a null or empty text has it alone.
-    * Rows that repeat a doc_id, or have none, are packed each for itself.
-    * ``capacity`` is a power of two.  Other columns are ignored.
-    """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+def fill_bins(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+    """Rows of :data:`SCHEMA`; open pieces have no offset, and their worker's number as sequence_id."""
 
     @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype="<u4").tobytes()
-        packer = HarmonicPacker(capacity, smallest, TaskContext.get().partitionId() * NUMBERS)
+        worker = TaskContext.get().partitionId()
+        packer = HarmonicPacker(capacity, worker * NUMBERS)
         for doc_ids, encoded in bpe.encode_documents(batches, tokenizer):
             for doc_id, ids in zip(doc_ids, encoded):
                 packer.add(doc_id, ids.astype("<u4").tobytes() + end)
             if len(packer.out) >= ROWS:
                 yield from packer.take()
-        packer.finish()
         yield from packer.take()
+        yield from _batches([(*piece, worker, None) for piece in packer.open()])
 
     return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
 
 
+def gather_bins(open_pieces: DataFrame, capacity: int) -> DataFrame:
+    """The sequences of what the workers have left open."""
+
+    @tidy
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packer = None, None
+        for batch in batches:
+            columns = zip(*(batch.column(c).to_pylist() for c in ("grp", *_NAMES[:5])))
+            for group, *piece in columns:
+                if group != now:
+                    if packer:
+                        packer.finish()
+                        yield from packer.take()
+                    now, packer = group, HarmonicPacker(capacity, (1 << 62) + group * NUMBERS)
+                packer.place(tuple(piece))
+            yield from packer.take()
+        if packer:
+            packer.finish()
+            yield from packer.take()
+
+    grouped = open_pieces.withColumn("grp", F.floor(F.col("sequence_id") / GATHER))
+    ordered = grouped.repartition("grp").sortWithinPartitions("grp", "sequence_id", "doc_id", "start", "ids")
+    return ordered.mapInArrow(work, SCHEMA)
+
+
+def harmonic_pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+    """The pieces of all documents, each with its ids and its place in a sequence.
+
+    ``ids`` are little-endian unsigned 32-bit integers.  A sequence is its
+    pieces in order of ``offset``, padded to ``capacity`` unless its length is a
+    power of two.
+
+    * Each document ends with ``end_id``; a null or empty text has it alone.
+    * Rows that repeat a doc_id, or have none, are packed each for itself.
+    * ``capacity`` is a power of two.  Other columns are ignored; an empty
+      table gives an empty result.
+    """
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
+    work = Workspace(docs.sparkSession, "packing")
+    placed = work.table(fill_bins(docs, tokenizer, end_id, capacity), "bins")
+    return placed.filter("offset IS NOT NULL").unionByName(gather_bins(placed.filter("offset IS NULL"), capacity))
+
+
 def packed_digests(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
