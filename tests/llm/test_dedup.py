@@ -46,10 +46,57 @@ def test_drop_exact_copies_keeps_columns(frame, odd_docs):
     assert 5 in ids
 
 
-def test_exact_dedup_plan_is_native(frame, odd_docs):
+def test_exact_dedup_plan_is_native_and_merges_by_order(frame, odd_docs):
     df = exact_dedup.exact_dedup(frame(odd_docs))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+    runs = exact_dedup.leaf_runs(exact_dedup.digest_entries(frame(odd_docs)))
+    plan = exact_dedup.merge_runs(runs)._jdf.queryExecution().executedPlan().toString()
+    # leaves and two rounds, each in part before its exchange and whole after it, from sorted entries
+    assert plan.count("SortAggregate(key=[run") == 6 and plan.count("Sort [run") == 6
+    assert "HashAggregate" not in plan
+
+
+def rows_left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_copies_go_by_their_own_text(frame):
+    docs = [(3, "alpha beta", None), (5, "alpha beta", None), (5, "quite another text", None), (7, "q", None), (7, "q", None)]
+    docs += [(None, "z", None), (None, "z", None), (None, "q", None), (9, None, None), (10, "", None)]
+    want = [(3, "alpha beta"), (5, "quite another text"), (7, "q"), (9, None), (None, "z")]
+    assert rows_left(exact_dedup.drop_exact_copies(frame(docs))) == sorted(want, key=str)
+
+
+def test_near_copies_go_by_their_own_text(frame):
+    t, u = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    docs = [(3, t, None), (5, t + " x", None), (5, u, None), (9, u + " y", None), (9, u + " y", None), (None, u, None), (None, u, None)]
+    docs += [(11, "", None), (12, None, None), (20, t.upper(), None), (3, t.upper(), None)]
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.near_dedup(frame(docs)).collect())
+    assert got == sorted(
+        [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False), (-1, -1, True), (-1, -1, True)]
+        + [(11, 11, True), (12, 12, True), (20, 3, False), (3, 3, True)]
+    )
+    left = rows_left(near_dedup.drop_near_copies(frame(docs)))
+    assert [x for x in left if x[0] == 3] in ([(3, t)], [(3, t.upper())])  # one row of the group stays
+    assert [x for x in left if x[0] != 3] == sorted([(5, u), (11, ""), (12, None), (None, u), (None, u)], key=str)
+
+
+def test_long_words_are_told_apart(frame):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = near_dedup.near_dedup(frame([(1, a, None), (2, b, None), (3, a.upper(), None)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_a_text_of_some_megabytes(frame):
+    lines = [f"line {i} of a text that is very long, word for word" for i in range(60_000)]
+    docs = [(1, "\n".join(lines), None)] + [(i, "\n".join(lines[:2]), None) for i in range(2, 7)] + [(7, "x" * 3_000_000, None)]
+    assert sorted(map(tuple, line_dedup.line_dedup(frame(docs)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect())) == lines_by_hand(docs)
+    got = near_dedup.near_dedup(frame(docs)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 7: 7} | dict.fromkeys(range(2, 7), 2)
 
 
 def lines_by_hand(docs, min_docs=5):
@@ -75,6 +122,13 @@ def test_line_dedup(frame, odd_docs):
     assert sum(r.n_dropped for r in got) > 5
 
 
+def test_line_dedup_of_rows_that_repeat_an_id(frame):
+    line = "a line of more than forty characters, shared by many"
+    docs = [(i, f"x\n{line}\n" + "y\n" * i, None) for i in range(6)] + [(2, line + "\nanother text\n" + line, None)] * 2
+    got = line_dedup.line_dedup(frame(docs)).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+    assert sorted(map(tuple, got)) == lines_by_hand(docs)
+
+
 def test_line_dedup_rows_without_id(frame):
     line = "x" * 50
     got = line_dedup.line_dedup(frame([(None, line, None)] * 7)).collect()

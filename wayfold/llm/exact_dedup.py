@@ -9,6 +9,12 @@ one entry for each digest and run, so a text that a third of all rows share
 costs ``leaves`` entries and never meets in one task.  The verdict goes back
 down by joining on (digest, leaf), which no hot text can skew either.
 
+Merging is by order: an aggregation of structs is planned as a sort aggregate,
+which walks entries sorted by run and digest and needs no table of them.  A
+task sorts its part of a run before it hands it on; what it gets is such
+sorted parts in a row, which Spark's sort, a TimSort, merges as the runs they
+are.
+
 An entry carries a second hash and the byte length next to the SHA-256;
 entries merge only if all three agree, at every level.
 
@@ -20,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.llm.verdicts import surviving
 from wayfold.workspace import Workspace
 
 #: Runs at the bottom of the tree and how many of them merge at a time.
@@ -44,23 +51,24 @@ def digest_entries(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
     )
 
 
-def merge_runs(entries: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
-    """The leaves' runs and the root's run."""
-    bottom = (
-        entries.groupBy("run", *KEY)
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .sortWithinPartitions("run", *KEY)
-    )
-    level, width = bottom, leaves
+def _merged(entries: DataFrame, least: Column, count: Column) -> DataFrame:
+    """One entry for each digest of a run; a struct as the least value makes Spark merge by order."""
+    merged = entries.groupBy("run", *KEY).agg(F.min(F.when(least.isNotNull(), F.struct(least.alias("id")))).alias("first"), count.alias("n"))
+    return merged.select("run", *KEY, F.col("first.id").alias("keep_id"), "n")
+
+
+def leaf_runs(entries: DataFrame) -> DataFrame:
+    return _merged(entries, F.col("doc_id"), F.count(F.lit(1)))
+
+
+def merge_runs(runs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
+    """The root's run of the leaves' runs."""
+    level, width = runs, leaves
     while width > 1:
         width = -(-width // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *KEY)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-            .sortWithinPartitions("run", *KEY)
-        )
-    return bottom, level.drop("run")
+        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+        level = _merged(level, F.col("keep_id"), F.sum("n"))
+    return level.drop("run")
 
 
 def exact_dedup(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
@@ -77,9 +85,8 @@ def exact_dedup(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) ->
     """
     work = Workspace(docs.sparkSession, "exact-dedup")
     entries = work.table(digest_entries(docs, leaves), "entries")
-    bottom, root = merge_runs(entries, leaves, fan_in)
-    bottom = work.table(bottom.select("run", *KEY), "bottom", small=True)
-    verdict = bottom.join(root, KEY)
+    runs = work.table(leaf_runs(entries), "runs")
+    verdict = runs.select("run", *KEY).join(merge_runs(runs, leaves, fan_in), KEY)
     return entries.join(verdict, ["run", *KEY]).select(
         "doc_id",
         "keep_id",
@@ -90,10 +97,17 @@ def exact_dedup(docs: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) ->
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text a smaller doc_id has."""
-    verdict = exact_dedup(docs)
-    gone = verdict.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row, that of the smallest doc_id, of each text.
+
+    * A row goes by its own text, also where other rows have its doc_id.
+    * Of rows equal in doc_id and text one stays, whatever their other columns.
+    * A row without a doc_id stays only if no row of its text has one; then
+      one of them stays.
+    """
+    work = Workspace(docs.sparkSession, "exact-drop")
+    verdict = exact_dedup(docs).select("doc_id", F.unhex("text_sha256").alias("key"), F.col("kept").alias("stays"))
+    key = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    return surviving(docs, key, work.table(verdict, "verdict"), once_without_id=True)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

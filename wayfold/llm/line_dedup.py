@@ -1,10 +1,10 @@
 """Line dedup: drop lines that many documents share.
 
-Lines are exploded with their document, hashed, and the distinct documents of
-each hash counted.  Counting distinct documents is planned as two partial
-aggregations, by (hash, document) and then by hash, so a line of every
-document is spread over all tasks.  Texts are joined with their own dropped
-hashes only, by doc_id, and put together again in order of position.
+Lines are exploded with their document and position, and the keys long enough
+to count are hashed, once.  Counting the distinct documents of each hash is
+planned as two partial aggregations, by (hash, document) and then by hash, so
+a line of every document is spread over all tasks.  The positions to drop go
+back to their text, which is put together again from what lies between them.
 
 Only DataFrame functions are used.
 """
@@ -27,26 +27,25 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
 
 
-def line_hash(line: Column) -> Column:
-    """128 bits of the line's key, null for keys too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= MIN_CHARS, F.unhex(F.md5(key)))
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def with_lines(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
+def long_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, pos, h) of each line whose key is long enough to count; ``h`` has 128 bits."""
+    text_key = F.xxhash64("text").alias("text_key")
+    each = docs.filter("doc_id IS NOT NULL").select("doc_id", text_key, F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    keyed = each.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= MIN_CHARS)
+    return keyed.select("doc_id", "text_key", "pos", F.unhex(F.md5("key")).alias("h"))
 
 
-def shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def shared_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Hashes of lines in at least ``min_docs`` documents, and the largest doc_id that holds each."""
-    each = with_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
-        F.explode(F.array_distinct(F.filter(F.transform("_lines", line_hash), lambda h: h.isNotNull()))).alias("h"),
-    )
     return (
-        each.groupBy("h")
+        lines.groupBy("h")
         .agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
         .filter(F.col("n_docs") >= min_docs)
+        .select("h", "last_id")
     )
 
 
@@ -59,38 +58,39 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
     * A null or empty text is one empty line, which stays.
     * Rows that repeat a doc_id are one document to the count, and each is
-      cleaned alike; rows without a doc_id are not counted and stay whole.
+      cleaned by its own positions; rows without a doc_id are not counted and
+      stay whole.
     * Other columns pass through; columns of the three names are replaced, and
       names that start with ``_ld_`` are reserved.
     """
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     work = Workspace(docs.sparkSession, "line-dedup")
-    shared = work.table(shared_lines(docs, min_docs), "shared", small=True)
-    each = with_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
-        F.explode(F.array_distinct(F.filter(F.transform("_lines", line_hash), lambda h: h.isNotNull()))).alias("h"),
-    )
-    # the documents of one line are at most the documents of one hash: the join may be
-    # skewed, and AQE splits it; what is gathered is bounded by one document's lines
+    lines = work.table(long_lines(docs.select("doc_id", "text")), "lines")
+    # a line of many documents makes this join skewed; AQE splits its rows, and the side of
+    # shared lines holds one row a line
     gone = (
-        each.join(shared, "h")
+        lines.join(work.table(shared_lines(lines, min_docs), "shared", small=True), "h")
         .filter(F.col("doc_id") < F.col("last_id"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("h").alias("_ld_gone"))
-        .withColumnRenamed("doc_id", "_ld_id")
+        .groupBy(F.col("doc_id").alias("_ld_id"), F.col("text_key").alias("_ld_of"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("_ld_gone"))  # equal rows have equal positions
     )
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    none = F.col("_ld_gone").isNull()
-    kept = F.filter(
-        lines,
-        lambda line: F.coalesce(~F.array_contains(F.col("_ld_gone"), line_hash(line)), F.lit(True)),
+    text = F.coalesce(F.col("text"), F.lit(""))
+    whole = split_lines(F.col("text"))
+    # what lies between positions that go, in linear time; -1 and the number of lines stand at the ends
+    marks = F.concat(F.array(F.lit(-1)), F.col("_ld_gone"), F.array(F.size("_ld_lines")))
+    between = F.transform(
+        F.arrays_zip(F.slice("_ld_marks", 1, F.size("_ld_gone") + 1).alias("a"), F.slice("_ld_marks", 2, F.size("_ld_gone") + 1).alias("b")),
+        lambda m: F.slice(F.col("_ld_lines"), m["a"] + 2, m["b"] - m["a"] - 1),
     )
+    some = F.col("_ld_gone").isNotNull()
     return (
-        docs.join(gone, F.col("doc_id") == F.col("_ld_id"), "left")
-        .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("_ld_kept", F.when(~none, kept))
-        .withColumn("n_dropped", F.when(none, F.lit(0)).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"))
-        .withColumn("kept_text", F.when(none, F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join("_ld_kept", "\n")))
+        docs.withColumn("_ld_key", F.xxhash64("text"))
+        .join(gone, (F.col("doc_id") == F.col("_ld_id")) & (F.col("_ld_key") == F.col("_ld_of")), "left")
+        .withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long"))
+        .withColumn("_ld_lines", F.when(some, whole))
+        .withColumn("_ld_marks", F.when(some, marks))
+        .withColumn("kept_text", F.when(some, F.array_join(F.flatten(between), "\n")).otherwise(text))
         .select(*docs.columns, "kept_text", "n_lines", "n_dropped")
     )
 

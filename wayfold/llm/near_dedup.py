@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
+from wayfold.llm.verdicts import surviving
 from wayfold.llm.secret_scan import segments
+from wayfold.llm.spans import mix, span_hash, text_bytes
 from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
@@ -44,16 +46,7 @@ BLOCK_BYTES, TILE_SHINGLES, TILE_SETS, TILE_COLUMNS, TILE_ROWS = 1 << 19, 500_00
 #: Parts over which the rows of one key are spread; rows of an Arrow batch of texts or sets.
 SALTS, BATCH = 64, 1_000
 
-_A, _P = np.uint64(0x9E3779B97F4A7C15), 0xD1342543DE82EF95
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit integers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
@@ -63,12 +56,8 @@ class Shingler:
         self.words = words
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        value = mix(np.arange(1, 257, dtype=np.uint64) * _A)
-        value[ord("A") : ord("Z") + 1] = value[ord("a") : ord("z") + 1]
-        self.value = value
-        n = BLOCK_BYTES + 2
-        self.power = np.cumprod(np.full(n, _P, dtype=np.uint64))
-        self.inverse = np.cumprod(np.full(n, pow(_P, -1, 1 << 64), dtype=np.uint64))
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[ord("A") : ord("Z") + 1] += 32
 
     def _word_hashes(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and starts of the words of a block; ``edges`` are the starts of texts in it."""
@@ -78,8 +67,7 @@ class Shingler:
         before = np.concatenate([[False], solid[:-1]]) & ~cut[:-1]
         after = np.concatenate([solid[1:], [False]]) & ~cut[1:]
         starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[data] * self.power[: len(data)])])
-        return mix((total[ends] - total[starts]) * self.inverse[starts]), starts
+        return span_hash(self.lower[data], starts, ends), starts
 
     def _words(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts and the number of words before each text's end."""
@@ -89,22 +77,14 @@ class Shingler:
             if end < len(data):
                 back = np.flatnonzero(self.space[data[at:end]])
                 end = at + int(back[-1]) + 1 if len(back) else self._long_word(data, at, bounds)
-            edges = bounds[(bounds >= at) & (bounds < end)] - at
-            if end - at > BLOCK_BYTES:  # one word longer than a block
-                hashes.append(np.frombuffer(hashlib.blake2b(bytes(self._folded(data[at:end])), digest_size=8).digest(), "<u8"))
-                starts.append(np.array([at]))
-            else:
-                h, s = self._word_hashes(data[at:end], edges)
-                hashes.append(h)
-                starts.append(s + at)
+            h, s = self._word_hashes(data[at:end], bounds[(bounds >= at) & (bounds < end)] - at)
+            hashes.append(h)
+            starts.append(s + at)
             at = end
         if not hashes:
             return np.empty(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
         return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), bounds[1:])
 
-    def _folded(self, data: np.ndarray) -> np.ndarray:
-        return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-
     def _long_word(self, data: np.ndarray, at: int, bounds: np.ndarray) -> int:
         """End of a stretch that has no space in a whole block: the next text's start or space."""
         inside = bounds[(bounds > at) & (bounds <= at + BLOCK_BYTES)]
@@ -119,13 +99,9 @@ class Shingler:
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The sorted distinct shingles of each text."""
-        n, k = len(column), self.words
-        if not n:
-            return
-        column = column.cast(pa.string())
-        bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
-        hashes, ends = self._words(data, bounds - bounds[0])
+        k = self.words
+        data, bounds = text_bytes(column)
+        hashes, ends = self._words(data, bounds)
         chain = np.zeros(max(0, len(hashes) - k + 1), dtype=np.uint64)
         for j in range(k):
             chain = chain * _A + hashes[j : j + len(chain)]
@@ -178,8 +154,12 @@ def minhash() -> CirculantMinHash:
     return CirculantMinHash()
 
 
+def set_digest(shingles: bytes) -> bytes:
+    return hashlib.blake2b(shingles, digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, band keys); digest and keys are null for an empty set."""
+    """(doc_id, text_key, n_shingles, digest of the set, band keys); digest and keys are null for an empty set."""
 
     @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +169,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sizes, digests, found = [], [], []
                 for s in cut.sets(part.column("text")):
                     sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(set_digest(s.tobytes()) if len(s) else None)
                     if len(s):
                         found.append(mh.signature(s))
                 keys = iter(mh.bands(np.stack(found)) if found else ())
@@ -197,18 +177,20 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("text_key"),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands"],
+                    names=["doc_id", "text_key", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    schema = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(work, schema)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): 64-bit hashes in ascending order, as bytes."""
+    """(digest, shingles) of each text: 64-bit hashes in ascending order, as bytes, and their digest."""
 
     @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +198,10 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in (s.slice(at, 256) for s in segments(batch) for at in range(0, s.num_rows, 256)):
                 sets = [s.tobytes() for s in cut.sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+                digests = [set_digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "id long, shingles binary")
+    return docs.select("text").mapInArrow(work, "digest binary, shingles binary")
 
 
 def similar(common, a, b, percent: int):
@@ -317,36 +300,29 @@ def verify_tiles(tiles: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(work, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: the component of near copies it is in.
-
-    Columns: doc_id, n_shingles, component_id, kept.  Words are split at ASCII
-    white space and A-Z lower-cased; a document's set is its distinct
-    shingles of ``words`` words, or its whole sequence if it has fewer.  Two
-    documents are linked if 100 * common >= percent * union.
+def near_verdicts(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text_key, n_shingles, component_id and ``stays``.
 
-    * A text that is null, empty or without words has the empty set; it is
-      linked with nothing.
-    * Rows that repeat a doc_id and its text share one verdict.  If their texts
-      differ, each row has the component of its own text's set.
-    * Rows without a doc_id are linked with nothing, have no component, and are
-      kept.
-    * Other columns are ignored; an empty table gives an empty result.
+    A row is known by its doc_id and ``text_key``, a hash of its text.  Of a
+    component the row with the smallest of both stays.
     """
     work = Workspace(docs.sparkSession, "near-dedup")
     signed = work.table(
         signatures(docs, words).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "signatures", BATCH
     )
-    named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
+    named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL").withColumn("row", F.struct("doc_id", "text_key"))
 
-    # one representative for each distinct set; salted, since one set may be that of a third of all rows
-    bottom = work.table(named.groupBy("digest", "salt").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")), "bottom", small=True)
+    # each distinct set gets a number of its own; salted, since one set may be that of a third of all rows
+    bottom = work.table(named.groupBy("digest", "salt").agg(F.min("row").alias("least"), F.first("n_shingles").alias("n")), "bottom", small=True)
     top = bottom.groupBy("digest").agg(F.min("least").alias("rep"))
+    # written by the tasks that number them, so that a repeated task gives no set two numbers
+    top = work.table(top.withColumn("set_id", F.monotonically_increasing_id()), "sets")
     bands = named.join(
-        bottom.join(top, "digest").filter("least = rep").select("digest", "salt", "rep"), ["digest", "salt"]
+        bottom.join(top, "digest").filter("least = rep").select("digest", "salt", "rep", "set_id"), ["digest", "salt"]
     )
-    bands = bands.filter("doc_id = rep").select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    members = bands.select("bucket", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # rows that repeat a set's smallest row give equal members, which the distinct() below takes together
+    bands = bands.filter("row = rep").select("set_id", "n_shingles", F.explode("bands").alias("bucket"))
+    members = bands.select("bucket", F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
 
     leaders = (
         members.groupBy("bucket")
@@ -363,9 +339,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         small=True,
     )
     # sets are made again for candidates only; all documents' sets would outweigh the texts
-    wanted = crowded.select("id").union(crowded.select("leader")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = work.table(full_sets(texts, words).dropDuplicates(["id"]), "shingles", BATCH)
+    wanted = crowded.select("id").union(crowded.select(F.col("leader").alias("id"))).distinct()
+    wanted = work.table(top.join(wanted, F.col("set_id") == F.col("id")).select("id", "digest", "rep.doc_id"), "wanted", small=True)
+    texts = docs.select("doc_id", "text").join(wanted.select("doc_id"), "doc_id", "left_semi")
+    # a doc_id that is repeated brings texts of other sets too: a set is known by its digest
+    sets = full_sets(texts, words).join(wanted.select("id", "digest"), "digest").dropDuplicates(["digest"])
+    sets = work.table(sets.select("id", "shingles"), "shingles", BATCH)
 
     heads = pairs.select("leader", "salt").distinct().join(sets.withColumnRenamed("id", "leader"), "leader")
     stars = heads.select("leader", "salt", F.lit(0).alias("side"), F.col("leader").alias("id"), "shingles").unionByName(
@@ -441,20 +420,53 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         )
         comps = comps.join(joined, "component", "left").select("id", F.coalesce("top", "component").alias("component")).unionByName(alone)
 
-    verdict = top.join(comps, top["rep"] == comps["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # a component is named after the smallest row of its sets
+    linked = top.join(comps, F.col("set_id") == F.col("id")).select("digest", "rep", "component")
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    named_sets = linked.join(names, "component").select("digest", "name")
+    verdict = top.select("digest", "rep").join(named_sets, "digest", "left").select("digest", F.coalesce("name", "rep").alias("name"))
     verdict = bottom.select("digest", "salt").join(verdict, "digest")
+    own = F.struct("doc_id", "text_key")
     return signed.join(verdict, ["digest", "salt"], "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("name.doc_id", "doc_id")).alias("component_id"),
+        (F.col("doc_id").isNull() | F.col("name").isNull() | (own == F.col("name"))).alias("stays"),
     )
 
 
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs``: the component of near copies it is in.
+
+    Columns: doc_id, n_shingles, component_id, kept.  Words are split at ASCII
+    white space and A-Z lower-cased; a document's set is its distinct
+    shingles of ``words`` words, or its whole sequence if it has fewer.  Two
+    documents are linked if 100 * common >= percent * union.
+
+    * A text that is null, empty or without words has the empty set; it is
+      linked with nothing.
+    * Rows that repeat a doc_id and its text share one verdict.  If their texts
+      differ, each row has the component of its own text's set.
+    * Rows without a doc_id are linked with nothing, have no component, and are
+      kept.
+    * Other columns are ignored; an empty table gives an empty result.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return near_verdicts(docs, words, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, the smallest doc_id, of each component."""
-    gone = near_dedup(docs, words, percent).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row, that of the smallest doc_id, of each component.
+
+    * A row goes by its own text, also where other rows have its doc_id.  If
+      rows of one component share its smallest doc_id, one of them stays.
+    * Of rows equal in doc_id and text one stays, whatever their other columns.
+    * Rows without a doc_id, and texts without words, stay.
+    """
+    work = Workspace(docs.sparkSession, "near-drop")
+    verdict = near_verdicts(docs, words, percent).select("doc_id", F.col("text_key").alias("key"), "stays")
+    return surviving(docs, F.xxhash64("text"), work.table(verdict, "verdict", small=True))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
