@@ -1,28 +1,34 @@
 """Document scores by masked pseudo-likelihood.
 
-A network predicts every token from the two tokens on either side of it.  Each
-place of the window has its own table of vectors; their sum, squashed, gives
-first the token's class and then the token in its class, so that a prediction
-costs two small softmaxes.  A document's score is the sum of its tokens' log
-probabilities.
-
-Tokens without an id of their own share the ids of the buckets.  Such a token's
-probability is its bucket's times its share of the bucket's count, from the
+A network predicts every token from the two tokens on either side of it.  The
+vectors of the four neighbours are mixed and squashed; what comes out gives
+first the token's class, then a word or bucket of that class, and in a bucket
+one of its words, so that a prediction costs three small softmaxes for a
+vocabulary of some 33,000 words.  A document's score is the sum of its tokens'
+log probabilities.
+
+Words beyond the vocabulary share the last place of a bucket.  Such a word's
+probability is that of the place times its share of the place's count, from the
 counts of all tokens.  The most frequent of these counts are held in memory;
 the rest, which grow with the corpus, are joined.
 
-Tokens are runs of letters and digits, or single marks.  Frequent ones, by a
-count over all documents, have an id of their own, and all others one of a
-fixed number of buckets.
+Tokens are runs of letters, marks and digits of any script, A-Z and their like
+counted as small letters; characters of scripts without spaces between words,
+and all other characters, are tokens of their own.
 
-Training: each partition starts from the same weights and walks through all its
-documents, predicting every token; the partitions' weights are averaged,
-weighted by what each has seen, in two steps.
+Training: documents are dealt by a hash of themselves to shards of about
+``SHARD_TOKENS`` tokens and to ``ROUNDS`` rounds.  In a round each shard starts from
+the same weights and walks through its documents of that round, in order of the
+hash, predicting every token; the shards' changes are averaged, each weight's
+by how much a shard had to say on it.  So every token is predicted once, and
+the result does not depend on how the rows are partitioned.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,74 +36,130 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.bpe import SpanHash
 from wayfold.llm.secret_scan import segments
+from wayfold.llm.spans import span_hash, text_bytes
 from wayfold.llm.workers import tidy
 from wayfold.workspace import Workspace
 
-#: Ids are classes x per class: one for a text's border, then words, then buckets.
-CLASSES, PER_CLASS, BUCKETS = 32, 32, 256
-WORDS = CLASSES * PER_CLASS - BUCKETS - 1
+#: Classes of as many words or buckets: one place for a text's border, then words, then buckets of as many words.
+CLASSES, PER_CLASS, BUCKETS, PER_BUCKET = 32, 32, 128, 128
+#: Words with a place of their own in a class, and in all; the last place of a bucket is for all other words.
+FIRST = CLASSES * PER_CLASS - BUCKETS - 1
+WORDS = FIRST + BUCKETS * (PER_BUCKET - 1)
+TAIL = 1 + FIRST
+IDS = TAIL + BUCKETS * PER_BUCKET
 #: Tokens whose counts scoring holds in memory; those of all others are joined.
 KNOWN = 1 << 16
-WINDOW, WIDTH = (-2, -1, 1, 2), 16
-BATCH, RATE, SEED = 1024, 0.2, 11
-#: Bytes that are cut at a time; tokens that are scored at a time; floats of a row of weights.
-BLOCK_BYTES, CHUNK, ROW = 1 << 19, 1 << 14, 4096
+WINDOW, VECTOR, HIDDEN = (-2, -1, 1, 2), 16, 15
+SHARD_TOKENS, ROUNDS = 1 << 21, 3
+BATCH, RATE, DAMP, SEED = 1 << 14, 0.2, 0.1, 11
+#: Tokens that are shuffled and learned together; bytes that are cut at a time; tokens scored at a time; rows of weights sent together.
+LEARN, BLOCK_BYTES, CHUNK, ROWS = 1 << 16, 1 << 19, 1 << 15, 1024
 
 
 class TokenHasher:
-    """Hashes of the tokens of many texts, from their bytes.  A-Z count as a-z."""
+    """Hashes of the tokens of many texts, from their bytes."""
+
+    #: Blocks of scripts that put no spaces between words.
+    UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF))
 
     def __init__(self):
-        self.kind = np.full(256, 2, dtype=np.uint8)
-        word = [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]
-        self.kind[word], self.kind[[0x20, *range(0x09, 0x0E)]] = 1, 0
-        self.hash = SpanHash(0x9E3779B97F4A7C15, 0xD1342543DE82EF95, BLOCK_BYTES)
-        self.hash.value[0x41:0x5B] = self.hash.value[0x61:0x7B]
+        # 0 is space, 1 part of a word, 2 a token of its own; characters beyond the first plane are 2
+        self.kind = np.full(1 << 16, 2, dtype=np.uint8)
+        self.lower = np.arange(1 << 16, dtype=np.uint32)
+        for cp in (*range(0xD800), *range(0xE000, 1 << 16)):
+            c = chr(cp)
+            category = unicodedata.category(c)[0]
+            if category in "LMN" and not any(a <= cp <= b for a, b in self.UNSPACED):
+                self.kind[cp] = 1
+            elif category == "Z" or c.isspace():
+                self.kind[cp] = 0
+            small = c.lower()
+            if len(small) == 1 and len(small.encode()) == len(c.encode()):
+                self.lower[cp] = ord(small)
 
     def _block(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kind = self.kind[data]
+        """Hashes and starts of the tokens of whole characters; ``edges`` are starts of texts."""
+        kind, folded = self.kind[data], self.lower[data].astype(np.uint8)
+        inner = (data & 0xC0) == 0x80
+        for size, low, high, mask in ((2, 0xC0, 0xE0, 0x1F), (3, 0xE0, 0xF0, 0x0F), (4, 0xF0, 0xF8, 0x07)):
+            at = np.flatnonzero((data >= low) & (data < high))
+            if not len(at):
+                continue
+            cp = (data[at] & mask).astype(np.uint32)
+            for j in range(1, size):
+                cp = cp << 6 | (data[at + j] & 0x3F)
+            wide = cp >= 1 << 16
+            of = np.where(wide, 2, self.kind[cp & 0xFFFF])
+            small = np.where(wide, cp, self.lower[cp & 0xFFFF])
+            for j in range(size):
+                kind[at + j] = of
+                bits = small >> np.uint32(6 * (size - 1 - j)) & 0x3F
+                folded[at + j] = bits | 0x80 if j else small >> np.uint32(6 * (size - 1)) | low
         border = np.zeros(len(data) + 1, dtype=bool)
         border[edges] = True
         word = kind == 1
         joined = np.zeros(len(data) + 1, dtype=bool)  # whether a place continues the token before it
         joined[1:-1] = word[1:] & word[:-1] & ~border[1:-1]
+        joined[:-1] |= inner
         starts = np.flatnonzero((kind > 0) & ~joined[:-1])
         ends = np.flatnonzero((kind > 0) & ~joined[1:]) + 1
-        return self.hash(data, starts, ends), starts
+        return span_hash(folded, starts, ends), starts
 
     def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all tokens, and how many lie before each text's end."""
-        column, n = column.cast(pa.string()), len(column)
-        if not n:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        bounds = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        data, bounds = text_bytes(column)
         hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
         while at < len(data):
-            end = min(at + BLOCK_BYTES, len(data))
-            if end < len(data):
-                # a block ends where no token goes on; a run of one word beyond a block is cut
-                back = np.flatnonzero(self.kind[data[at:end]] != 1)
-                end = at + int(back[-1]) + 1 if len(back) else end
+            end = self._end(data, at, bounds)
             h, s = self._block(data[at:end], bounds[(bounds >= at) & (bounds <= end)] - at)
             hashes.append(h)
             starts.append(s + at)
             at = end
         return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), bounds[1:])
 
+    def _end(self, data: np.ndarray, at: int, bounds: np.ndarray) -> int:
+        """About a block further, where no token goes on: after an ASCII space or mark, or at a text's end."""
+        if at + BLOCK_BYTES >= len(data):
+            return len(data)
+        for x in range(at, len(data), BLOCK_BYTES):
+            part = data[x : x + BLOCK_BYTES]
+            apart = np.flatnonzero((part < 0x80) & (self.kind[part] != 1))
+            if len(apart):
+                return x + int(apart[-1]) + 1
+            text = bounds[(bounds > x) & (bounds <= x + BLOCK_BYTES)]
+            if len(text):
+                return int(text[-1])
+        return len(data)
+
+
+@lru_cache(maxsize=1)
+def hasher() -> TokenHasher:
+    return TokenHasher()
+
+
+#: The place among classes of every id.
+PLACE = np.concatenate([np.arange(TAIL), TAIL + np.repeat(np.arange(BUCKETS), PER_BUCKET)]).astype(np.uint16)
+
 
 class Vocabulary:
-    def __init__(self, words: list[int], counts: np.ndarray, known: np.ndarray, times: np.ndarray):
+    """Ids of tokens: 0 a text's border, then the most frequent words, then those of the buckets."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, known: np.ndarray, times: np.ndarray):
         """``words``: hashes by falling frequency; ``counts``: of each id; ``known``: sorted hashes, which occur ``times``."""
-        order = np.argsort(np.array(words, dtype=np.uint64), kind="stable")
-        self.sorted, self.id = np.array(words, dtype=np.uint64)[order], order + 1
+        order = np.argsort(words, kind="stable")
+        rank = np.arange(len(words))
+        tail = rank - FIRST
+        self.sorted = words[order]
+        self.id = np.where(tail < 0, 1 + rank, TAIL + tail % BUCKETS * PER_BUCKET + tail // BUCKETS)[order]
         self.counts, self.known, self.times = counts, known, times
 
+    @staticmethod
+    def other(hashes: np.ndarray) -> np.ndarray:
+        return TAIL + (hashes % np.uint64(BUCKETS)).astype(np.int64) * PER_BUCKET + PER_BUCKET - 1
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = 1 + WORDS + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+        other = self.other(hashes)
         if not len(self.sorted):
             return other
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -106,12 +168,12 @@ class Vocabulary:
     def log_shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of each token's share of its id's count, less its own log count where the second result says so."""
         logs, open_ = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-        shared = np.flatnonzero(ids > WORDS)
+        shared = np.flatnonzero((ids >= TAIL) & ((ids - TAIL) % PER_BUCKET == PER_BUCKET - 1))
         if len(shared):
             h = hashes[shared]
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             found = self.known[at] == h
-            logs[shared] = np.where(found, np.log(self.times[at]), 0) - np.log(self.counts)[ids[shared]]
+            logs[shared] = np.where(found, np.log(self.times[at]), 0) - np.log(self.counts[ids[shared]])
             open_[shared] = ~found
         return logs, open_
 
@@ -126,108 +188,108 @@ def padded(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Network:
+    """Tables of rows of weights; the last column of an output table is a bias, as is the last row of ``mix``."""
+
     SHAPES = {
-        "context": (len(WINDOW), CLASSES * PER_CLASS, WIDTH),
-        "bias": (WIDTH,),
-        "to_class": (WIDTH, CLASSES),
-        "class_bias": (CLASSES,),
-        "to_word": (CLASSES, WIDTH, PER_CLASS),
-        "word_bias": (CLASSES, PER_CLASS),
+        "vectors": (IDS, VECTOR),
+        "mix": (len(WINDOW) * VECTOR + 1, HIDDEN),
+        "classes": (CLASSES, HIDDEN + 1),
+        "places": (CLASSES * PER_CLASS, HIDDEN + 1),
+        "words": (BUCKETS * PER_BUCKET, HIDDEN + 1),
     }
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, shape in self.SHAPES.items():
-            setattr(self, name, flat[at : at + int(np.prod(shape))].reshape(shape))
-            at += int(np.prod(shape))
-
-    @classmethod
-    def size(cls) -> int:
-        return sum(int(np.prod(s)) for s in cls.SHAPES.values())
+    def __init__(self, tables: dict[str, np.ndarray]):
+        self.tables = tables
+        self.vectors, self.mix, self.classes, self.places, self.words = (tables[name] for name in self.SHAPES)
+        self.squares = {name: np.full(len(t), DAMP, dtype=np.float32) for name, t in tables.items()}
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Network:
         """Small random weights, with the biases of the counts."""
-        net = cls((np.random.default_rng(SEED).standard_normal(cls.size()) * 0.1).astype(np.float32))
-        table = counts.reshape(CLASSES, PER_CLASS) + 0.5
-        net.bias[:] = 0
-        net.class_bias[:] = np.log(table.sum(axis=1) / table.sum())
-        net.word_bias[:] = np.log(table / table.sum(axis=1, keepdims=True))
+        rng = np.random.default_rng(SEED)
+        net = cls({name: (rng.standard_normal(shape) * 0.1).astype(np.float32) for name, shape in cls.SHAPES.items()})
+        table = np.bincount(PLACE, weights=counts).reshape(CLASSES, PER_CLASS) + 0.5
+        net.mix[-1] = 0
+        net.classes[:, -1] = np.log(table.sum(axis=1) / table.sum())
+        net.places[:, -1] = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+        table = counts[TAIL:].reshape(BUCKETS, PER_BUCKET) + 0.01
+        net.words[:, -1] = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
         return net
 
-    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
-        x = self.context[0][around[0]] + self.bias
-        for table, ids in zip(self.context[1:], around[1:]):
-            x += table[ids]
-        return np.tanh(x, out=x)
-
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-    @staticmethod
-    def around(line: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        return [line[place + d] for d in WINDOW]
+    def hidden(self, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbours, their vectors, and what is made of them with a column of ones."""
+        around = line.take(place[:, None] + np.array(WINDOW))
+        x = self.vectors.take(around, axis=0).reshape(len(place), -1)
+        h = np.ones((len(place), HIDDEN + 1), dtype=np.float32)
+        np.tanh(x @ self.mix[:-1] + self.mix[-1], out=h[:, :-1])
+        return around, x, h
+
+    def _softmaxes(self, target: np.ndarray, h: np.ndarray) -> Iterator[tuple[slice, str, slice, np.ndarray, np.ndarray]]:
+        """(rows, table, its rows, place of each target, powers of e) of the softmaxes of sorted targets.
+
+        The powers are those of the logits less each row's largest.
+        """
+        place = PLACE[target].astype(np.int64)
+        group = place // PER_CLASS
+
+        def powers(rows: slice, weights: np.ndarray) -> np.ndarray:
+            x = h[rows] @ weights.T
+            x -= x.max(axis=1, keepdims=True)
+            return np.exp(x, out=x)
+
+        whole = slice(0, len(target))
+        yield whole, "classes", slice(0, CLASSES), group, powers(whole, self.classes)
+        tail = int(np.searchsorted(target, TAIL))
+        for size, table, base, of, where in (
+            (PER_CLASS, "places", 0, group, place),
+            (PER_BUCKET, "words", tail, (target[tail:] - TAIL) // PER_BUCKET, target - TAIL),
+        ):
+            weights = self.tables[table]
+            edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                first = int(of[a]) * size
+                rows, mine = slice(base + a, base + b), slice(first, first + size)
+                yield rows, table, mine, where[rows] - first, powers(rows, weights[mine])
 
     def log_probs(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of the token at each place, from its neighbours."""
         out = np.empty(len(place))
         for at in range(0, len(place), CHUNK):
             part = place[at : at + CHUNK]
-            part = part[order := np.argsort(line[part] // PER_CLASS, kind="stable")]
+            part = part[order := np.argsort(line[part].astype(np.uint16), kind="stable")]
             target = line[part]
-            group, word = target // PER_CLASS, target % PER_CLASS
-            h = self.hidden(self.around(line, part))
-            rows = np.arange(len(part))
-            logs = self._log_softmax(h @ self.to_class + self.class_bias)[rows, group].astype(np.float64)
-            edges = np.searchsorted(group, np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                a, b = edges[c], edges[c + 1]
-                if a < b:
-                    x = self._log_softmax(h[a:b] @ self.to_word[c] + self.word_bias[c])
-                    logs[a:b] += x[np.arange(b - a), word[a:b]]
-            out[at + order] = logs
+            odds = np.zeros(len(part))
+            _, _, h = self.hidden(line, part)
+            for rows, _, _, which, x in self._softmaxes(target, h):
+                odds[rows] += np.log(np.maximum(x[np.arange(len(which)), which], 1e-37) / x.sum(axis=1))
+            out[at + order] = odds
         return out
 
-    def learn(self, line: np.ndarray, place: np.ndarray, squares: np.ndarray) -> None:
-        """One step of gradient descent, each weight at a rate by the root of its ``squares``."""
-        n = len(place)
-        grad = Network(np.zeros(self.size(), dtype=np.float32))
-        part = place[np.argsort(line[place] // PER_CLASS, kind="stable")]
-        target, around = line[part], self.around(line, part)
-        group, word = target // PER_CLASS, target % PER_CLASS
-        h = self.hidden(around)
-        d = -np.exp(self._log_softmax(h @ self.to_class + self.class_bias))
-        d[np.arange(n), group] += 1
-        grad.to_class[:], grad.class_bias[:] = h.T @ d, d.sum(axis=0)
-        dh = d @ self.to_class.T
-        edges = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            a, b = edges[c], edges[c + 1]
-            if a < b:
-                d = -np.exp(self._log_softmax(h[a:b] @ self.to_word[c] + self.word_bias[c]))
-                d[np.arange(b - a), word[a:b]] += 1
-                grad.to_word[c], grad.word_bias[c] = h[a:b].T @ d, d.sum(axis=0)
-                dh[a:b] += d @ self.to_word[c].T
-        dh *= 1 - h * h
-        grad.bias[:] = dh.sum(axis=0)
-        for table, ids in zip(grad.context, around):
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            table[ids[order][first]] = np.add.reduceat(dh[order], first, axis=0)
-        grad.flat /= n
-        squares += grad.flat * grad.flat
-        self.flat += RATE * grad.flat / np.sqrt(squares + 1e-8)
-
-
-_HASHER: list[TokenHasher] = []
-
-
-def hasher() -> TokenHasher:
-    if not _HASHER:
-        _HASHER.append(TokenHasher())
-    return _HASHER[0]
+    def learn(self, line: np.ndarray, place: np.ndarray) -> None:
+        """One step of gradient ascent, each row of weights at a rate by the root of its squares."""
+        part = place[np.argsort(line[place].astype(np.uint16), kind="stable")]
+        target = line[part]
+        around, x, h = self.hidden(line, part)
+        dh = np.zeros_like(h)
+        for rows, table, mine, which, d in self._softmaxes(target, h):
+            d *= -1 / d.sum(axis=1, keepdims=True)
+            d[np.arange(len(which)), which] += 1
+            weights = self.tables[table][mine]
+            dh[rows] += d @ weights
+            self._step(table, mine, d.T @ h[rows])
+        dx = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+        back = (dx @ self.mix[:-1].T).reshape(-1, VECTOR)
+        self._step("mix", slice(0, len(self.mix)), np.concatenate([x.T @ dx, dx.sum(axis=0)[None]]))
+        ids = around.reshape(-1).astype(np.uint16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.diff(ids.astype(np.int32), prepend=-1))
+        self._step("vectors", ids[first], np.add.reduceat(back.take(order, axis=0), first, axis=0))
+
+    def _step(self, table: str, rows, gradient: np.ndarray) -> None:
+        squares = self.squares[table][rows] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
+        self.squares[table][rows] = squares
+        self.tables[table][rows] += gradient * (RATE / np.sqrt(squares))[:, None]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -264,103 +326,168 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     """The frequent tokens and their counts, and the counts of all ids; a fixed number of each."""
     top = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
     known, times = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    by_id = np.zeros(CLASSES * PER_CLASS)
-    words = known[:WORDS].tolist()
+    words = known[:WORDS]
+    by_id = np.zeros(IDS)
     # unsigned remainder; BUCKETS divides 2**64
     for r in counts.groupBy(F.pmod("token", F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        by_id[1 + WORDS + r.bucket] = r.n
-    for i, (w, n) in enumerate(zip(words, times.tolist())):
-        by_id[1 + i] = n
-        by_id[1 + WORDS + w % BUCKETS] -= n
+        by_id[TAIL + r.bucket * PER_BUCKET + PER_BUCKET - 1] = r.n
+    np.subtract.at(by_id, Vocabulary.other(words), times[: len(words)])
     order = np.argsort(known)
-    return Vocabulary(words, by_id, known[order], times[order])
-
+    vocab = Vocabulary(words, by_id, known[order], times[order])
+    by_id[vocab.ids(words)] = times[: len(words)]
+    return vocab
 
-def train(docs: DataFrame, vocab: Vocabulary) -> Network:
-    """One pass over all documents in each partition, then a mean of the partitions' weights."""
-    held = docs.sparkSession.sparkContext.broadcast(vocab)  # CLASSES * PER_CLASS entries
 
-    @tidy
-    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.fresh(held.value.counts)
-        squares, seen, phase = np.zeros(net.size(), dtype=np.float32), 0, 0
-        for batch in batches:
-            for part in segments(batch):
-                h, ends = hasher().tokens(part.column("text"))
-                line, place = padded(held.value.ids(h), ends)
-                phase += 1
-                place = place[np.random.default_rng(phase).permutation(len(place))]
-                for at in range(0, len(place), BATCH):
-                    net.learn(line, place[at : at + BATCH], squares)
-                seen += len(place)
-        if seen:
-            at = range(0, net.size(), ROW)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([TaskContext.get().partitionId() % 64] * len(at), pa.int32()),
-                    pa.array(list(range(len(at))), pa.int32()),
-                    pa.array([float(seen)] * len(at)),
-                    pa.array([net.flat[i : i + ROW].astype(np.float64).tobytes() for i in at], pa.binary()),
-                ],
-                ["salt", "row", "weight", "values"],
-            )
+def numbered(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(row, doc_id, key, n_tokens, ids, shares, rare) of each document.
 
-    def mean(table: pa.Table) -> pa.Table:
-        weight = np.array(table.column("weight").to_pylist())
-        total = sum(w * np.frombuffer(v, np.float64) for w, v in zip(weight, table.column("values").to_pylist()))
-        return pa.table(
-            {
-                "salt": pa.array([0], pa.int32()),
-                "row": pa.array([table.column("row")[0].as_py()], pa.int32()),
-                "weight": [float(weight.sum())],
-                "values": pa.array([(total / weight.sum()).tobytes()], pa.binary()),
-            }
-        )
-
-    schema = "salt int, row int, weight double, values binary"
-    weights = docs.select("text").mapInArrow(walk, schema)
-    weights = weights.groupBy("row", "salt").applyInArrow(mean, schema).groupBy("row").applyInArrow(mean, schema)
-    rows = sorted(weights.collect(), key=lambda r: r.row)  # one network
-    if not rows:
-        return Network.fresh(vocab.counts)
-    return Network(np.concatenate([np.frombuffer(bytes(r["values"]), np.float64) for r in rows]).astype(np.float32))
-
-
-def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """(row, doc_id, n_tokens, log_prob, rare): summed over all tokens of each document.
-
-    The log counts of the tokens in ``rare`` are still to be added, see
-    :func:`with_rare`.  ``row`` numbers the rows of one run.
+    ``ids`` are 16-bit integers, ``shares`` the sum of the tokens' log shares, to
+    which the log counts of the tokens in ``rare`` are still to be added, see
+    :func:`with_rare`.  ``row`` numbers the rows of one run, and ``key`` is a hash of
+    the document.
     """
-    model = docs.sparkSession.sparkContext.broadcast((vocab, net.flat))  # KNOWN counts and one network
+    held = docs.sparkSession.sparkContext.broadcast(vocab)  # KNOWN counts
 
     @tidy
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = model.value
-        network, row = Network(flat), TaskContext.get().partitionId() << 40
+        words, row = held.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in segments(batch):
                 h, ends = hasher().tokens(part.column("text"))
                 ids = words.ids(h)
                 shares, open_ = words.log_shares(h, ids)
-                logs = network.log_probs(*padded(ids, ends)) + shares
                 sizes = np.diff(ends, prepend=0)
-                sums = np.bincount(np.repeat(np.arange(len(ends)), sizes), weights=logs, minlength=len(ends))
-                rare = pa.array(h[open_].view(np.int64))
-                cuts = np.concatenate([[0], np.cumsum(open_)])[np.concatenate([[0], ends])]
+                owner = np.repeat(np.arange(len(ends)), sizes)
+                bounds = np.concatenate([[0], ends])
+                cuts = np.concatenate([[0], np.cumsum(open_)])[bounds]
+                flat = pa.py_buffer(ids.astype("<u2").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + len(ends)), pa.int64()),
                         part.column("doc_id").cast(pa.int64()),
+                        part.column("key"),
                         pa.array(sizes, pa.int64()),
-                        pa.array(sums, pa.float64()),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), rare),
+                        pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((2 * bounds).astype("<i4").tobytes()), flat]),
+                        pa.array(np.bincount(owner, weights=shares, minlength=len(ends)), pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h[open_].view(np.int64))),
                     ],
-                    ["row", "doc_id", "n_tokens", "log_prob", "rare"],
+                    ["row", "doc_id", "key", "n_tokens", "ids", "shares", "rare"],
                 )
                 row += len(ends)
 
-    return docs.select("doc_id", "text").mapInArrow(work, "row long, doc_id long, n_tokens long, log_prob double, rare array<long>")
+    schema = "row long, doc_id long, key long, n_tokens long, ids binary, shares double, rare array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(work, schema)
+
+
+def _lines(column: pa.Array, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Padded ids of some rows of a column of 16-bit ids."""
+    parts = [np.frombuffer(x, "<u2") for x in column[at:to].to_pylist()]
+    ends = np.cumsum([len(p) for p in parts])
+    return padded(np.concatenate(parts), ends)
+
+
+def train(documents: DataFrame, vocab: Vocabulary, work: Workspace, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> Network:
+    """A network that has predicted every token of a written table of :func:`numbered`."""
+    net = Network.fresh(vocab.counts)
+    n_shards = max(1, -(-int(vocab.counts.sum()) // shard_tokens))
+    names = list(Network.SHAPES)
+    for turn in range(rounds):
+        held = documents.sparkSession.sparkContext.broadcast((net.tables, net.squares))  # one network
+
+        @tidy
+        def walk(batches: Iterable[pa.RecordBatch], held=held, turn=turn) -> Iterator[pa.RecordBatch]:
+            tables, squares = held.value
+            mine = Network({name: t.copy() for name, t in tables.items()})
+            mine.squares = {name: s.copy() for name, s in squares.items()}
+            rng, waiting, n = np.random.default_rng(SEED + turn), [], 0
+
+            def step() -> None:
+                line, place = padded(np.concatenate(waiting), np.cumsum([len(p) for p in waiting]))
+                place = place[rng.permutation(len(place))]
+                for at in range(0, len(place), BATCH):
+                    mine.learn(line, place[at : at + BATCH])
+
+            for batch in batches:
+                for ids in batch.column("ids").to_pylist():
+                    waiting.append(np.frombuffer(ids, "<u2"))
+                    n += len(waiting[-1])
+                    if n >= LEARN:
+                        step()
+                        waiting, n = [], 0
+            if n:
+                step()
+            rows = []
+            for k, name in enumerate(names):
+                change, said = mine.tables[name] - tables[name], mine.squares[name] - squares[name]
+                for at in range(0, len(said), ROWS):
+                    if said[at : at + ROWS].any():
+                        part = change[at : at + ROWS].astype(np.float16)
+                        rows.append((k, at, TaskContext.get().partitionId() % 64, part.tobytes(), said[at : at + ROWS].tobytes()))
+            if rows:
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["tab", "at", "salt", "change", "said"])
+
+        def summed(table: pa.Table, kind: type) -> pa.Table:
+            """Changes times what their shard had to say, that itself and its square, each summed over shards."""
+            first, parts = table.slice(0, 1), []
+            for change, said in zip(table.column("change").to_pylist(), table.column("said").to_pylist()):
+                if kind is np.float16:
+                    weight = np.frombuffer(said, np.float32).astype(np.float64)
+                    change = np.frombuffer(change, kind).astype(np.float64).reshape(len(weight), -1) * weight[:, None]
+                    parts.append((change, np.stack([weight, weight * weight])))
+                else:
+                    parts.append((np.frombuffer(change, kind), np.frombuffer(said, kind)))
+            change, said = (sum(p[i] for p in parts) for i in (0, 1))
+            return pa.table(
+                {
+                    "tab": first.column("tab"),
+                    "at": first.column("at"),
+                    "salt": first.column("salt"),
+                    "change": pa.array([change.tobytes()], pa.binary()),
+                    "said": pa.array([said.tobytes()], pa.binary()),
+                }
+            )
+
+        mine = documents.filter((F.pmod("key", F.lit(rounds)) == turn) & (F.col("n_tokens") > 0))
+        shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int")
+        dealt = mine.select("key", "ids", shard.alias("shard")).repartitionById(n_shards, "shard").sortWithinPartitions("key", "ids")
+        schema = "tab int, at int, salt int, change binary, said binary"
+        sums = dealt.select("ids").mapInArrow(walk, schema)
+        sums = sums.groupBy("tab", "at", "salt").applyInArrow(lambda t: summed(t, np.float16), schema)
+        sums = sums.groupBy("tab", "at").applyInArrow(lambda t: summed(t, np.float64), schema)
+        for r in work.table(sums, f"round-{turn}").collect():  # one network
+            name = names[r.tab]
+            said = np.frombuffer(bytes(r.said), np.float64).reshape(2, -1)
+            rows, some = slice(r["at"], r["at"] + said.shape[1]), np.maximum(said[0], 1e-30)
+            change = np.frombuffer(bytes(r.change), np.float64).reshape(said.shape[1], -1)
+            net.tables[name][rows] += (change / some[:, None]).astype(np.float32)
+            net.squares[name][rows] += (said[1] / some).astype(np.float32)
+        held.unpersist()
+    return net
+
+
+def score(documents: DataFrame, net: Network) -> DataFrame:
+    """(row, doc_id, n_tokens, log_prob, rare) of a written table of :func:`numbered`."""
+    model = documents.sparkSession.sparkContext.broadcast(net.tables)  # one network
+
+    @tidy
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(model.value)
+        for batch in batches:
+            sizes, sums = batch.column("n_tokens").to_numpy(), np.zeros(batch.num_rows)
+            at, ends = 0, np.cumsum(sizes)
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4 * CHUNK, side="right")))
+                logs = network.log_probs(*_lines(batch.column("ids"), at, to))
+                sums[at:to] = np.bincount(np.repeat(np.arange(to - at), sizes[at:to]), weights=logs, minlength=to - at)
+                at = to
+            log_prob = pa.array(sums + batch.column("shares").to_numpy())
+            columns = [batch.column("row"), batch.column("doc_id"), batch.column("n_tokens"), log_prob, batch.column("rare")]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "log_prob", "rare"])
+
+    return documents.select("row", "doc_id", "n_tokens", "ids", "shares", "rare").mapInArrow(
+        work, "row long, doc_id long, n_tokens long, log_prob double, rare array<long>"
+    )
 
 
 def with_rare(scored: DataFrame, counts: DataFrame) -> DataFrame:
@@ -371,7 +498,7 @@ def with_rare(scored: DataFrame, counts: DataFrame) -> DataFrame:
     return scored.select("row", "doc_id", "n_tokens", "log_prob").join(added, "row", "left").select("doc_id", "n_tokens", whole.alias("log_prob"))
 
 
-def lm_score(docs: DataFrame) -> DataFrame:
+def lm_score(docs: DataFrame, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Each document's pseudo-log-likelihood under a model trained on all of ``docs``.
 
     Columns: doc_id, n_tokens, log_prob, perplexity.
@@ -379,16 +506,19 @@ def lm_score(docs: DataFrame) -> DataFrame:
     * A text that is null, empty or white space has no tokens, log_prob 0 and
       a null perplexity.
     * Each row has its own result, whatever its doc_id; rows count as often
-      as they occur.
+      as they occur.  Rows equal in doc_id and text are learned in one shard.
     * Other columns are ignored; an empty table gives an empty result.
     """
     work = Workspace(docs.sparkSession, "lm-score")
-    counts = work.table(token_counts(docs), "counts", small=True)
+    counts = work.table(token_counts(docs), "counts")
     vocab = vocabulary(counts)
-    scored = with_rare(work.table(score(docs, vocab, train(docs, vocab)), "scored"), counts)
+    documents = work.table(numbered(docs, vocab), "numbered")
+    net = train(documents, vocab, work, rounds, shard_tokens)
+    scored = with_rare(work.table(score(documents, net), "scored"), counts)
     mean = F.col("log_prob") / F.col("n_tokens")
     return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-mean)))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, log_prob and perplexity of every document; see :func:`lm_score`."""
     return lm_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
