@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,27 @@ def test_large_components_stay_exact():
     assert sorted(best[0]) == [((2**30 + 4) * 2**31 - 3 * 2**29, -4), ((2**30 + 5) * 2**31 - 3 * 2**29, -5)]
 
 
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [2.0**54, 1.0], 1, "x", 2), (1, [2.0**50, 5.0], 1, "x", 2), (2, [-(2.0**50), 2.0], 1, "x", 2), (3, [1e30, 2.0], 1, "x", 2)]
+    v = vector_search.quantised(vectors(spark, rows))
+    got = sorted(map(tuple, vector_search.top_k(v, v, 2).collect()))
+    top, low = 2**63 - 1, -(2**63)
+    assert got == [(0, 1, 1, top), (0, 2, 2, low), (1, 1, 0, top), (1, 2, 2, low), (2, 1, 0, low), (2, 2, 1, low)]
+
+
+def test_web_tokens_are_those_of_the_regex_in_linear_time():
+    rule = next(r for r in RULES if r.kind == "web_token")
+    r = random.Random(1)
+    parts = ["eyJ", "eyJ" + "a" * 9, "eyJ" + "b" * 10, ".", "..", "-eyJ" + "c" * 12, "d" * 10, " ", "eyJ" + "e" * 300, ".eyJ" + "f" * 10 + "."]
+    for _ in range(5000):
+        text = "".join(r.choices(parts, k=r.randrange(1, 9)))
+        assert list(rule.spans(text)) == [m.span() for m in rule.pattern().finditer(text)]
+    began = time.perf_counter()
+    for text in ("eyJ" * 1_500_000, ("eyJ" + "a" * 12 + ".") * 300_000, (".eyJ" + "a" * 11 + ".b") * 200_000):
+        list(rule.spans(text))
+    assert time.perf_counter() - began < 30
+
+
 def spans_by_hand(text, rules=RULES):
     out = []
     for k, rule in enumerate(rules):

@@ -31,6 +31,11 @@ SCALE = 256
 SHARD, LEAF, BLOCK, GROUP = 8192, 64, 1024, 8
 
 
+def saturated(scores: np.ndarray) -> np.ndarray:
+    """Python's integers within 64 bits; floats are smaller anyway."""
+    return np.clip(scores, -(2**63), 2**63 - 1) if scores.dtype == object else scores
+
+
 class KDTree:
     """Boxes in depth-first order; a node is a leaf if it has no children."""
 
@@ -69,7 +74,7 @@ class KDTree:
             self.span.append((0, 0))
             if parent >= 0:
                 self.children[parent][side] = node
-            wide = high - low
+            wide = high.astype(np.float64) - low
             if len(rows) <= LEAF or not wide.any():
                 self.span[node] = (self.filled, self.filled + len(rows))
                 self.order[self.filled : self.filled + len(rows)] = np.sort(rows)
@@ -86,10 +91,11 @@ class KDTree:
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
         """Update ``best``, for each query its k (score, -id), as a heap; ``own`` ids are left out."""
-        kind = np.float64 if self.exact and float(np.abs(queries).max(initial=0)) < 2**23 else object
+        exact = self.exact and float(np.abs(queries.astype(np.float64)).max(initial=0)) < 2**23
+        kind = np.float64 if exact else object
         q = queries.astype(np.int64).astype(kind)
         high, low, vectors = (x.astype(np.int64).astype(kind) for x in (self.high, self.low, self.vectors))
-        bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        bound = saturated(np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T)
         for i in range(len(q)):
             heap, mine, reach = best[i], int(own[i]), bound[i].tolist()
             todo = [(-reach[0], self.least[0], 0)]
@@ -103,7 +109,7 @@ class KDTree:
                     heapq.heappush(todo, (-reach[right], self.least[right], right))
                     continue
                 a, b = self.span[node]
-                scores = vectors[a:b] @ q[i]
+                scores = saturated(vectors[a:b] @ q[i])
                 ids = self.ids[a:b]
                 if len(heap) == k:
                     close = scores >= heap[0][0]
@@ -117,15 +123,17 @@ class KDTree:
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, dim, v): floor(scale * x) of each component; vectors with a null or non-finite component are left out."""
-    bad = F.exists(
-        "embedding",
-        lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))),
-    )
+    """(vec_id, dim, v): floor(scale * x) of each component.
+
+    Left out are vectors that are null or empty or have no vec_id, and those
+    with a component that is null or not finite, or that doesn't fit 64 bits.
+    """
+    scaled = lambda x: x.cast("double") * F.lit(scale)
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(scaled(x)) >= F.lit(2.0**63)))
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad).select(
         "vec_id",
         F.size("embedding").alias("dim"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("long")).alias("v"),
+        F.transform("embedding", lambda x: F.floor(scaled(x)).cast("long")).alias("v"),
     )
 
 
@@ -195,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     * A query is compared with vectors of its dimension only.  A query
       without any has no rows.
     * Rows that repeat a vec_id are one vector, the least of them by value.
-    * The scores must fit 64 bits.
+    * A score beyond 64 bits is the nearest 64-bit integer.
     """
     work = Workspace(vectors.sparkSession, "top-k")
     one = work.table(vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v"), "vectors")
