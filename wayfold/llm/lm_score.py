@@ -53,7 +53,7 @@ KNOWN = 1 << 16
 WINDOW, VECTOR, HIDDEN = (-2, -1, 1, 2), 16, 15
 SHARD_TOKENS, ROUNDS = 1 << 21, 3
 BATCH, RATE, DAMP, SEED = 1 << 14, 0.2, 0.1, 11
-#: Tokens that are shuffled and learned together; bytes that are cut at a time; tokens scored at a time; rows of weights sent together.
+#: Tokens that are learned one after the other before more are read; bytes that are cut at a time; tokens scored at a time; rows of weights sent together.
 LEARN, BLOCK_BYTES, CHUNK, ROWS = 1 << 16, 1 << 19, 1 << 15, 1024
 
 
@@ -217,10 +217,15 @@ class Network:
         return net
 
     def hidden(self, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Neighbours, their vectors, and what is made of them with a column of ones."""
-        around = line.take(place[:, None] + np.array(WINDOW))
-        x = self.vectors.take(around, axis=0).reshape(len(place), -1)
-        h = np.ones((len(place), HIDDEN + 1), dtype=np.float32)
+        """From the first to the last of ascending places: ids with the window's margins, neighbours' vectors, and what is made of them.
+
+        The last column of what is made of them is ones.
+        """
+        low, n = int(place[0]), int(place[-1]) + 1 - int(place[0])
+        around = line[low + WINDOW[0] : low + n + WINDOW[-1]]
+        v = self.vectors.take(around, axis=0)
+        x = np.concatenate([v[d - WINDOW[0] : d - WINDOW[0] + n] for d in WINDOW], axis=1)
+        h = np.ones((n, HIDDEN + 1), dtype=np.float32)
         np.tanh(x @ self.mix[:-1] + self.mix[-1], out=h[:, :-1])
         return around, x, h
 
@@ -252,39 +257,45 @@ class Network:
                 yield rows, table, mine, where[rows] - first, powers(rows, weights[mine])
 
     def log_probs(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Of the token at each place, from its neighbours."""
+        """Of the token at each of ascending places, from its neighbours."""
         out = np.empty(len(place))
         for at in range(0, len(place), CHUNK):
             part = place[at : at + CHUNK]
-            part = part[order := np.argsort(line[part].astype(np.uint16), kind="stable")]
-            target = line[part]
+            order = np.argsort(line[part].astype(np.uint16), kind="stable")
             odds = np.zeros(len(part))
             _, _, h = self.hidden(line, part)
-            for rows, _, _, which, x in self._softmaxes(target, h):
+            h = h.take(part[order] - part[0], axis=0)
+            for rows, _, _, which, x in self._softmaxes(line[part[order]], h):
                 odds[rows] += np.log(np.maximum(x[np.arange(len(which)), which], 1e-37) / x.sum(axis=1))
             out[at + order] = odds
         return out
 
     def learn(self, line: np.ndarray, place: np.ndarray) -> None:
-        """One step of gradient ascent, each row of weights at a rate by the root of its squares."""
-        part = place[np.argsort(line[place].astype(np.uint16), kind="stable")]
-        target = line[part]
-        around, x, h = self.hidden(line, part)
-        dh = np.zeros_like(h)
-        for rows, table, mine, which, d in self._softmaxes(target, h):
+        """One step of gradient ascent on ascending places, each row of weights at a rate by the root of its squares."""
+        order = np.argsort(line[place].astype(np.uint16), kind="stable")
+        rows_of = place[order] - place[0]
+        around, x, h = self.hidden(line, place)
+        sorted_h = h.take(rows_of, axis=0)
+        back = np.zeros_like(sorted_h)
+        for rows, table, mine, which, d in self._softmaxes(line[place[order]], sorted_h):
             d *= -1 / d.sum(axis=1, keepdims=True)
             d[np.arange(len(which)), which] += 1
             weights = self.tables[table][mine]
-            dh[rows] += d @ weights
-            self._step(table, mine, d.T @ h[rows])
+            back[rows] += d @ weights
+            self._step(table, mine, d.T @ sorted_h[rows])
+        dh = np.zeros_like(h)
+        dh[rows_of] = back
         dx = dh[:, :-1] * (1 - h[:, :-1] ** 2)
-        back = (dx @ self.mix[:-1].T).reshape(-1, VECTOR)
+        back = dx @ self.mix[:-1].T
         self._step("mix", slice(0, len(self.mix)), np.concatenate([x.T @ dx, dx.sum(axis=0)[None]]))
-        ids = around.reshape(-1).astype(np.uint16)
+        change = np.zeros((len(around), VECTOR), dtype=np.float32)  # of the vector at each place
+        for j, d in enumerate(WINDOW):
+            change[d - WINDOW[0] : d - WINDOW[0] + len(h)] += back[:, j * VECTOR : (j + 1) * VECTOR]
+        ids = around.astype(np.uint16)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.diff(ids.astype(np.int32), prepend=-1))
-        self._step("vectors", ids[first], np.add.reduceat(back.take(order, axis=0), first, axis=0))
+        self._step("vectors", ids[first], np.add.reduceat(change.take(order, axis=0), first, axis=0))
 
     def _step(self, table: str, rows, gradient: np.ndarray) -> None:
         squares = self.squares[table][rows] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
@@ -399,11 +410,10 @@ def train(documents: DataFrame, vocab: Vocabulary, work: Workspace, rounds: int
             tables, squares = held.value
             mine = Network({name: t.copy() for name, t in tables.items()})
             mine.squares = {name: s.copy() for name, s in squares.items()}
-            rng, waiting, n = np.random.default_rng(SEED + turn), [], 0
+            waiting, n = [], 0
 
             def step() -> None:
                 line, place = padded(np.concatenate(waiting), np.cumsum([len(p) for p in waiting]))
-                place = place[rng.permutation(len(place))]
                 for at in range(0, len(place), BATCH):
                     mine.learn(line, place[at : at + BATCH])
 
