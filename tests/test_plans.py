@@ -40,7 +40,7 @@ def test_scans_are_pruned(spark, name, columns, others):
     assert all(c in schema for c in columns) and not any(c in schema for c in others)
 
 
-@pytest.mark.parametrize(("name", "pushed"), [("subgraph_boundary", "GreaterThan(l_quantity,40.0)"), ("evidence_search", "EqualTo(lang,en)")])
+@pytest.mark.parametrize(("name", "pushed"), [("subgraph_boundary", "GreaterThan(l_quantity,40.0)"), ("resumed_scan", "LessThan(l_shipdate")])
 def test_filters_are_pushed(spark, name, pushed):
     assert pushed in plan(QUERIES[name](spark, SF))
 

@@ -14,11 +14,13 @@ from pyspark.sql.functions import pandas_udf
 AVENUE, STREET, LANE, SIDE_LANE, OTHER = "대로", "로", "길", "번길", "기타"
 #: Names that say there is none.
 NO_NAME = ("", "-")
+#: White space of any script, as Python's str.split() has it.
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 
 def compact(name: Column) -> Column:
     """Without white space; null is empty."""
-    return F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", "")
+    return F.regexp_replace(F.coalesce(name, F.lit("")), WHITE, "")
 
 
 @pandas_udf(T.StringType())

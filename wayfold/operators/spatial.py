@@ -47,8 +47,8 @@ def within(left: DataFrame, right: DataFrame, reach: float, on: tuple[str, str,
     return a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", d).filter(F.col("d") <= reach)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by"), k: int = 1, furthest: float | None = None) -> DataFrame:
-    """The k nearest right points of each left point, ties to the smaller id: left_id, right_id, d, place.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by"), k: int = 1, furthest: float | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The k nearest right points (with equal ``keys``) of each left point, ties to the smaller id: left_id, right_id, d, place.
 
     Rounds of :func:`within` with a reach that doubles; a point that has found k
     partners leaves, since nothing outside its reach is nearer.  Points in
@@ -57,8 +57,9 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reac
     work = Workspace(left.sparkSession, "nearest")
     ax, ay, bx, by = on
     place = F.row_number().over(Window.partitionBy(left_id).orderBy("d", right_id)).cast("int")
-    left = left.select(left_id, ax, ay).filter(F.col(ax).isNotNull() & F.col(ay).isNotNull())
-    right = right.select(right_id, bx, by).filter(F.col(bx).isNotNull() & F.col(by).isNotNull())
+    keys = keys or []
+    left = left.select(left_id, ax, ay, *keys).filter(F.col(ax).isNotNull() & F.col(ay).isNotNull())
+    right = right.select(right_id, bx, by, *keys).filter(F.col(bx).isNotNull() & F.col(by).isNotNull())
     if furthest is None:
         a = left.agg(F.min(ax), F.max(ax), F.min(ay), F.max(ay)).first()
         b = right.agg(F.min(bx), F.max(bx), F.min(by), F.max(by)).first()
@@ -68,7 +69,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reac
             furthest = ((max(a[1], b[1]) - min(a[0], b[0])) ** 2 + (max(a[3], b[3]) - min(a[2], b[2])) ** 2) ** 0.5 + reach
     found, todo, step = None, left, 0
     while True:
-        near = within(todo, right, reach, on).select(left_id, right_id, "d").withColumn("place", place).filter(F.col("place") <= k)
+        near = within(todo, right, reach, on, keys).select(left_id, right_id, "d").withColumn("place", place).filter(F.col("place") <= k)
         near = work.table(near, f"round-{step}")
         full = near.groupBy(left_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
         last = reach >= furthest
@@ -96,20 +97,33 @@ def near_flag(left: DataFrame, right: DataFrame, left_id: str, reach: float, fla
     return left.join(hit.withColumn(flag, F.lit(True)), left_id, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def match_cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, near: float, far: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by")) -> DataFrame:
-    """The nearest right row of the same name, and how sure the match is.
+def match_cascade(left: DataFrame, features: DataFrame, links: DataFrame, left_id: str, link_id: str, name: str, near: float, far: float, search: float) -> DataFrame:
+    """The nearest link of the same name, and how sure the match is: left_id, link_id, d, status.
 
-    U1: no row of that name; U2: none within ``far``; matched high within
-    ``near``, else mid.
+    ``left`` has points (ax, ay), ``features`` and ``links`` points (bx, by), and
+    links their middles (mx, my).  In this order: U4: no name; U3: no feature of
+    the name within ``search``; U1: no link of the name; U2: the nearest one is
+    beyond ``far``, and ``d`` tells how far; high: within ``near``, its middle
+    within ``far``; else mid.
     """
-    ax, ay, bx, by = on
-    d = distance(F.col(ax), F.col(ay), F.col(bx), F.col(by))
-    best = F.min(F.struct(d.alias("d"), F.col(right_id).alias("r")))
-    same = left.join(right.select(name, right_id, bx, by), name).groupBy(left_id).agg(best.alias("b"))
-    out = left.join(same, left_id, "left")
-    found = F.col("b.d")
-    status = F.when(found.isNull(), "U1").when(found > far, "U2").when(found <= near, "high").otherwise("mid")
-    return out.select(left_id, F.when(found <= far, F.col("b.r")).alias(right_id), found.alias("d"), status.alias("status"))
+    seen = within(left, features.select(name, "bx", "by"), search, keys=[name]).select(left_id).distinct().withColumn("_seen", F.lit(True))
+    named = left.join(links.select(name).distinct(), name, "left_semi")
+    best = nearest(named, links, left_id, link_id, far, keys=[name]).select(left_id, link_id, "d")
+    best = best.join(links.select(link_id, "mx", "my"), link_id)
+    out = left.join(seen, left_id, "left").join(best, left_id, "left")
+    middle = distance(F.col("ax"), F.col("ay"), F.col("mx"), F.col("my"))
+    d = F.col("d")
+    status = (
+        F.when(F.col(name).isNull(), "U4")
+        .when(F.col("_seen").isNull(), "U3")
+        .when(d.isNull(), "U1")
+        .when(d > far, "U2")
+        .when((d <= near) & (middle <= far), "high")
+        .otherwise("mid")
+    )
+    out = out.withColumn("status", status)
+    told, matched = F.col("status").isin("U2", "high", "mid"), F.col("status").isin("high", "mid")
+    return out.select(left_id, F.when(matched, F.col(link_id)).alias(link_id), F.when(told, d).alias("d"), "status")
 
 
 def points(*xy: tuple[float, float]) -> Column:

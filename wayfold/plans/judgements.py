@@ -46,16 +46,14 @@ def tier_classify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""
-WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS line FROM documents)
-SELECT doc_id, regexp_replace(coalesce(line, ''), '\s+', '', 'g') AS compact,
-       regexp_replace(regexp_replace(nfc_normalize(line), '\([^)]*\)', '', 'g'), '\s+', '', 'g') AS normal,
-       regexp_replace(regexp_replace(nfc_normalize(line), '\([^)]*\)', '', 'g'), '\s+', '', 'g') IN ('', '-') AS unnamed
-FROM l""")
+WITH l AS (SELECT doc_id, coalesce(text, '') AS name FROM documents),
+n AS (SELECT doc_id, regexp_replace(name, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') AS compact,
+             regexp_replace(regexp_replace(nfc_normalize(name), '\([^)]*\)', '', 'g'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '', 'g') AS normal FROM l)
+SELECT *, normal IN ('', '-') AS unnamed FROM n""")
 def name_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")[0]
-    rows = table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("name"))
     return rows.select(
-        "doc_id", names.compact(F.col("line")).alias("compact"), names.normal_name(F.col("line")).alias("normal")
+        "doc_id", names.compact(F.col("name")).alias("compact"), names.normal_name(F.col("name")).alias("normal")
     ).withColumn("unnamed", names.is_unnamed(F.col("normal")))
 
 

@@ -10,11 +10,11 @@ from wayfold.operators import graph, learn, slots
 from wayfold.plans.base import fx, n_if, query
 from wayfold.sources.tables import table, tables
 
-_NATIONS = "e AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 3 + s_suppkey % 2) % 25 AS b FROM supplier WHERE s_suppkey <= 60)"
+_NATIONS = "e AS (SELECT DISTINCT s_nationkey AS a, (s_nationkey * 3 + s_suppkey % 2) % 25 AS b FROM supplier)"
 
 
 def _nation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "supplier").filter("s_suppkey <= 60")
+    s = table(spark, sf, "supplier")
     return s.select(F.col("s_nationkey").cast("long").alias("a"), ((F.col("s_nationkey") * 3 + F.col("s_suppkey") % 2) % 25).cast("long").alias("b")).distinct()
 
 
@@ -62,19 +62,19 @@ def subgraph_boundary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH r AS (SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INTEGER) AS slot, CAST(1 + o_custkey % 2 AS INTEGER) AS hold, unnest([o_custkey % 50, (o_custkey * 3) % 50]) AS link FROM orders WHERE o_orderkey % 10 = 0),
+WITH r AS (SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INTEGER) AS slot, CAST(1 + o_custkey % 2 AS INTEGER) AS hold, unnest([o_custkey % 50, (o_custkey * 3) % 50]) AS link FROM orders),
 c AS (SELECT id, link, unnest(range(slot, slot + hold)) AS slot FROM r),
 d AS (SELECT link AS link_id, slot, CAST(count(DISTINCT id) AS BIGINT) AS demand FROM c GROUP BY ALL)
-SELECT link_id, CAST(slot AS INTEGER) AS slot, demand, demand > 5 + link_id % 20 AS overload FROM d""")
+SELECT link_id, CAST(slot AS INTEGER) AS slot, demand, demand > 50 * (5 + link_id % 20) AS overload FROM d""")
 def slot_demand_overload(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("o_custkey")
-    requests = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select(
+    requests = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_orderkey") % 4).cast("int").alias("slot"),
         (1 + c % 2).cast("int").alias("hold"),
         F.array(c % 50, (c * 3) % 50).alias("route"),
     )
-    lanes = spark.range(50).select(F.col("id").alias("link_id"), (5 + F.col("id") % 20).alias("lanes"))
+    lanes = spark.range(50).select(F.col("id").alias("link_id"), (50 * (5 + F.col("id") % 20)).alias("lanes"))
     return slots.demand(requests, lanes).select("link_id", "slot", "demand", "overload")
 
 

@@ -98,17 +98,27 @@ def spatial_flag_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH a AS (SELECT c_custkey AS l, c_nationkey AS name, {_xy_sql('c_custkey', 'a')} FROM customer WHERE c_custkey % 3 = 0),
-b AS (SELECT c_custkey AS r, c_nationkey AS name, {_xy_sql('c_custkey', 'b')} FROM customer WHERE c_custkey % 3 = 1 AND c_nationkey <> 7),
-m AS (SELECT l, r, {_D} AS d, row_number() OVER (PARTITION BY l ORDER BY {_D}, r) AS rn FROM a JOIN b ON a.name = b.name)
-SELECT a.l, CASE WHEN d <= 150 THEN r END AS r, d, CASE WHEN d IS NULL THEN 'U1' WHEN d > 150 THEN 'U2' WHEN d <= 60 THEN 'high' ELSE 'mid' END AS status
-FROM a LEFT JOIN m ON a.l = m.l AND rn = 1""")
+WITH a AS (SELECT c_custkey AS l, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS name, {_xy_sql('c_custkey', 'a')} FROM customer),
+f AS (SELECT p_partkey % 25 AS name, {_xy_sql('p_partkey', 'b')} FROM part),
+b AS (SELECT s_suppkey AS r, CASE WHEN s_nationkey = 7 THEN -1 ELSE s_nationkey END AS name, {_xy_sql('s_suppkey', 'b')} FROM supplier),
+s AS (SELECT DISTINCT l FROM a JOIN f ON a.name = f.name WHERE {_D} <= 100),
+m AS (SELECT l, r, {_D} AS d, sqrt((ax - bx + 40) * (ax - bx + 40) + (ay - "by") * (ay - "by")) AS dm,
+             row_number() OVER (PARTITION BY l ORDER BY {_D}, r) AS rn FROM a JOIN b ON a.name = b.name),
+j AS (SELECT a.l, r, d, CASE WHEN a.name IS NULL THEN 'U4' WHEN s.l IS NULL THEN 'U3' WHEN d IS NULL THEN 'U1' WHEN d > 150 THEN 'U2' WHEN d <= 90 AND dm <= 150 THEN 'high' ELSE 'mid' END AS status
+      FROM a LEFT JOIN s ON a.l = s.l LEFT JOIN m ON a.l = m.l AND rn = 1)
+SELECT l, CASE WHEN status IN ('high', 'mid') THEN r END AS r, CASE WHEN status IN ('U2', 'high', 'mid') THEN d END AS d, status FROM j""")
 def match_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer")
+    """Customers matched to suppliers as links, if a part of the same name is near; middles lie 40 further west."""
     x, y = _xy("c_custkey")
-    a = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("l"), F.col("c_nationkey").alias("name"), x.alias("ax"), y.alias("ay"))
-    b = c.filter("c_custkey % 3 = 1 AND c_nationkey <> 7").select(F.col("c_custkey").alias("r"), F.col("c_nationkey").alias("name"), x.alias("bx"), y.alias("by"))
-    return spatial.match_cascade(a, b, "l", "r", "name", 60.0, 150.0)
+    name, other = F.col("c_nationkey").cast("long"), F.col("s_nationkey").cast("long")
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("l"), F.when(name != 3, name).alias("name"), x.alias("ax"), y.alias("ay"))
+    x, y = _xy("p_partkey")
+    f = table(spark, sf, "part").select((F.col("p_partkey") % 25).alias("name"), x.alias("bx"), y.alias("by"))
+    x, y = _xy("s_suppkey")
+    b = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("r"), F.when(other == 7, -1).otherwise(other).alias("name"), x.alias("bx"), y.alias("by"), (x - 40).alias("mx"), y.alias("my")
+    )
+    return spatial.match_cascade(a, f, b, "l", "r", "name", 90.0, 150.0, 100.0)
 
 
 @query(f"""

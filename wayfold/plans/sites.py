@@ -30,13 +30,13 @@ def coverage_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_custkey, s.s_suppkey AS exact FROM orders LEFT JOIN supplier s ON s.s_suppkey = o_custkey WHERE o_orderkey % 20 = 0)
+WITH e AS (SELECT o_custkey, s.s_suppkey AS exact FROM orders LEFT JOIN supplier s ON s.s_suppkey = o_custkey)
 SELECT o_custkey, coalesce(exact, a.s_suppkey) AS matched, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN a.s_suppkey IS NOT NULL THEN 'alias' ELSE 'none' END AS how, CAST(count(*) AS BIGINT) AS n
 FROM e LEFT JOIN supplier a ON exact IS NULL AND a.s_suppkey = o_custkey % 200 GROUP BY ALL""")
 def fallback_key_join(spark: SparkSession, sf: str) -> DataFrame:
     """By id, else by a short id; and which of them matched."""
     orders, supplier = tables(spark, sf, "orders", "supplier")
-    o = orders.filter("o_orderkey % 20 = 0").select("o_custkey", (F.col("o_custkey") % 200).alias("short"))
+    o = orders.select("o_custkey", (F.col("o_custkey") % 200).alias("short"))
     exact = supplier.select(F.col("s_suppkey").alias("o_custkey"), F.col("s_suppkey").alias("exact"))
     alias = supplier.select(F.col("s_suppkey").alias("short"), F.col("s_suppkey").alias("alias"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").otherwise("none")
@@ -182,15 +182,15 @@ def evacuation_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT link, slot, (link * 7 + slot * 3) % 4 > 0 AS free FROM range(30) l(link), range(6) s(slot)),
-r AS (SELECT DISTINCT o_custkey % 25 AS actor, o_orderkey % 30 AS link FROM orders WHERE o_orderkey % 40 = 0),
+WITH c AS (SELECT link, slot, (link * 7 + slot * 3) % 40 > 0 AS free FROM range(30) l(link), range(6) s(slot)),
+r AS (SELECT DISTINCT o_custkey AS actor, o_orderkey % 30 AS link FROM orders),
 t AS (SELECT actor, start, bool_and(free) AS ok FROM r, range(5) x(start) JOIN c ON c.link = r.link AND c.slot BETWEEN start AND start + 1 GROUP BY actor, start)
 SELECT actor, CAST(min(start) FILTER (WHERE ok) AS INTEGER) AS slot FROM t GROUP BY actor""")
 def first_free_slot(spark: SparkSession, sf: str) -> DataFrame:
     """The first slot in which every link of an actor's route is free for two slots."""
     cells = spark.range(30).select(F.col("id").alias("link_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("slot"))
-    cells = cells.withColumn("free", ((F.col("link_id") * 7 + F.col("slot") * 3) % 4 > 0).cast("int"))
-    ways = table(spark, sf, "orders").filter("o_orderkey % 40 = 0").select((F.col("o_custkey") % 25).alias("actor"), (F.col("o_orderkey") % 30).alias("link_id")).distinct()
+    cells = cells.withColumn("free", ((F.col("link_id") * 7 + F.col("slot") * 3) % 40 > 0).cast("int"))
+    ways = table(spark, sf, "orders").select(F.col("o_custkey").alias("actor"), (F.col("o_orderkey") % 30).alias("link_id")).distinct()
     return slots.first_free(cells, ways, 2, 5)
 
 
@@ -213,7 +213,7 @@ def union_boundary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-SELECT p_partkey, CASE WHEN p_size < 45 THEN {fx("(least(CAST(40 AS DOUBLE), CAST(50 AS DOUBLE)) - greatest(CAST(p_size AS DOUBLE) - 5, CAST(0 AS DOUBLE))) / 50")} END AS share FROM part WHERE p_partkey % 20 = 0""")
+SELECT p_partkey, CASE WHEN p_size < 45 THEN {fx("(least(CAST(40 AS DOUBLE), CAST(50 AS DOUBLE)) - greatest(CAST(p_size AS DOUBLE) - 5, CAST(0 AS DOUBLE))) / 50")} END AS share FROM part""")
 def clipped_share(spark: SparkSession, sf: str) -> DataFrame:
     """How much of a line of 50 metres lies in a rectangle that begins at the part's size less five and ends at 40."""
     s = F.col("p_size").cast("double") - 5
@@ -223,7 +223,7 @@ def clipped_share(spark: SparkSession, sf: str) -> DataFrame:
 
     ring = F.array(p(s, F.lit(-1.0)), p(F.lit(40.0), F.lit(-1.0)), p(F.lit(40.0), F.lit(1.0)), p(s, F.lit(1.0)))
     part = masks.clip_convex(p(F.lit(0.0), F.lit(0.0)), p(F.lit(50.0), F.lit(0.0)), ring)
-    return table(spark, sf, "part").filter("p_partkey % 20 = 0").select("p_partkey", fixed(F.when(F.col("p_size") < 45, part["to"] - part["from"])).alias("share"))
+    return table(spark, sf, "part").select("p_partkey", fixed(F.when(F.col("p_size") < 45, part["to"] - part["from"])).alias("share"))
 
 
 @query()
@@ -246,10 +246,10 @@ def contour_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT l, x, y FROM (SELECT l, x, y FROM (SELECT c_custkey AS l, CAST((c_custkey * 7919) % 100 AS DOUBLE) AS x, CAST((c_custkey * 10473) % 100 AS DOUBLE) AS y FROM customer WHERE c_custkey % 5 = 0)
-  UNION ALL SELECT c_custkey, CAST((c_custkey * 31) % 100 AS DOUBLE), CAST((c_custkey * 57) % 100 AS DOUBLE) FROM customer WHERE c_custkey % 5 = 0)),
+WITH e AS (SELECT l, x, y FROM (SELECT l, x, y FROM (SELECT c_custkey AS l, CAST((c_custkey * 7919) % 100 AS DOUBLE) AS x, CAST((c_custkey * 10473) % 100 AS DOUBLE) AS y FROM customer)
+  UNION ALL SELECT c_custkey, CAST((c_custkey * 31) % 100 AS DOUBLE), CAST((c_custkey * 57) % 100 AS DOUBLE) FROM customer)),
 d AS (SELECT a.l, CAST(count(DISTINCT b.l) AS BIGINT) AS n FROM e a JOIN e b ON a.l <> b.l AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 2 GROUP BY 1)
-SELECT c_custkey AS l, coalesce(n, 0) AS degree FROM customer LEFT JOIN d ON c_custkey = l WHERE c_custkey % 5 = 0""")
+SELECT c_custkey AS l, coalesce(n, 0) AS degree FROM customer LEFT JOIN d ON c_custkey = l""")
 def end_degree(spark: SparkSession, sf: str) -> DataFrame:
     """How many other lines end within two metres of either end."""
     k = F.col("c_custkey")
@@ -257,7 +257,7 @@ def end_degree(spark: SparkSession, sf: str) -> DataFrame:
     def p(a, b):
         return F.struct(((k * a) % 100).cast("double").alias("x"), ((k * b) % 100).cast("double").alias("y"))
 
-    lines = table(spark, sf, "customer").filter("c_custkey % 5 = 0").select(k.alias("l"), F.array(p(7919, 10473), p(31, 57)).alias("line"))
+    lines = table(spark, sf, "customer").select(k.alias("l"), F.array(p(7919, 10473), p(31, 57)).alias("line"))
     return polyline.end_degree(lines, "l", "line", 2.0)
 
 

@@ -30,7 +30,7 @@ _WORDS = r"list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{6,
 
 
 @query(f"""
-WITH q AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE lang = 'en'),
+WITH q AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
 n AS (SELECT item_id, count(*) AS need FROM q GROUP BY 1),
 h AS (SELECT q.item_id, d.doc_id, count(*) AS got FROM q JOIN d ON q.w = d.w GROUP BY ALL)
 SELECT h.item_id, CAST(count(*) AS BIGINT) AS n_docs, array_to_string(list_sort(list(h.doc_id))[1:3], ',') AS first_docs
@@ -44,7 +44,7 @@ def evidence_search(spark: SparkSession, sf: str) -> DataFrame:
         return df.select(key, F.explode(found).alias("w"))
 
     q = words(benchmark, "item_id")
-    d = words(documents.filter("lang = 'en'"), "doc_id").join(q.select("w").distinct(), "w", "left_semi")
+    d = words(documents, "doc_id").join(q.select("w").distinct(), "w", "left_semi")
     need = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("need"))
     hits = q.join(d, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("got"))
     enough = hits.join(need, "item_id").filter(F.col("got") >= F.col("need") * 0.8)

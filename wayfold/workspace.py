@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only used where the session names no shared folder.
+#: Only used where the session names no shared folder and runs on one machine.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     """Folder of the session's durable tables, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs(LOCAL_FALLBACK, exist_ok=True)
         root = f"file://{LOCAL_FALLBACK}"
         spark.sparkContext.setCheckpointDir(root)
