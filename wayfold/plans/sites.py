@@ -324,12 +324,3 @@ def facility_counts(spark: SparkSession, sf: str) -> DataFrame:
     per = hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), count_of(F.col("err")).alias("n_errors"), F.array_join(two, ",").alias("examples"))
     zero = F.lit(0).cast("long")
     return places.select("name").distinct().join(per, "name", "left").select("name", F.coalesce("n", zero).alias("n"), F.coalesce("n_errors", zero).alias("n_errors"), "examples")
-
-
-@query()
-def address_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Roads of listed addresses; the rules are traced by hand in the tests."""
-    n = (F.col("n_nationkey") + 1).cast("string")
-    listed = F.concat(F.lit("중구 한밭로 "), n, F.lit("번길~"), n, F.lit("5번길, 둔산로 일원 (구 도로)"))
-    rows = address.pieces(table(spark, sf, "nation").select("n_nationkey", listed.alias("a")), "n_nationkey", "a")
-    return rows.withColumn("kind", address.kind(F.col("piece")))
