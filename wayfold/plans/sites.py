@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import address, coords
+from wayfold.functions import coords
 from wayfold.functions.numbers import count_of, fixed, rate
 from wayfold.operators import masks, polyline, setrates, slots, spatial
 from wayfold.plans.base import fx, n_if, query, ratio
