@@ -188,6 +188,17 @@ def test_log_probs_are_those_of_the_whole_table():
         assert math.isclose(g, table[line[at]], rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_large_weights_do_not_overflow():
+    net, line, place = net_and_line()
+    net.places[:, -1] += 200
+    calm = net.log_probs(line, place)
+    net.places[:, -1] -= 200  # a shift of all places changes no softmax
+    assert np.isfinite(calm).all() and np.allclose(calm, net.log_probs(line, place), atol=1e-3)
+    net.places[:, -1] += 200
+    net.learn(line, place)
+    assert all(np.isfinite(t).all() for t in net.tables.values())
+
+
 def test_steps_go_along_the_gradient(monkeypatch):
     """With equal rates a small step raises the likelihood by rate times the squared gradient."""
     monkeypatch.setattr(lm_score, "RATE", 1e-3)

@@ -53,6 +53,8 @@ KNOWN = 1 << 16
 WINDOW, VECTOR, HIDDEN = (-2, -1, 1, 2), 16, 15
 SHARD_TOKENS, ROUNDS = 1 << 21, 3
 BATCH, RATE, DAMP, SEED = 1 << 14, 0.2, 0.1, 11
+#: Logits under this bound neither overflow nor vanish as powers of e in 32 bits.
+CALM = 80.0
 #: Tokens that are learned one after the other before more are read; bytes that are cut at a time; tokens scored at a time; rows of weights sent together.
 LEARN, BLOCK_BYTES, CHUNK, ROWS = 1 << 16, 1 << 19, 1 << 15, 1024
 
@@ -232,14 +234,16 @@ class Network:
     def _softmaxes(self, target: np.ndarray, h: np.ndarray) -> Iterator[tuple[slice, str, slice, np.ndarray, np.ndarray]]:
         """(rows, table, its rows, place of each target, powers of e) of the softmaxes of sorted targets.
 
-        The powers are those of the logits less each row's largest.
+        The powers are those of the logits, less each row's largest where weights are so large that they might overflow.
         """
         place = PLACE[target].astype(np.int64)
         group = place // PER_CLASS
+        calm = all(np.abs(t).sum(axis=1).max() < CALM for t in (self.classes, self.places, self.words))  # h is within 1
 
         def powers(rows: slice, weights: np.ndarray) -> np.ndarray:
             x = h[rows] @ weights.T
-            x -= x.max(axis=1, keepdims=True)
+            if not calm:
+                x -= x.max(axis=1, keepdims=True)
             return np.exp(x, out=x)
 
         whole = slice(0, len(target))
