@@ -111,6 +111,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of :func:`exact_dedup` on every document, nulls and odd rows as stated there."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

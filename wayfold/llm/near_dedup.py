@@ -470,6 +470,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at four words and 0.8; see :func:`near_dedup`."""
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=80)
 
 

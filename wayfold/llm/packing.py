@@ -197,6 +197,7 @@ def packed_digests(pieces: DataFrame) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with checksums of their ids; see :func:`harmonic_pack`."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

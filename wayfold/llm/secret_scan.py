@@ -324,6 +324,7 @@ def _listing(spans: Column) -> Column:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all secrets in every document; see :func:`find_secrets`."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in BASE_RULES]))
 

@@ -238,6 +238,7 @@ def read_token_files(spark: SparkSession, folder: str, files: list[dict]) -> Dat
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and checksums of all documents, read back from their token files; see :func:`write_token_files`."""
     import public_tokenizers
 
     folder = Workspace(spark, "token-files").path

@@ -251,6 +251,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every fiftieth vector among all; see :func:`quantised` and :func:`top_k`."""
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 

@@ -288,6 +288,7 @@ def _batch(rows: list[tuple], with_texts: bool) -> pa.RecordBatch:
 
 
 def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded texts of all documents; see :func:`word_bpe`."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
