@@ -173,7 +173,7 @@ def test_permutation_importance(spark):
 
 def test_forest_by_group(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], int(i % 5 < 2), float(i % 5)) for i in range(80)], "k long, g string, y int, x double")
-    got = learn.leave_one_group_out(df, ["x"], "y", "g", "k", kind="forest")
+    got = learn.leave_one_group_out(df, ["x"], "y", "g", "k", kind="forest", trees=20)
     assert got.count() == 80 and learn.ranking_measures(got, "label", "score").first().roc_auc == 1.0
 
 
@@ -276,3 +276,28 @@ def test_sweep_rules(spark):
 def test_dates(spark):
     got = one(spark, timeseries.date_of(F.lit("20240105")).cast("string"), timeseries.date_of(F.lit("2024-01-06")).cast("string"), timeseries.is_weekday(timeseries.date_of(F.lit("20240105"))), timeseries.is_weekday(timeseries.date_of(F.lit("2024-01-06"))), timeseries.minute_of_day(F.lit("2015")))
     assert got == ("2024-01-05", "2024-01-06", True, False, 1215)
+
+
+def test_line_joins_of_odd_lines(spark):
+    from wayfold.operators import line_joins
+
+    shape = "array<struct<x: double, y: double>>"
+    left = spark.createDataFrame([(1, [(0.0, 0.0), (500.0, 500.0)]), (2, [(900.0, 0.0)]), (3, None), (4, []), (5, [(None, 1.0), (2.0, 2.0)])], f"l long, line {shape}")
+    right = spark.createDataFrame([(1, [(0.0, 500.0), (500.0, 0.0)]), (2, [(900.0, 7.0), (900.0, 7.0)]), (3, None)], f"r long, other {shape}")
+    got = {tuple(r) for r in line_joins.lines_within(left, right, "l", "r", 10.0).collect()}
+    assert got == {(1, 1, 0.0), (2, 2, 7.0)}  # the crossing lines have no end near the other
+    got = {(r.l, r.r): r.place for r in line_joins.nearest_lines(left, right, "l", "r", 10.0, k=2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (2, 2): 1, (2, 1): 2}
+    flags = line_joins.line_flags(left, right, "l", "r", 10.0, {"one": F.col("r") == 1}).collect()
+    assert {r.l: r.one for r in flags} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert line_joins.lines_within(left.filter("l > 2"), right, "l", "r", 10.0).count() == 0
+    with pytest.raises(ValueError):
+        line_joins.lines_within(left, right, "l", "r", 0.0)
+
+
+def test_samples_lie_in_their_ring(spark):
+    from wayfold.operators import spatial
+
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0)]), (2, []), (3, None)], "k long, ring array<struct<x: double, y: double>>")
+    got = {r.k: r.s for r in df.select("k", spatial.sample_in_ring(F.col("ring"), F.col("k")).alias("s")).collect()}
+    assert len(got[1]) == 40 and all(p.x + p.y <= 10 for p in got[1]) and got[2] == [] and not got[3]

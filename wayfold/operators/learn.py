@@ -90,7 +90,7 @@ def bootstrap_rate(df: DataFrame, key: str, hit: str, replicates: int) -> DataFr
     )
 
 
-def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: str, key: str, kind: str = "logistic", seed: int = 7) -> DataFrame:
+def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: str, key: str, kind: str = "logistic", seed: int = 7, trees: int = 500) -> DataFrame:
     """(key, group, label, score): each group scored by a model of all others.
 
     Groups are few by design; each is one fit.  Classes are weighted to balance.
@@ -114,7 +114,7 @@ def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: s
             if kind == "logistic":
                 model = LogisticRegression(featuresCol="_x", weightCol="_w", regParam=1 / n, standardization=False)
             else:
-                model = RandomForestClassifier(featuresCol="_x", weightCol="_w", numTrees=50, minInstancesPerNode=5, seed=seed)
+                model = RandomForestClassifier(featuresCol="_x", weightCol="_w", numTrees=trees, minInstancesPerNode=5, seed=seed)
             fitted = Pipeline(stages=[assembler, scaler, model]).fit(weighted)
             scored = fitted.transform(rows.filter(F.col(group) == g))
             part = scored.select(key, group, "label", vector_to_array("probability")[1].alias("score"))

@@ -7,6 +7,8 @@ around it, and the join is by cell; the exact distance filters what is left.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def within(left: DataFrame, right: DataFrame, reach: float, on: tuple[str, str,
     return a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", d).filter(F.col("d") <= reach)
 
 
+def doubling(left: DataFrame, pairs: Callable[[DataFrame, float], DataFrame], left_id: str, right_id: str, reach: float, furthest: float, k: int = 1) -> DataFrame:
+    """The k nearest partners of each left row, from rounds of ``pairs(rows, reach)`` with a reach that doubles to ``furthest``."""
+    work = Workspace(left.sparkSession, "nearest")
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy("d", right_id)).cast("int")
+    found, todo, step = None, left, 0
+    while True:
+        near = pairs(todo, reach).select(left_id, right_id, "d").withColumn("place", place).filter(F.col("place") <= k)
+        near = work.table(near, f"round-{step}")
+        full = near.groupBy(left_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        last = reach >= furthest
+        done = near if last else near.join(full.select(left_id), left_id, "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        todo = work.table(todo.join(full.select(left_id), left_id, "left_anti"), f"todo-{step}")
+        if todo.isEmpty():
+            return found
+        reach, step = min(2 * reach, furthest), step + 1
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by"), k: int = 1, furthest: float | None = None, keys: list[str] | None = None) -> DataFrame:
     """The k nearest right points (with equal ``keys``) of each left point, ties to the smaller id: left_id, right_id, d, place.
 
@@ -54,9 +76,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reac
     partners leaves, since nothing outside its reach is nearer.  Points in
     unpopulated regions cost further rounds on few rows, until ``furthest``.
     """
-    work = Workspace(left.sparkSession, "nearest")
     ax, ay, bx, by = on
-    place = F.row_number().over(Window.partitionBy(left_id).orderBy("d", right_id)).cast("int")
     keys = keys or []
     left = left.select(left_id, ax, ay, *keys).filter(F.col(ax).isNotNull() & F.col(ay).isNotNull())
     right = right.select(right_id, bx, by, *keys).filter(F.col(bx).isNotNull() & F.col(by).isNotNull())
@@ -67,20 +87,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reac
             furthest = reach
         else:
             furthest = ((max(a[1], b[1]) - min(a[0], b[0])) ** 2 + (max(a[3], b[3]) - min(a[2], b[2])) ** 2) ** 0.5 + reach
-    found, todo, step = None, left, 0
-    while True:
-        near = within(todo, right, reach, on, keys).select(left_id, right_id, "d").withColumn("place", place).filter(F.col("place") <= k)
-        near = work.table(near, f"round-{step}")
-        full = near.groupBy(left_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-        last = reach >= furthest
-        done = near if last else near.join(full.select(left_id), left_id, "left_semi")
-        found = done if found is None else found.unionByName(done)
-        if last:
-            return found
-        todo = work.table(todo.join(full.select(left_id), left_id, "left_anti"), f"todo-{step}")
-        if todo.isEmpty():
-            return found
-        reach, step = min(2 * reach, furthest), step + 1
+    return doubling(left, lambda todo, r: within(todo, right, r, on, keys), left_id, right_id, reach, furthest, k)
 
 
 def within_or_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by")) -> DataFrame:
@@ -143,6 +150,26 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crossing) % 2 == 1
 
 
+def sample_in_ring(ring: Column, seed: Column, n: int = 40, tries: int = 400) -> Column:
+    """Up to ``n`` points inside a ring: the first of ``tries`` points of its bounds, scattered by ``seed`` (a whole number).
+
+    Each has x, y and the number of its try.  A thin ring may get fewer than
+    ``n``; null or empty rings get none.
+    """
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    x0, y0 = F.array_min(xs), F.array_min(ys)
+    wide, high = F.array_max(xs) - x0, F.array_max(ys) - y0
+
+    def one(i: Column) -> Column:
+        u = ((i + 1) * 7919 + (seed + 1) * 104729) % 10007 / F.lit(10007.0)
+        v = ((i + 1) * (i + 1) * 31 + (i + 1) * 611953 + seed * 7) % 10009 / F.lit(10009.0)
+        return F.struct(i.cast("int").alias("i"), (x0 + u * wide).alias("x"), (y0 + v * high).alias("y"))
+
+    scattered = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tries - 1).cast("long")), one)
+    kept = F.slice(F.filter(scattered, lambda p: inside_ring(p["x"], p["y"], ring)), 1, n)
+    return F.when(F.size(ring) >= 3, kept).otherwise(F.slice(scattered, 1, 0))
+
+
 def assign_to_polygons(pts: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, cell: float) -> DataFrame:
     """Points joined to the polygons that hold them; points in none keep null columns.
 
