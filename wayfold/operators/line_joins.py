@@ -12,26 +12,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators.polyline import at_fraction, bounds, hypot, nearest_on_line, nearest_on_segment, segments
+from wayfold.operators.polyline import at_fraction, bounds, hypot, nearest_on_line, segments
 from wayfold.operators.spatial import doubling
 
 #: Where along a line its distance to another one is measured.
 FRACTIONS = (0.2, 0.35, 0.5, 0.65, 0.8)
 
 
-def _turn(p: Column, q: Column, r: Column) -> Column:
-    return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+def _turn(p: str, q: str, r: str) -> str:
+    return f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
 
 
-def segment_distance(s: Column, t: Column) -> Column:
-    """Least distance of two segments; 0 where they cross."""
-    cross = (_turn(s["a"], s["b"], t["a"]) * _turn(s["a"], s["b"], t["b"]) < 0) & (_turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0)
-    ends = [nearest_on_segment(e["x"], e["y"], o)["d"] for e, o in ((s["a"], t), (s["b"], t), (t["a"], s), (t["b"], s))]
-    return F.when(cross, 0.0).otherwise(F.least(*ends))
+def with_distance(df: DataFrame) -> DataFrame:
+    """``d``: least distance of the segments (sax, say)-(sbx, sby) and (tax, tay)-(tbx, tby); 0 where they cross.
+
+    In steps, since Spark would write the whole expression out at each use.
+    """
+    runs = {f"_{o}{k}": F.expr(f"{o}b{k} - {o}a{k}") for o in "st" for k in "xy"}
+    squares = {f"_{o}": F.expr(f"_{o}x * _{o}x + _{o}y * _{o}y") for o in "st"}
+    ends = [("sa", "t"), ("sb", "t"), ("ta", "s"), ("tb", "s")]
+    shares = {
+        f"_{e}": F.expr(f"CASE WHEN _{o} > 0 THEN greatest(0D, least(1D, (({e}x - {o}ax) * _{o}x + ({e}y - {o}ay) * _{o}y) / _{o})) ELSE 0D END") for e, o in ends
+    }
+    away = {f"_{e}{k}": F.expr(f"{e}{k} - ({o}a{k} + _{e} * _{o}{k})") for e, o in ends for k in "xy"}
+    least = "least(" + ", ".join(f"_{e}x * _{e}x + _{e}y * _{e}y" for e, _ in ends) + ")"
+    cross = f"{_turn('sa', 'sb', 'ta')} * {_turn('sa', 'sb', 'tb')} < 0 AND {_turn('ta', 'tb', 'sa')} * {_turn('ta', 'tb', 'sb')} < 0"
+    out = df.withColumns(runs).withColumns(squares).withColumns(shares).withColumns(away)
+    return out.withColumn("d", F.expr(f"CASE WHEN {cross} THEN 0D ELSE sqrt({least}) END")).drop(*runs, *squares, *shares, *away)
 
 
 def _listed(df: DataFrame, id: str, line: str, keys: list[str], cell: float, pad: float, segment: str) -> DataFrame:
-    """(id, keys, segment, _cx, _cy) for each cell within ``pad`` of the bounds of a piece."""
+    """(id, keys, _cx, _cy, the corners of a segment) for each cell within ``pad`` of the bounds of a piece."""
     whole = (F.size(line) > 0) & F.forall(line, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
     parts = F.when(F.size(line) == 1, F.array(F.struct(F.col(line)[0].alias("a"), F.col(line)[0].alias("b")))).otherwise(segments(F.col(line)))
     rows = df.filter(whole).select(id, *keys, F.explode(parts).alias(segment))
@@ -49,7 +60,8 @@ def _listed(df: DataFrame, id: str, line: str, keys: list[str], cell: float, pad
         lambda i: F.flatten(F.transform(cells(i, "x"), lambda x: F.transform(cells(i, "y"), lambda y: F.struct(x.alias("x"), y.alias("y"))))),
     )
     placed = rows.withColumn("_cell", F.explode(F.array_distinct(F.flatten(squares))))
-    return placed.withColumn("_cx", F.col("_cell.x")).withColumn("_cy", F.col("_cell.y")).drop("_cell")
+    flat = [F.col(f"{segment}.{e}.{k}").alias(f"{segment}{e}{k}") for e in "ab" for k in "xy"]
+    return placed.select(id, *keys, F.col("_cell.x").alias("_cx"), F.col("_cell.y").alias("_cy"), *flat)
 
 
 def lines_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, lines: tuple[str, str] = ("line", "other"), keys: list[str] | None = None, cell: float | None = None) -> DataFrame:
@@ -62,10 +74,11 @@ def lines_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     if cell <= 0:
         raise ValueError("a reach of 0 needs a cell")
     keys = keys or []
-    a = _listed(left, left_id, lines[0], keys, cell, reach, "_s")
-    b = _listed(right, right_id, lines[1], keys, cell, 0.0, "_t")
-    met = a.join(b, [*keys, "_cx", "_cy"]).withColumn("d", segment_distance(F.col("_s"), F.col("_t"))).filter(F.col("d") <= reach)
-    return met.groupBy(left_id, right_id).agg(F.min("d").alias("d"))
+    a = _listed(left, left_id, lines[0], keys, cell, reach, "s")
+    b = _listed(right, right_id, lines[1], keys, cell, 0.0, "t")
+    apart = " OR ".join(f"least({p}a{k}, {p}b{k}) - greatest({q}a{k}, {q}b{k}) > {reach * (1 + 1e-9)!r}D" for p, q in ("st", "ts") for k in "xy")
+    met = with_distance(a.join(b, [*keys, "_cx", "_cy"]).filter(f"NOT ({apart})"))
+    return met.groupBy(left_id, right_id).agg(F.min("d").alias("d")).filter(F.col("d") <= reach)
 
 
 def nearest_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, lines: tuple[str, str] = ("line", "other"), k: int = 1, keys: list[str] | None = None) -> DataFrame:
