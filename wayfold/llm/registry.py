@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secret_scan, token_files, vector_search, word_bpe
+from wayfold.llm import exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, resampling, secret_scan, token_files, vector_search, word_bpe
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op12_resampling": resampling.op12_resampling,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_near_dedup": near_dedup.ORACLE,
         "op10_secret_scan": secret_scan.ORACLE,
+        "op12_resampling": resampling.ORACLE,
     }
