@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import alignment, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, resampling, secret_scan, token_files, vector_search, word_bpe
+from wayfold.llm import alignment, exact_dedup, language_id, line_dedup, lm_score, near_dedup, packing, personal_data, resampling, secret_scan, token_files, vector_search, word_bpe
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_lm_score": lm_score.op9_lm_score,
         "op10_secret_scan": secret_scan.op10_secret_scan,
+        "op11_personal_data": personal_data.op11_personal_data,
         "op12_resampling": resampling.op12_resampling,
         "op13_alignment": alignment.op13_alignment,
     }
