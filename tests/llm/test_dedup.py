@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -231,3 +232,19 @@ def test_empty_tables(frame, spark):
     assert line_dedup.line_dedup(empty).count() == 0
     assert near_dedup.near_dedup(empty).count() == 0
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "test"), "t").count() == 0
+
+
+def test_a_text_is_hashed_beneath_its_lines(frame, odd_docs):
+    plan = line_dedup.long_lines(frame(odd_docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("xxhash64")
+
+
+def test_line_dedup_of_long_texts_takes_linear_time(frame):
+    def took(n):
+        text = "\n".join(f"line {i} of a text that is very long, word for word, and then goes on" for i in range(n))
+        docs, began = frame([(i, text, None) for i in range(6)]), time.perf_counter()
+        assert line_dedup.line_dedup(docs).agg({"n_dropped": "sum"}).first()[0] == 5 * n
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(60_000) <= 2.5 * took(30_000) + 1
