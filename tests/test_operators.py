@@ -167,7 +167,7 @@ def test_perfect_ranking(spark):
 
 def test_permutation_importance(spark):
     df = spark.createDataFrame([(i, i % 2, float(i % 2), float(i)) for i in range(60)], "k long, y int, a double, b double")
-    got = {r.column: r.loss for r in learn.permutation_importance(df, ["a", "b"], "k", F.col("a") + F.col("b") * 0, "y", repeats=2).collect()}
+    got = {r.column: r.loss_roc_auc for r in learn.permutation_importance(df, ["a", "b"], "k", lambda d: d.withColumn("score", F.col("a") + F.col("b") * 0), "y", repeats=2).collect()}
     assert got["a"] > 0.2 and got["b"] == 0
 
 
@@ -179,7 +179,7 @@ def test_forest_by_group(spark):
 
 def test_greedy_removal_depends_on_order(spark):
     df = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 3, 4), (7, 1, 2)], "n long, i long, j long")
-    assert sorted(map(tuple, slots.greedy_removal(df, "n").collect())) == [(0, 2), (0, 4), (7, 2)]
+    assert sorted(map(tuple, graph.greedy_removal(df, ["n"]).select("n", "id").collect())) == [(0, 2), (0, 4), (7, 2)]
 
 
 def request(i, kind, slot, hold, route, alternative=None):
@@ -268,8 +268,14 @@ def test_names_within_one_edit(spark):
 
 def test_sweep_rules(spark):
     df = spark.createDataFrame([(10.0, 5.0, 2.0, 0.7), (2.9, 5.0, 2.0, 0.7), (10.0, 5.0, 0.0, 0.7), (10.0, 5.0, 2.0, None)], "A double, L double, S double, R double")
-    assert [r[0] for r in df.coalesce(1).select(sweep.vehicle_spec()).collect()] == [True, False, False, False]
-    assert len(sweep.spec_settings()) == 10
+    assert [r[0] for r in df.coalesce(1).select(sweep.VehicleOutline().met()).collect()] == [True, False, False, False]
+    settings = sweep.outline_settings()
+    assert len(settings) == 10 and settings["fill x0.9"] == sweep.VehicleOutline(least_fill=0.9 * 0.62)
+    wide = settings["width x1.1"]
+    assert (wide.least_width, wide.most_width, wide.most_length) == (1.1 * 1.4, 1.1 * 2.8, 7.5)
+    rows = spark.createDataFrame([(2.9, 5.0, 2.0, 0.7, False), (10.0, 5.0, 2.0, 0.7, False)], "A double, L double, S double, R double, flag boolean")
+    swept = {r.setting: (r.n_spec, r.n_changed) for r in sweep.vehicle_sweep(rows, "flag").collect()}
+    assert swept["base"] == (0, 0) and swept["area x0.9"] == (1, 1) and swept["fill x1.1"] == (0, 0)
     assert one(spark, sweep.flipped(F.lit(True), F.lit(True), F.lit(False)), sweep.flipped(F.lit(False), F.lit(True), F.lit(True))) == (False, False)
 
 

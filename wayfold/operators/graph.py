@@ -115,3 +115,25 @@ def path_to(reached: DataFrame, link: int, most: int = 10_000) -> list[int]:
     return path[::-1]
 
 
+def greedy_removal(pairs: DataFrame, keys: list[str], i: str = "i", j: str = "j") -> DataFrame:
+    """(keys, id, round) of the rows that fall if ids are walked in order, and each one still there fells all later ones paired with it.
+
+    ``pairs`` has each pair once or more, with i < j.  The same rows fall as in that
+    walk, in rounds: an id without an open earlier partner stays, and its open later
+    partners fall; what was decided leaves.  Each round decides at least the first
+    open id of every connected part, and all of them at once.
+    """
+    spark = pairs.sparkSession
+    work = Workspace(spark, "greedy-removal")
+    open_ = work.table(pairs.select(*keys, F.col(i).alias("i"), F.col(j).alias("j")).filter("i < j").distinct(), "pairs-0")
+    gone, step = None, 0
+    while not open_.isEmpty():
+        later = open_.select(*keys, F.col("j").alias("i"))
+        stays = open_.select(*keys, "i").distinct().join(later.distinct(), [*keys, "i"], "left_anti")
+        falls = open_.join(stays, [*keys, "i"], "left_semi").select(*keys, F.col("j").alias("id")).distinct()
+        falls = work.table(falls.withColumn("round", F.lit(step)), f"falls-{step}")
+        gone = falls if gone is None else gone.unionByName(falls)
+        ids, step = falls.select(*keys, "id"), step + 1
+        left = open_.join(ids.withColumnRenamed("id", "i"), [*keys, "i"], "left_anti").join(ids.withColumnRenamed("id", "j"), [*keys, "j"], "left_anti")
+        open_ = work.table(left.select(*keys, "i", "j"), f"pairs-{step}")
+    return open_.select(*keys, F.col("i").alias("id"), F.lit(0).alias("round")).limit(0) if gone is None else gone

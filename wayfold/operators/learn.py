@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.numbers import fixed
+from wayfold.operators.ranking import numbered
 
 
 def filled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,31 +23,34 @@ def one_hot(column: Column, values: list, prefix: str) -> list[Column]:
     return [F.coalesce((column == v).cast("int"), F.lit(0)).alias(f"{prefix}_{v}") for v in values]
 
 
-def running(df: DataFrame, order: str, sums: list[str], parts: int = 64) -> DataFrame:
-    """Sums over all rows with at least this value, without one task that holds all rows.
+def running(df: DataFrame, order: str, sums: list[str], parts: int = 64, keys: list[str] | None = None) -> DataFrame:
+    """Sums over all rows (of the same ``keys``) with at least this value, without one task that holds all rows.
 
-    ``order`` is distinct.  Rows are cut at quantiles; the sums of whole parts are
-    one small table.
+    ``order`` is distinct within the keys.  Rows are cut at quantiles; the sums of
+    whole parts are one small table, of ``parts`` rows for each key.
     """
+    keys = keys or []
     cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000).alias("_cuts"))
     placed = df.join(F.broadcast(cuts)).withColumn(
         "_part", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
     ).drop("_cuts")
-    totals = placed.groupBy("_part").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
-    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_part", *(F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_b_{s}") for s in sums))
-    within = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.join(F.broadcast(before), "_part").select(
-        order, *sums, *((F.sum(s).over(within) + F.col(f"_b_{s}")).cast("long").alias(f"cum_{s}") for s in sums)
+    totals = placed.groupBy(*keys, "_part").agg(*(F.sum(s).alias(f"_t_{s}") for s in sums))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_part", *(F.coalesce(F.sum(f"_t_{s}").over(above), F.lit(0)).alias(f"_b_{s}") for s in sums))
+    within = Window.partitionBy(*keys, "_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(before if keys else F.broadcast(before), [*keys, "_part"])
+    return joined.select(
+        *keys, order, *sums, *((F.sum(s).over(within) + F.col(f"_b_{s}")).cast("long").alias(f"cum_{s}") for s in sums)
     )
 
 
 def ranking_measures(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
-    """Average precision (step) and ROC AUC; equal scores count as one threshold.  One row."""
-    per = df.groupBy(score).agg(F.sum(label).cast("long").alias("pos"), (F.count(F.lit(1)) - F.sum(label)).cast("long").alias("neg"))
-    cum = running(per, score, ["pos", "neg"])
+    """Average precision (step) and ROC AUC; equal scores count as one threshold.  One row (for each of ``keys``)."""
+    keys = keys or []
+    per = df.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("pos"), (F.count(F.lit(1)) - F.sum(label)).cast("long").alias("neg"))
+    cum = running(per, score, ["pos", "neg"], keys=keys)
     tp, fp = F.col("cum_pos").cast("double"), F.col("cum_neg").cast("double")
-    sums = cum.agg(
+    sums = cum.groupBy(*keys).agg(
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
         F.sum(F.col("pos") * tp / (tp + fp)).alias("ap"),
@@ -53,6 +59,7 @@ def ranking_measures(df: DataFrame, label: str, score: str, keys: list[str] | No
     )
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     return sums.select(
+        *keys,
         F.col("p").alias("n_positive"),
         F.col("n").alias("n_negative"),
         fixed(F.col("ap") / F.when(p > 0, p)).alias("average_precision"),
@@ -73,8 +80,9 @@ POISSON = (368, 736, 920, 981)
 
 
 def multiplicity(key: Column, replicate: Column) -> Column:
-    """How often a row is in a replicate, from a hash of whole numbers."""
-    h = F.pmod((key + 1) * 7919 + (replicate + 1) * 104729 + (key + 1) * (replicate + 1) * 31, F.lit(1000))
+    """How often a row is in a replicate, from a hash of whole numbers; factors are cut first, so that no id overflows."""
+    k, r = F.pmod(key, F.lit(1000)) + 1, F.pmod(replicate, F.lit(1000)) + 1
+    h = F.pmod(k * 7919 + r * 104729 + k * r * 31, F.lit(1000))
     return F.when(h < POISSON[0], 0).when(h < POISSON[1], 1).when(h < POISSON[2], 2).when(h < POISSON[3], 3).otherwise(4)
 
 
@@ -122,20 +130,36 @@ def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: s
     return out
 
 
-def permutation_importance(df: DataFrame, columns: list[str], key: str, score: Column, label: str, repeats: int = 10) -> DataFrame:
-    """Loss of ROC AUC when a column's values are dealt anew, by column, as a mean over repeats.
+#: Factors of the permutations of row numbers; each is prime, so it has no divisor in common with fewer rows.
+DEALING = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151)
+
+
+def dealt_number(row: Column, repeat: Column, n: int) -> Column:
+    """The number of the row whose value a row gets: another permutation of 0 to n-1 for each repeat."""
+    factor = F.element_at(F.array(*map(F.lit, DEALING)), (F.pmod(repeat, F.lit(len(DEALING))) + 1).cast("int"))
+    big = F.lit(max(1, n)).cast("decimal(38,0)")
+    number = row.cast("decimal(19,0)") * factor.cast("decimal(10,0)") + (repeat + 1) * 7919
+    # a number of rows that a factor divides would not be permuted; then rows are only turned
+    turned = (row + repeat + 1).cast("decimal(38,0)")
+    return F.when(F.lit(max(1, n)) % factor != 0, F.pmod(number.cast("decimal(38,0)"), big)).otherwise(F.pmod(turned, big)).cast("long")
 
-    ``score`` is an expression of the columns.  A column is dealt by joining the
-    rows in one hash order with the values in another.
+
+def permutation_importance(df: DataFrame, columns: list[str], key: str, scorer: Callable[[DataFrame], DataFrame], label: str, repeats: int = 10) -> DataFrame:
+    """Loss of average precision and of ROC AUC when a column's values are dealt anew, by column, as means over repeats.
+
+    ``scorer`` adds the column ``score`` to rows: a fitted model, or an expression.
+    Rows are numbered once, in the order of ``key``, over ranges; each repeat deals the
+    values by a permutation of the numbers, all columns and repeats in one join by number.
     """
-    base = ranking_measures(df.withColumn("_s", score), label, "_s").select(F.col("roc_auc").alias("_base"))
-    out = None
+    rows, n = numbered(df, [F.col(key)], "_row")
+    measures = ["average_precision", "roc_auc"]
+    base = ranking_measures(scorer(rows), label, "score").select(*(F.col(m).alias(f"_{m}") for m in measures))
+    turns = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    asked = rows.withColumn("repeat", turns).withColumn("column", F.explode(F.array(*map(F.lit, columns))))
+    asked = asked.withColumn("_from", dealt_number(F.col("_row"), F.col("repeat"), n))
+    values = rows.select(F.col("_row").alias("_from"), *(F.col(c).alias(f"_v_{c}") for c in columns))
+    dealt = asked.join(values, "_from")
     for c in columns:
-        for r in range(repeats):
-            a = df.withColumn("_i", F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(r)), key)))
-            b = df.select(F.col(c).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(r), F.lit(c)), key)).alias("_i"))
-            dealt = a.join(b, "_i").withColumn(c, F.col("_v"))
-            one = ranking_measures(dealt.withColumn("_s", score), label, "_s").join(base)
-            one = one.select(F.lit(c).alias("column"), (F.col("_base") - F.col("roc_auc")).alias("loss"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("column").agg(F.avg("loss").alias("loss"))
+        dealt = dealt.withColumn(c, F.when(F.col("column") == c, F.col(f"_v_{c}")).otherwise(F.col(c)))
+    per = ranking_measures(scorer(dealt), label, "score", ["column", "repeat"]).join(F.broadcast(base))
+    return per.groupBy("column").agg(*(fixed(F.avg(F.col(f"_{m}") - F.col(m))).alias(f"loss_{m}") for m in measures))

@@ -80,14 +80,26 @@ def log_factorial(n: Column) -> Column:
     return F.when(n <= 40, small).otherwise(series)
 
 
+#: Standard deviations (and, for small margins, their square as a number of cells) beyond which tables are left out.
+REACH = 14
+
+
 def fisher(cells: DataFrame) -> DataFrame:
     """Both one-sided tails of tables (a, b; c, d), and the verdict at 0.05, the upper tail first.
 
-    The sum runs over all tables with these margins, one row each.
+    The sum runs over the tables with these margins whose cell lies within
+    ``REACH`` standard deviations of its mean, one row each; all others together
+    have a probability far below any digit kept.  So there are as many rows as
+    the root of the margins.
     """
     row, column, total = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("a") + F.col("b") + F.col("c") + F.col("d")
     low, high = F.greatest(F.lit(0).cast("long"), row + column - total), F.least(row, column)
-    terms = cells.withColumn("i", F.explode(F.sequence(low, high)))
+    n, share = total.cast("double"), F.when(total > 0, row / total).otherwise(0.0)
+    mean = share * column
+    spread = F.sqrt(F.when(total > 1, mean * (1 - share) * (n - column) / (n - 1)).otherwise(0.0))
+    near = REACH * spread + REACH * REACH
+    first, last = F.floor(mean - near).cast("long"), F.ceil(mean + near).cast("long")
+    terms = cells.withColumn("i", F.explode(F.sequence(F.greatest(low, first), F.least(high, last))))
     i = F.col("i")
     log_p = (
         log_factorial(row)

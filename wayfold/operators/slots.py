@@ -223,20 +223,3 @@ def place_general(requests: list[dict], lanes: dict[int, int], observed: dict[tu
                 break
         out.append({"id": r["id"], "status": status, "delay": delay})
     return out
-
-
-def greedy_removal(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, id) of rows that fall to an earlier kept one: keep i, drop a later j that is paired with it.
-
-    ``pairs``: key, i, j with i < j.  The result depends on order, so a key is one
-    group; its pairs are those of one name.
-    """
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for i, j in sorted(zip(pdf["i"].astype(int), pdf["j"].astype(int))):
-            if i not in gone:
-                gone.add(j)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(gone), "id": sorted(gone)})
-
-    return pairs.groupBy(key).applyInPandas(work, f"{key} long, id long")

@@ -20,8 +20,20 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+#: Cells beyond this number count as one, so that no coordinate overflows them.
+FARTHEST_CELL = 4e18
+
+
 def _cell(x: Column, reach: float) -> Column:
-    return F.floor(x / F.lit(float(reach))).cast("long")
+    return F.floor(F.greatest(F.least(x / F.lit(float(reach)), F.lit(FARTHEST_CELL)), F.lit(-FARTHEST_CELL))).cast("long")
+
+
+def finite(*columns: str) -> Column:
+    """Whether all of the coordinates are numbers, neither missing nor infinite."""
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & (F.abs(F.col(c)) < F.lit(float("inf")))  # NaN is above all in Spark's order
+    return F.coalesce(ok, F.lit(False))
 
 
 def _around(df: DataFrame, x: str, y: str, reach: float) -> DataFrame:
@@ -38,13 +50,13 @@ def within(left: DataFrame, right: DataFrame, reach: float, on: tuple[str, str,
     """Pairs of points at most ``reach`` apart (and with equal ``keys``), with their distance ``d``.
 
     ``on`` names the coordinates of either side.  The right side is repeated
-    nine times, so it should be the smaller one.  Points without coordinates
-    have no partner.
+    nine times, so it should be the smaller one.  Points without finite
+    coordinates have no partner.
     """
     ax, ay, bx, by = on
     keys = keys or []
-    a = left.withColumn("_cx", _cell(F.col(ax), reach)).withColumn("_cy", _cell(F.col(ay), reach))
-    b = _around(right, bx, by, reach)
+    a = left.filter(finite(ax, ay)).withColumn("_cx", _cell(F.col(ax), reach)).withColumn("_cy", _cell(F.col(ay), reach))
+    b = _around(right.filter(finite(bx, by)), bx, by, reach)
     d = distance(F.col(ax), F.col(ay), F.col(bx), F.col(by))
     return a.join(b, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", d).filter(F.col("d") <= reach)
 
@@ -78,8 +90,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reac
     """
     ax, ay, bx, by = on
     keys = keys or []
-    left = left.select(left_id, ax, ay, *keys).filter(F.col(ax).isNotNull() & F.col(ay).isNotNull())
-    right = right.select(right_id, bx, by, *keys).filter(F.col(bx).isNotNull() & F.col(by).isNotNull())
+    left = left.select(left_id, ax, ay, *keys).filter(finite(ax, ay))
+    right = right.select(right_id, bx, by, *keys).filter(finite(bx, by))
     if furthest is None:
         a = left.agg(F.min(ax), F.max(ax), F.min(ay), F.max(ay)).first()
         b = right.agg(F.min(bx), F.max(bx), F.min(by), F.max(by)).first()

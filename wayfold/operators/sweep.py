@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions.numbers import count_of, fixed
 
-#: The limits of a vehicle's outline in square metres, metres and ratios.
-VEHICLE = {"A": (3.0, 20.0), "L": (3.0, 7.5), "S": (1.4, 2.8), "LS": (1.6, 4.2), "R": (0.62, None)}
 BUFFER_FACTORS = (0.8, 0.9, 1.0, 1.1, 1.2)
 
 
-def vehicle_spec(limits: dict[str, tuple[float | None, float | None]] = VEHICLE) -> Column:
-    """Whether a mask has the area, length, width, ratio and fill of a vehicle."""
-    value = {"A": F.col("A"), "L": F.col("L"), "S": F.col("S"), "LS": F.col("L") / F.when(F.col("S") != 0, F.col("S")), "R": F.col("R")}
-    ok = F.lit(True)
-    for name, (low, high) in limits.items():
-        ok = ok & (value[name] >= low if low is not None else F.lit(True)) & (value[name] <= high if high is not None else F.lit(True))
-    return F.coalesce(ok, F.lit(False))
+@dataclass(frozen=True)
+class VehicleOutline:
+    """Limits of an outline that may be a vehicle's; the defaults are fixed values, in square metres, metres and ratios."""
+
+    least_area: float = 3.0
+    most_area: float = 20.0
+    least_length: float = 3.0
+    most_length: float = 7.5
+    least_width: float = 1.4
+    most_width: float = 2.8
+    least_ratio: float = 1.6
+    most_ratio: float = 4.2
+    least_fill: float = 0.62
+
+    def met(self) -> Column:
+        """Whether a row's area A, length L, width S, L to S and fill R lie within the limits; never null."""
+        ratio = F.col("L") / F.nullif(F.col("S"), F.lit(0.0))
+        area = F.col("A").between(self.least_area, self.most_area)
+        long = F.col("L").between(self.least_length, self.most_length)
+        wide = F.col("S").between(self.least_width, self.most_width)
+        slender = ratio.between(self.least_ratio, self.most_ratio)
+        return F.coalesce(area & long & wide & slender & (F.col("R") >= self.least_fill), F.lit(False))
+
+
+def outline_settings(share: float = 0.1) -> dict[str, VehicleOutline]:
+    """The limits of one measure at a time moved down and up by a share."""
+    base, out = VehicleOutline(), {}
+    for measure in ("area", "length", "width", "ratio", "fill"):
+        own = [f.name for f in fields(base) if f.name.endswith(measure)]
+        for factor in (1 - share, 1 + share):
+            out[f"{measure} x{factor:g}"] = replace(base, **{name: factor * getattr(base, name) for name in own})
+    return out
 
 
-def spec_settings(share: float = 0.1) -> dict[str, dict[str, tuple[float | None, float | None]]]:
-    """Both limits of each measure, lower and higher by a share, one at a time."""
-    out = {}
-    for name, (low, high) in VEHICLE.items():
-        for sign in (1 - share, 1 + share):
-            moved = tuple(None if x is None else x * sign for x in (low, high))
-            out[f"{name} x{sign:g}"] = VEHICLE | {name: moved}
-    return out
+def vehicle_sweep(df: DataFrame, stored: str, share: float = 0.1) -> DataFrame:
+    """The sweep of a stored verdict over the settings: see :func:`sweep` and :func:`flipped`."""
+    base = VehicleOutline().met()
+    settings = {"base": VehicleOutline()} | outline_settings(share)
+    rules = {name: flipped(F.col(stored), base, outline.met()) for name, outline in settings.items()}
+    return sweep(df, rules, F.col(stored))
 
 
 def flipped(stored: Column, base: Column, perturbed: Column) -> Column:

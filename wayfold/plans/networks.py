@@ -120,7 +120,7 @@ def recompute_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH b AS (SELECT doc_id, toxic, unnest(range(0, 200)) AS r FROM labels),
-h AS (SELECT r, toxic, ((doc_id + 1) * 7919 + (r + 1) * 104729 + (doc_id + 1) * (r + 1) * 31) % 1000 AS h FROM b),
+h AS (SELECT r, toxic, ((doc_id % 1000 + 1) * 7919 + (r + 1) * 104729 + (doc_id % 1000 + 1) * (r + 1) * 31) % 1000 AS h FROM b),
 m AS (SELECT r, toxic, CASE WHEN h < 368 THEN 0 WHEN h < 736 THEN 1 WHEN h < 920 THEN 2 WHEN h < 981 THEN 3 ELSE 4 END AS m FROM h),
 p AS (SELECT r, CAST(sum(m * toxic) AS DOUBLE) / CAST(sum(m) AS DOUBLE) AS rate FROM m GROUP BY r)
 SELECT {fx("quantile_cont(rate, 0.025)")} AS low, {fx("quantile_cont(rate, 0.5)")} AS middle, {fx("quantile_cont(rate, 0.975)")} AS high FROM p""")
