@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import address, bands, coords, names, numbers
 from wayfold.plans.base import query
 from wayfold.sources import sinks, tables
-from wayfold.sources.shapefile import read_shapefile
+from wayfold.sources.shapefile import read_layers, read_shapefile, write_layers
 from wayfold.sources.tables import table
 from wayfold.workspace import Workspace
 
@@ -221,3 +221,45 @@ def small_rules(spark: SparkSession, sf: str) -> DataFrame:
         coords.zoom_verdict(size / F.lit(20.0), (size % 4) / F.lit(1.5)).alias("zoom"),
         coords.pixel_gate(size).alias("pixels"),
     )
+
+
+def _layers(spark: SparkSession, sf: str, label: str) -> str:
+    """The customers as lines of two or three vertices, written by the tasks; each seventh is deleted, each eleventh has no shape."""
+    k = F.col("c_custkey")
+
+    def p(x, y):
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    first = F.array(p(k * 7919 % 1000, k * 10473 % 1000), p(k * 7919 % 1000 + k % 7 * 9 - 27, k * 10473 % 1000 + k % 5 * 9))
+    more = F.array(p(k % 100, k % 90), p(k % 100 + 5, k % 90 - 5), p(k % 100 + 9, k % 90))
+    parts = F.when(k % 11 != 0, F.when(k % 3 == 0, F.array(first, more)).otherwise(F.array(first)))
+    rows = table(spark, sf, "customer").repartitionByRange(3, "c_custkey").sortWithinPartitions("c_custkey")
+    rows = rows.select(k.cast("string").alias("ID"), F.concat(F.col("c_mktsegment"), F.lit("길")).alias("NAME"), parts.alias("parts"), (k % 7 == 0).alias("gone"))
+    folder = Workspace(spark, label).folder("s")
+    write_layers(rows, folder, {"ID": 12, "NAME": 30}, deleted="gone")
+    return folder
+
+
+_LAYER_SQL = """c AS (SELECT c_custkey AS k, c_mktsegment || '길' AS name, CAST(c_custkey * 7919 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 10473 % 1000 AS DOUBLE) AS y,
+  CAST(c_custkey % 7 * 9 - 27 AS DOUBLE) AS dx, CAST(c_custkey % 5 * 9 AS DOUBLE) AS dy, c_custkey % 3 = 0 AS two, CAST(c_custkey % 100 AS DOUBLE) AS mx, CAST(c_custkey % 90 AS DOUBLE) AS my FROM customer WHERE c_custkey % 7 <> 0),
+b AS (SELECT *, CASE WHEN two THEN least(x, x + dx, mx) ELSE least(x, x + dx) END AS x_min, CASE WHEN two THEN greatest(x, x + dx, mx + 9) ELSE greatest(x, x + dx) END AS x_max,
+  CASE WHEN two THEN least(y, my - 5) ELSE y END AS y_min, CASE WHEN two THEN greatest(y + dy, my) ELSE y + dy END AS y_max FROM c WHERE k % 11 <> 0)"""
+
+
+@query(f"""WITH {_LAYER_SQL}
+SELECT CAST(k AS VARCHAR) AS "ID", name AS "NAME", CAST(CASE WHEN two THEN 2 ELSE 1 END AS INTEGER) AS n_parts, CAST(CASE WHEN two THEN 5 ELSE 2 END AS INTEGER) AS n_points, x + dx AS x1, x_min, y_max
+FROM b WHERE x_max >= 200 AND x_min <= 600 AND y_max >= 100 AND y_min <= 700 AND name LIKE 'B%'""")
+def layer_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of a layer that meet a box and whose name begins so; both tests are answered by the source."""
+    rows = tables.box_meets(read_layers(spark, _layers(spark, sf, "layer-window"), ["ID", "NAME"], records=400), (200.0, 100.0, 600.0, 700.0))
+    points = F.flatten("parts")
+    return rows.filter(F.col("NAME").startswith("B")).select(
+        "ID", "NAME", F.size("parts").alias("n_parts"), F.size(points).alias("n_points"), points[1]["x"].alias("x1"), "x_min", "y_max"
+    )
+
+
+@query(f"""WITH {_LAYER_SQL} SELECT name AS "NAME", CAST(count(*) AS BIGINT) AS n FROM c WHERE name LIKE 'B%' OR name LIKE 'MA%' GROUP BY name""")
+def layer_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes of a layer with any of several beginnings, counted; no geometry file is read."""
+    rows = read_layers(spark, _layers(spark, sf, "layer-prefixes"), ["NAME"], geometry=False, with_bounds=False, records=400, prefixes={"NAME": ["B", "MA"]})
+    return rows.groupBy("NAME").agg(F.count(F.lit(1)).alias("n"))
