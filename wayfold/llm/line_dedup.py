@@ -35,7 +35,8 @@ def long_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, pos, h) of each line whose key is long enough to count; ``h`` has 128 bits."""
     # a step of its own, so that a text is hashed once and not for each of its lines
     split = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), split_lines(F.col("text")).alias("lines"))
-    each = split.select("doc_id", "text_key", F.posexplode("lines").alias("pos", "line"))
+    # outer, or Spark would split each text once more to test that it has lines
+    each = split.select("doc_id", "text_key", F.posexplode_outer("lines").alias("pos", "line"))
     keyed = each.select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= MIN_CHARS)
     return keyed.select("doc_id", "text_key", "pos", F.unhex(F.md5("key")).alias("h"))
 
