@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.numbers import fixed
+from wayfold.operators import forest
 from wayfold.operators.ranking import numbered
 
 
@@ -101,14 +102,23 @@ def bootstrap_rate(df: DataFrame, key: str, hit: str, replicates: int) -> DataFr
 def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: str, key: str, kind: str = "logistic", seed: int = 7, trees: int = 500) -> DataFrame:
     """(key, group, label, score): each group scored by a model of all others.
 
-    Groups are few by design; each is one fit.  Classes are weighted to balance.
+    The forests of all groups grow in the same passes; each tree is balanced on its
+    own sample.  A logistic model is a fit for each group, of which there are few by
+    design, with classes weighted to balance.
     """
+    rows = df.select(key, group, F.col(label).cast("double").alias("label"), *(F.col(f).cast("double").alias(f) for f in features))
+    if kind == "forest":
+        model = forest.fit(rows, features, "label", key, group, trees, seed=seed)
+        return forest.score(rows, model, group).select(key, group, "label", "score")
+    return _logistic_by_group(rows, features, group, key)
+
+
+def _logistic_by_group(rows: DataFrame, features: list[str], group: str, key: str) -> DataFrame:
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = df.select(key, group, F.col(label).cast("double").alias("label"), *(F.col(f).cast("double").alias(f) for f in features))
     out = None
     for g in [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]:
         train = rows.filter(F.col(group) != g)
@@ -119,10 +129,7 @@ def leave_one_group_out(df: DataFrame, features: list[str], label: str, group: s
             weighted = train.withColumn("_w", F.when(F.col("label") == 1, n / (2 * p)).otherwise(n / (2 * (n - p))))
             assembler = VectorAssembler(inputCols=features, outputCol="_raw")
             scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
-            if kind == "logistic":
-                model = LogisticRegression(featuresCol="_x", weightCol="_w", regParam=1 / n, standardization=False)
-            else:
-                model = RandomForestClassifier(featuresCol="_x", weightCol="_w", numTrees=trees, minInstancesPerNode=5, seed=seed)
+            model = LogisticRegression(featuresCol="_x", weightCol="_w", regParam=1 / n, standardization=False)
             fitted = Pipeline(stages=[assembler, scaler, model]).fit(weighted)
             scored = fitted.transform(rows.filter(F.col(group) == g))
             part = scored.select(key, group, "label", vector_to_array("probability")[1].alias("score"))

@@ -51,13 +51,13 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row") -> tuple[Dat
 POISSON = (367879, 735759, 919699, 981012, 996340, 999406, 999917)
 
 
-def draws(keys: np.ndarray, replicates: int) -> np.ndarray:
-    """How often each row (by its whole-number key) is in each replicate.
+def draws(keys: np.ndarray, replicates: int, first: int = 0) -> np.ndarray:
+    """How often each row (by its whole-number key) is in each replicate, from the ``first`` one on.
 
     Three steps of a congruence modulo a prime with shifts between them; all products stay under 64 bits.
     """
     k = (keys.astype(np.int64) % _P)[:, None]
-    r = np.arange(1, replicates + 1, dtype=np.int64)[None, :]
+    r = np.arange(first + 1, first + replicates + 1, dtype=np.int64)[None, :]
     x = (k * 48271 + r * 69621) % _P
     x = ((x ^ (x >> 15)) * 1103515245 + r) % _P
     x = ((x ^ (x >> 13)) * 69621 + k) % _P
