@@ -7,6 +7,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from wayfold.sources.archives import read_zipped_csv, write_zipped_csv
 from wayfold.sources import sinks, tables
 
 
@@ -48,10 +49,10 @@ def zipped(name, body):
 def test_zipped_csv_sniffs_its_encoding(spark, tmp_path):
     (tmp_path / "1.zip").write_bytes(zipped("a.csv", "﻿x,y\n가,1\n".encode()))
     (tmp_path / "2.zip").write_bytes(zipped("b.csv", "x,y\n나,2\n".encode("cp949")))
-    got = tables.read_zipped_csv(spark, str(tmp_path / "*.zip"), "x string, y string").collect()
+    got = read_zipped_csv(spark, str(tmp_path / "*.zip"), "x string, y string").collect()
     assert sorted(map(tuple, got)) == [("가", "1"), ("나", "2")]
     (tmp_path / "3.zip").write_bytes(zipped("c.csv", b"p,1\nq,2\n"))
-    got = tables.read_zipped_csv(spark, str(tmp_path / "3.zip"), "x string, y string", header=False).collect()
+    got = read_zipped_csv(spark, str(tmp_path / "3.zip"), "x string, y string", header=False).collect()
     assert sorted(map(tuple, got)) == [("p", "1"), ("q", "2")]
 
 
@@ -114,3 +115,14 @@ def test_sinks(spark, tmp_path):
     assert sinks.leaks(df.select(sinks.masked(F.col("n"), "가").alias("n")), ["n"], "가").first()[0] == 0
     (tmp_path / "f.bin").write_bytes(b"abc")
     assert tables.file_digests(spark, str(tmp_path / "f.bin")).first().sha256.startswith("ba7816bf")
+
+
+def test_members_are_read_one_by_one(spark, tmp_path):
+    folder = f"file://{tmp_path}/z"
+    df = spark.createDataFrame([(str(i), None if i == 3 else f'a "q", {i}\n길') for i in range(25)], "k string, v string").coalesce(1)
+    assert write_zipped_csv(df, folder, rows_a_member=10) == 1
+    got = read_zipped_csv(spark, folder, "v string, k string, other string", members="all")
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, got.collect()), key=lambda r: int(r[1])) == [(None if i == 3 else f'a "q", {i}\n길', str(i), None) for i in range(25)]
+    assert read_zipped_csv(spark, folder, "k string").count() == 10  # the first member
+    assert write_zipped_csv(df.limit(0), f"{folder}-none") == 0 and read_zipped_csv(spark, f"{folder}-none", "k string").count() == 0

@@ -1,10 +1,11 @@
 """Streams against their batch twins."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from wayfold.streaming import windows
+from wayfold.streaming import incidents, windows
 
 DDL = "event_id long, ts timestamp, event_type string, value double"
 
@@ -56,3 +57,46 @@ def test_versions_grow_with_each_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT event_type, version, n_seen FROM versions").collect())) == [("a", 1, 1), ("a", 2, 2), ("b", 1, 1)]
+
+
+def replayed(rows):
+    """(scenario, incident, id, version) by a plain loop over one key's rows after the other."""
+    out, held = [], {}
+    for s, ts, kind, i, slot, hold, links in sorted(rows, key=lambda r: (r[0], r[1], r[2] == "incident", r[3])):
+        if kind == "decision":
+            held[s, i] = [slot, hold, set(links), 0]
+            continue
+        for (k, d), x in held.items():
+            if k == s and x[0] + x[1] > slot and x[2] & set(links):
+                x[3] += 1
+                out.append((s, i, d, x[3]))
+    return sorted(out)
+
+
+def test_incidents_touch_open_decisions_on_their_links(spark, tmp_path):
+    r = random.Random(2)
+    t0 = datetime(2024, 1, 1)
+    rows = [
+        (i % 5, t0 + timedelta(minutes=i // 2), "incident" if r.random() < 0.2 else "decision", i, r.randrange(4), r.randrange(1, 3), [r.randrange(4), r.randrange(4)])
+        for i in range(120)
+    ]
+    where = [f"file://{tmp_path}/{n}" for n in ("in", "out", "cp")]
+    for part in (rows[:50], rows[50:51], rows[51:]):  # taken up again from the checkpoint
+        spark.createDataFrame(part, incidents.EVENTS).repartition(3).write.mode("append").parquet(where[0])
+        found = incidents.run_to_end(spark, *where)
+    assert sorted((x.scenario, x.incident, x.id, x.version) for x in found.collect()) == replayed(rows)
+
+
+def test_state_of_idle_scenarios_goes(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    where = [f"file://{tmp_path}/{n}" for n in ("in", "out", "cp")]
+    steps = [
+        [(1, t0, "decision", 10, 0, 5, [7])],
+        [(2, t0 + timedelta(hours=9), "decision", 20, 0, 5, [7])],  # the watermark passes the first one's timer
+        [(2, t0 + timedelta(hours=10), "incident", 21, 1, 0, [7])],
+        [(1, t0 + timedelta(hours=11), "incident", 11, 1, 0, [7]), (2, t0 + timedelta(hours=11), "incident", 22, 1, 0, [7, 8])],
+    ]
+    for part in steps:
+        spark.createDataFrame(part, incidents.EVENTS).coalesce(1).write.mode("append").parquet(where[0])
+        found = incidents.run_to_end(spark, *where, idle="2 hours")
+    assert sorted((x.scenario, x.incident, x.id, x.version) for x in found.collect()) == [(2, 21, 20, 1), (2, 22, 20, 2)]

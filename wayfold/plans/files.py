@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import address, bands, coords, names, numbers
 from wayfold.plans.base import query
 from wayfold.sources import sinks, tables
+from wayfold.sources.archives import read_zipped_csv, write_zipped_csv
 from wayfold.sources.shapefile import read_layers, read_shapefile, write_layers
 from wayfold.sources.tables import table
 from wayfold.workspace import Workspace
@@ -76,7 +77,7 @@ def csv_zipped(spark: SparkSession, sf: str) -> DataFrame:
         with zipfile.ZipFile(data, "w") as z:
             z.writestr("a.csv", ("k,name\n" + "".join(f"{k + shift},{r}{tail}\n" for k, r in regions)).encode(encoding))
         _put(work, name, data.getvalue())
-    return tables.read_zipped_csv(spark, work.folder("z/*.zip"), "k string, name string")
+    return read_zipped_csv(spark, work.folder("z/*.zip"), "k string, name string")
 
 
 @query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS link, o_totalprice FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier)")
@@ -263,3 +264,14 @@ def layer_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     """Attributes of a layer with any of several beginnings, counted; no geometry file is read."""
     rows = read_layers(spark, _layers(spark, sf, "layer-prefixes"), ["NAME"], geometry=False, with_bounds=False, records=400, prefixes={"NAME": ["B", "MA"]})
     return rows.groupBy("NAME").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || ', 길' END AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def archive_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers as CSV in archives of several members, written by the tasks, a task to read each member."""
+    folder = Workspace(spark, "archives").folder("z")
+    k = F.col("c_custkey")
+    name = F.when(k % 5 != 0, F.concat(F.col("c_mktsegment"), F.lit(", 길")))
+    rows = table(spark, sf, "customer").repartitionByRange(3, "c_custkey").select(k.cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("nation"), name.alias("name"))
+    write_zipped_csv(rows, folder, rows_a_member=200)
+    return read_zipped_csv(spark, folder, "k string, name string, nation string", members="all")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import timeseries
 from wayfold.plans.base import fx, query
 from wayfold.sources.tables import table
+from wayfold.workspace import Workspace
 
 
 @query("""
@@ -77,3 +78,27 @@ g AS (SELECT user_id, ts, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION B
 SELECT user_id, CAST(n AS BIGINT) AS session, CAST(count(*) AS BIGINT) AS n_events, min(ts) AS started, max(ts) AS ended FROM g GROUP BY user_id, n""")
 def sessions(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.sessions(table(spark, sf, "events"), "user_id", "ts", "event_id", 6 * 3600)
+
+
+@query("""
+WITH e AS (SELECT o_custkey AS scenario, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS id, o_orderkey % 10 IN (0, 5) AS incident, CAST(o_orderkey % 4 AS INTEGER) AS slot, CAST(1 + o_custkey % 2 AS INTEGER) AS hold,
+           [o_orderkey % 3, o_orderkey // 3 % 5] AS links FROM orders),
+t AS (SELECT i.scenario, i.id AS incident, d.id, i.ts FROM e i JOIN e d ON i.scenario = d.scenario AND i.incident AND NOT d.incident AND d.ts <= i.ts AND d.slot + d.hold > i.slot AND list_has_any(i.links, d.links))
+SELECT scenario, incident, id, row_number() OVER (PARTITION BY scenario, id ORDER BY ts, incident) AS version FROM t""")
+def incident_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions that incidents touch, with their versions, by a stream that is taken up again after each of three spans of time."""
+    from wayfold.streaming import incidents
+
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf, "orders").select(
+        c.alias("scenario"), F.col("o_orderdate").alias("ts"), o.alias("id"), (o % 4).alias("slot"), (1 + c % 2).alias("hold"), F.array(o % 3, F.floor(o / 3) % 5).alias("links")
+    )
+    both = incidents.as_events(rows.filter("id % 10 NOT IN (0, 5)"), "decision").unionByName(incidents.as_events(rows.filter("id % 10 IN (0, 5)"), "incident"))
+    work = Workspace(spark, "incidents")
+    spans = [(None, "1994-01-01"), ("1994-01-01", "1996-06-01"), ("1996-06-01", None)]
+    for start, end in spans:
+        part = both.filter(f"ts >= '{start}'") if start else both
+        part = part.filter(f"ts < '{end}'") if end else part
+        part.write.mode("append").parquet(work.folder("in"))
+        found = incidents.run_to_end(spark, work.folder("in"), work.folder("out"), work.folder("checkpoint"))
+    return found.select("scenario", "incident", "id", "version")

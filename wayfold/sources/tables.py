@@ -6,7 +6,6 @@ Schemas are always given, never inferred; a field that a row lacks is null.
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -75,21 +74,6 @@ def read_legacy_csv(
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, ", ".join(f"`{c}` string" for c in columns))
 
 
-def read_zipped_csv(spark: SparkSession, path: str, schema: str, header: bool = True, chunk: int = 100_000) -> DataFrame:
-    """The first member of each ZIP file: UTF-8 if it starts with a byte-order mark, else cp949."""
-    columns = spark.createDataFrame([], schema).columns
-
-    def unzip(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
-                    data = z.read(z.namelist()[0])
-                encoding = "utf-8-sig" if data[:3] == b"\xef\xbb\xbf" else "cp949"
-                yield from _frames(data, columns, ",", encoding, header, chunk)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, ", ".join(f"`{c}` string" for c in columns))
-
-
 def read_headless_csv(spark: SparkSession, path: str, schema: str, column: str, wanted: DataFrame) -> DataFrame:
     """CSV without a header, only rows whose ``column`` is in ``wanted``."""
     return spark.read.schema(schema).csv(path).join(wanted.select(column).distinct(), column, "left_semi")
