@@ -37,7 +37,7 @@ from wayfold.llm.workers import tidy
 PARTS, DOCS_PER_PART, SPANS, SPAN_WORDS = 16, 25, 6, 24
 #: Sampled documents whose keys may be broadcast.
 MOST_BROADCAST = 100_000
-#: Weights of the n-grams (halved as often as 64 languages double), words of each lexicon, words of a chain.
+#: Weights of the n-grams a language, whatever the number of languages; words of each lexicon, words of a chain.
 SLOTS, LEXICON, CHAIN = 1 << 18, 2000, 128
 GRAMS = (2, 3, 4)
 ROUNDS, RATE, DECAY, SEED = 60, 0.3, 1e-4, 7
@@ -178,7 +178,7 @@ def train(chains: list[tuple[str, list[str]]], rounds: int = ROUNDS) -> Crf | No
         for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon.setdefault(w, []).append(i)
     k = len(languages)
-    n_slots = max(1 << 10, SLOTS >> max(0, (k - 1).bit_length() - 6))
+    n_slots = SLOTS
     crf = Crf(languages, np.zeros((n_slots + k, k)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros(n_slots, dtype=bool))
 
     # half of the chains are spliced with others, as in code-switched text
