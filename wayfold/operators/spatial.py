@@ -81,25 +81,108 @@ def doubling(left: DataFrame, pairs: Callable[[DataFrame, float], DataFrame], le
         reach, step = min(2 * reach, furthest), step + 1
 
 
+#: Points of a cell that is not split, levels of cells, and rounds of a doubling reach before cells are searched.
+LEAF, DEPTH, ROUNDS = 64, 14, 3
+
+
+def point_cells(points: DataFrame, x: str, y: str, keys: list[str], x0: float, y0: float, size: float, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """A pyramid over points: cells (keys, lev, cx, cy, n, their bounds, leaf), and the points with their leaf.
+
+    A cell of more than ``LEAF`` points is split in four, down to ``DEPTH`` levels; each
+    level is one aggregation of the points that are still in full cells.
+    """
+    cells, done, left = None, None, points
+    for lev in range(DEPTH + 1):
+        edge = size / 2**lev
+        placed = left.withColumn("cx", F.floor((F.col(x) - x0) / edge).cast("long")).withColumn("cy", F.floor((F.col(y) - y0) / edge).cast("long"))
+        box = (F.min(x).alias("lx"), F.min(y).alias("ly"), F.max(x).alias("hx"), F.max(y).alias("hy"))
+        one = placed.groupBy(*keys, "cx", "cy").agg(F.count(F.lit(1)).alias("n"), *box)
+        one = work.table(one.withColumn("lev", F.lit(lev)).withColumn("leaf", (F.col("n") <= LEAF) | F.lit(lev == DEPTH)), f"cells-{lev}")
+        cells = one if cells is None else cells.unionByName(one)
+        flagged = placed.join(one.select(*keys, "cx", "cy", "lev", "leaf"), [*keys, "cx", "cy"])
+        own = flagged.filter("leaf").drop("leaf")
+        done = own if done is None else done.unionByName(own)
+        if one.filter("NOT leaf").isEmpty():
+            break
+        left = work.table(flagged.filter("NOT leaf").drop("leaf", "lev", "cx", "cy"), f"left-{lev}")
+    return cells, done
+
+
+def nearest_by_cells(left: DataFrame, right: DataFrame, left_id: str, right_id: str, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by"), k: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """(left_id, right_id, d, place) of the k nearest right points, however far, by a descent through a pyramid of cells.
+
+    A row keeps the cells whose bounds are no farther than it is sure to find k
+    points, from the cells' numbers of points and farthest corners, and goes on to
+    their quarters; only the points of the last cells are measured.  Of right points
+    at one place the k with the smallest ids stand for all.
+    """
+    ax, ay, bx, by = on
+    keys = keys or []
+    work = Workspace(left.sparkSession, "nearest-cells")
+    same = F.row_number().over(Window.partitionBy(*keys, bx, by).orderBy(right_id))
+    points = work.table(right.filter(finite(bx, by)).withColumn("_s", same).filter(F.col("_s") <= k).select(right_id, bx, by, *keys), "points")
+    e = points.agg(F.min(bx).alias("x0"), F.max(bx).alias("x1"), F.min(by).alias("y0"), F.max(by).alias("y1")).first()
+    size = 1.0 if e.x0 is None else max(e.x1 - e.x0, e.y1 - e.y0) * (1 + 1e-9) or 1.0
+    cells, leaves = point_cells(points, bx, by, keys, e.x0 or 0.0, e.y0 or 0.0, size, work)
+    cells = work.table(cells, "cells")
+    rows = left.filter(finite(ax, ay)).select(left_id, ax, ay, *keys)
+
+    def gap(low: str, high: str, a: str) -> str:
+        return f"greatest({low} - {a}, {a} - {high}, 0D)"
+
+    def far(low: str, high: str, a: str) -> str:
+        return f"greatest(abs({low} - {a}), abs({high} - {a}))"
+
+    def pruned(open_: DataFrame) -> DataFrame:
+        lo = f"sqrt({gap('lx', 'hx', ax)} * {gap('lx', 'hx', ax)} + {gap('ly', 'hy', ay)} * {gap('ly', 'hy', ay)})"
+        hi = f"sqrt({far('lx', 'hx', ax)} * {far('lx', 'hx', ax)} + {far('ly', 'hy', ay)} * {far('ly', 'hy', ay)})"
+        by_far = Window.partitionBy(left_id).orderBy("_hi").rowsBetween(Window.unboundedPreceding, 0)
+        held = open_.withColumn("_lo", F.expr(lo)).withColumn("_hi", F.expr(hi)).withColumn("_n", F.sum("n").over(by_far))
+        sure = F.min(F.when(F.col("_n") >= k, F.col("_hi"))).over(Window.partitionBy(left_id))
+        return held.withColumn("_b", sure).filter(F.col("_b").isNull() | (F.col("_lo") <= F.col("_b") * (1 + 1e-12))).drop("_lo", "_hi", "_n", "_b")
+
+    at = ["lev", "cx", "cy", "n", "lx", "ly", "hx", "hy", "leaf"]
+    top = cells.filter("lev = 0").select(*keys, *at)
+    # the top has one cell, or one for each of the keys
+    open_ = pruned(rows.join(top, keys) if keys else rows.join(F.broadcast(top)))
+    for lev in range(1, DEPTH + 1):
+        open_ = work.table(open_, f"open-{lev}")
+        if open_.filter("NOT leaf").isEmpty():
+            break
+        below = cells.filter(F.col("lev") == lev).select(*keys, *at)
+        parent = below.withColumn("_px", F.floor(F.col("cx") / 2).cast("long")).withColumn("_py", F.floor(F.col("cy") / 2).cast("long"))
+        split = open_.filter("NOT leaf").select(left_id, ax, ay, *keys, F.col("cx").alias("_px"), F.col("cy").alias("_py")).join(parent, [*keys, "_px", "_py"])
+        open_ = pruned(open_.filter("leaf").unionByName(split.drop("_px", "_py")))
+    met = open_.select(left_id, ax, ay, *keys, "lev", "cx", "cy").join(leaves, [*keys, "lev", "cx", "cy"])
+    met = met.withColumn("d", distance(F.col(ax), F.col(ay), F.col(bx), F.col(by)))
+    place = F.row_number().over(Window.partitionBy(left_id).orderBy("d", right_id)).cast("int")
+    return met.select(left_id, right_id, "d").withColumn("place", place).filter(F.col("place") <= k)
+
+
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by"), k: int = 1, furthest: float | None = None, keys: list[str] | None = None) -> DataFrame:
     """The k nearest right points (with equal ``keys``) of each left point, ties to the smaller id: left_id, right_id, d, place.
 
-    Rounds of :func:`within` with a reach that doubles; a point that has found k
-    partners leaves, since nothing outside its reach is nearer.  Points in
-    unpopulated regions cost further rounds on few rows, until ``furthest``.
+    ``ROUNDS`` rounds of :func:`within` with a reach that doubles; a point that has
+    found k partners leaves, since nothing outside its reach is nearer.  Points in
+    unpopulated regions, few as they are, then search a pyramid of cells, so that
+    no cell is ever as wide as the extent.  With ``furthest`` none is farther than that.
     """
     ax, ay, bx, by = on
     keys = keys or []
     left = left.select(left_id, ax, ay, *keys).filter(finite(ax, ay))
     right = right.select(right_id, bx, by, *keys).filter(finite(bx, by))
-    if furthest is None:
-        a = left.agg(F.min(ax), F.max(ax), F.min(ay), F.max(ay)).first()
-        b = right.agg(F.min(bx), F.max(bx), F.min(by), F.max(by)).first()
-        if a[0] is None or b[0] is None:
-            furthest = reach
-        else:
-            furthest = ((max(a[1], b[1]) - min(a[0], b[0])) ** 2 + (max(a[3], b[3]) - min(a[2], b[2])) ** 2) ** 0.5 + reach
-    return doubling(left, lambda todo, r: within(todo, right, r, on, keys), left_id, right_id, reach, furthest, k)
+    most = reach * 2 ** (ROUNDS - 1)
+    if furthest is not None and furthest <= most:
+        return doubling(left, lambda todo, r: within(todo, right, r, on, keys), left_id, right_id, reach, furthest, k)
+    work = Workspace(left.sparkSession, "nearest-far")
+    near = doubling(left, lambda todo, r: within(todo, right, r, on, keys), left_id, right_id, reach, most, k)
+    full = work.table(near.groupBy(left_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(left_id), "full")
+    rest = work.table(left.join(full, left_id, "left_anti"), "rest")
+    if rest.isEmpty():
+        return near
+    far = nearest_by_cells(rest, right, left_id, right_id, on, k, keys)
+    far = far if furthest is None else far.filter(F.col("d") <= furthest)
+    return near.join(full, left_id, "left_semi").unionByName(far)
 
 
 def within_or_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach: float, on: tuple[str, str, str, str] = ("ax", "ay", "bx", "by")) -> DataFrame:
