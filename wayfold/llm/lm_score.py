@@ -4,7 +4,7 @@ A network predicts every token from the two tokens on either side of it.  The
 vectors of the four neighbours are mixed and squashed; what comes out gives
 first the token's class, then a word or bucket of that class, and in a bucket
 one of its words, so that a prediction costs three small softmaxes for a
-vocabulary of some 33,000 words.  A document's score is the sum of its tokens'
+vocabulary of some 17,000 words and their buckets.  A document's score is the sum of its tokens'
 log probabilities.
 
 Words beyond the vocabulary share the last place of a bucket.  Such a word's
