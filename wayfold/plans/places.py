@@ -84,7 +84,7 @@ def competing_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the nearest facility is within reach and itself of the wanted kind."""
     suppliers = _suppliers(spark, sf)
     near = spatial.nearest(_customers(spark, sf), suppliers, "c_custkey", "s_suppkey", 100.0)
-    kinds = near.join(suppliers.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    kinds = near.join(suppliers.select("s_suppkey", "s_nationkey").hint("merge"), "s_suppkey")
     return kinds.select("c_custkey", ((F.col("d") <= 40) & (F.col("s_nationkey") < 12)).alias("alley"))
 
 
