@@ -73,3 +73,32 @@ def test_no_broadcast_of_what_grows(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def lists_of(spark, tmp_path, name):
+    """The query over customers and suppliers that stand at few places, against its SQL."""
+    import duckdb
+
+    from wayfold.plans import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT i * 250 AS c_custkey, CAST(i // 4 % 3 AS INTEGER) AS c_nationkey FROM range(3000) r(i)) TO '{tmp_path}/customer.parquet'")
+    con.sql(f"COPY (SELECT i * 250 AS s_suppkey, CAST(i % 3 AS DOUBLE) - 1 AS s_acctbal FROM range(3000) r(i)) TO '{tmp_path}/supplier.parquet'")
+    for t in ("customer", "supplier"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(*want.columns)
+    return sorted(map(tuple, got.collect())), sorted(want.fetchall()), got
+
+
+def test_lists_of_copies(spark, tmp_path):
+    got, want, df = lists_of(spark, tmp_path, "same_name_near")
+    assert got == want
+    # each list is gathered once a place, not once a row
+    assert "array_remove" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_copies(spark, tmp_path):
+    got, want, df = lists_of(spark, tmp_path, "facility_counts")
+    assert got == want
+    assert "collect_set(s_suppkey" not in df._jdf.queryExecution().optimizedPlan().toString()  # no group holds all keys

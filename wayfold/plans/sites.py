@@ -10,6 +10,7 @@ from wayfold.functions.numbers import count_of, fixed, rate
 from wayfold.operators import masks, polyline, setrates, slots, spatial
 from wayfold.plans.base import fx, n_if, query, ratio
 from wayfold.sources.tables import pending, table, tables
+from wayfold.workspace import Workspace
 
 
 @query(f"""
@@ -61,10 +62,11 @@ def same_name_near(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the same name within 100 metres, and which."""
     a = _places(spark, sf)
     b = a.select(F.col("l").alias("r"), "name", F.col("ax").alias("bx"), F.col("ay").alias("by"))
-    hits = spatial.within(a, b, 100.0, keys=["name"]).filter("l <> r").groupBy("l").agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("r")), ",").alias("near")
-    )
-    return a.select("l").join(hits, "l", "left").select("l", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("near", F.lit("")).alias("near"))
+    # rows of one place and name have one list, each without itself
+    at = ["name", "ax", "ay"]
+    hits = spatial.within(a.select(at).distinct(), b, 100.0, keys=["name"]).groupBy(at).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    own = spatial.spread(a, *at).join(spatial.spread(hits, *at).hint("merge"), at, "left").select("l", F.array_remove("r", F.col("l")).alias("r"))
+    return own.select("l", F.coalesce(F.size("r").cast("long"), F.lit(0).cast("long")).alias("n"), F.coalesce(F.array_join("r", ","), F.lit("")).alias("near"))
 
 
 @query("""
@@ -319,8 +321,16 @@ def facility_counts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = table(spark, sf, "supplier").select(k, ((k * 7919) % 1000).cast("double").alias("bx"), ((k * 10473) % 1000).cast("double").alias("by"), (F.col("s_acctbal") < 0).alias("err"))
     places = _places(spark, sf)
-    hits = spatial.within(places, s, 50.0)
-    two = F.slice(F.array_sort(F.collect_set("s_suppkey")), 1, 2)
-    per = hits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), count_of(F.col("err")).alias("n_errors"), F.array_join(two, ",").alias("examples"))
+    # places of customers and of facilities, with their numbers and the two smallest keys; only places meet
+    ours = places.groupBy("name", "ax", "ay").agg(F.count(F.lit(1)).alias("times"))
+    theirs = s.withColumn("place", F.row_number().over(Window.partitionBy("bx", "by").orderBy("s_suppkey"))).groupBy("bx", "by").agg(
+        F.count(F.lit(1)).alias("there"), count_of(F.col("err")).alias("wrong"), F.collect_list(F.when(F.col("place") <= 2, F.col("s_suppkey"))).alias("two")
+    )
+    hits = Workspace(spark, "facility-counts").table(spatial.within(ours, theirs, 50.0).select("name", "times", "there", "wrong", "two"), "hits")
+    per = hits.groupBy("name").agg(F.sum(F.col("times") * F.col("there")).alias("n"), F.sum(F.col("times") * F.col("wrong")).alias("n_errors"))
+    keys = hits.select("name", F.explode("two").alias("s_suppkey")).distinct()
+    least = keys.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("s_suppkey"))).filter("place <= 2")
+    least = least.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("s_suppkey")), ",").alias("examples"))
     zero = F.lit(0).cast("long")
-    return places.select("name").distinct().join(per, "name", "left").select("name", F.coalesce("n", zero).alias("n"), F.coalesce("n_errors", zero).alias("n_errors"), "examples")
+    per = places.select("name").distinct().join(per, "name", "left").join(least, "name", "left")
+    return per.select("name", F.coalesce("n", zero).alias("n"), F.coalesce("n_errors", zero).alias("n_errors"), "examples")
