@@ -147,9 +147,13 @@ def nearest_stretch(line: Column, rings: Column, x: Column, y: Column) -> Column
 
 
 def _nearest_stretch(line: Column, edges: Column, x: Column, y: Column) -> Column:
+    def away(path: Column) -> Column:
+        return nearest_on_line(x, y, path)["d"]
+
     parts = F.transform(
         _inside_stretches(line, edges),
-        lambda p: F.struct(nearest_on_line(x, y, stretch_of(line, p))["d"].alias("d"), p["from"].alias("from"), p["to"].alias("to")),
+        # bound to a name by a list of one, so that a stretch is cut out once, not for each of its vertices
+        lambda p: F.struct(F.transform(F.array(stretch_of(line, p)), away)[0].alias("d"), p["from"].alias("from"), p["to"].alias("to")),
     )
     return F.array_min(parts)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.numbers import fixed
 from wayfold.operators import polygons
+from wayfold.operators.spatial import spread
 from wayfold.plans.base import fx, query
 from wayfold.sources.tables import table
 
@@ -73,6 +74,7 @@ def clipped_stretches(spark: SparkSession, sf: str) -> DataFrame:
     y = F.when(k % 2 == 0, 10.5).otherwise(2.5)
     line = F.array(_point(-5.0, y), _point(30.0, y), _point(130.0, y))
     rows = table(spark, sf, "part").select("p_partkey", line.alias("line"), rings.alias("rings"), (k % 120).cast("double").alias("px"), y.alias("py"))
+    rows = spread(rows, "p_partkey")  # a small file is one task
     rows = rows.withColumn("all", polygons.inside_stretches(F.col("line"), F.col("rings")))
     rows = rows.withColumn("best", polygons.nearest_stretch(F.col("line"), F.col("rings"), F.col("px"), F.col("py")))
     inside = F.aggregate("all", F.lit(0.0), lambda acc, p: acc + p["to"] - p["from"])
@@ -103,5 +105,5 @@ def medial_widths(spark: SparkSession, sf: str) -> DataFrame:
     rings = F.when(k % 10 == 0, F.array().cast(_NO_RINGS)).when(k % 10 == 1, beside).otherwise(area)
     line, wall = F.array(_point(-5.0, 3.0), _point(100.0, 3.0)), F.array(_point(0.0, 4.0), _point(100.0, 4.0))
     rows = table(spark, sf, "part").select("p_partkey", line.alias("line"), rings.alias("rings"), F.array(wall).alias("walls"), F.lit(7.0).alias("x"), F.lit(3.0).alias("y"))
-    out = polygons.medial_width(rows, "line", "rings", "x", "y", "walls")
+    out = polygons.medial_width(spread(rows, "p_partkey"), "line", "rings", "x", "y", "walls")
     return out.drop("line", "rings", "walls", "x", "y")
