@@ -113,3 +113,11 @@ def test_small_files_of_costly_rows_are_dealt(spark, name):
     assert "REPARTITION_BY_NUM" in plan
     # no sample is written out in a pushed filter
     assert name != "resample_medial" or not any("aggregate(" in line and "chainage" in line and "Filter" in line for line in plan.splitlines())
+
+
+def test_keys_of_both_sides_meet_once(spark):
+    """No join of either side's distinct keys, and partitions that are not merged."""
+    from wayfold.plans import QUERIES
+
+    plan = QUERIES["symmetric_keys"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan

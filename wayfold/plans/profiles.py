@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import bands
 from wayfold.functions.numbers import cents, count_of, fixed, rate
 from wayfold.operators import dedup, profile
+from wayfold.operators.spatial import spread
 from wayfold.plans.base import fx, n_if, query, ratio
 from wayfold.sources.tables import table, tables
 
@@ -262,10 +263,12 @@ SELECT 'orders' AS side, o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SE
 UNION ALL SELECT DISTINCT 'lineitem', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
 def symmetric_keys(spark: SparkSession, sf: str) -> DataFrame:
     orders, lines = tables(spark, sf, "orders", "lineitem")
-    o, l = orders.select(F.col("o_orderkey").alias("k")).distinct(), lines.select(F.col("l_orderkey").alias("k")).distinct()
-    return o.join(l, "k", "left_anti").select(F.lit("orders").alias("side"), "k").unionByName(
-        l.join(o, "k", "left_anti").select(F.lit("lineitem").alias("side"), "k")
-    )
+    rows = orders.select(F.col("o_orderkey").alias("k"), F.lit(True).alias("o")).unionByName(lines.select(F.col("l_orderkey").alias("k"), F.lit(False).alias("o")))
+    # one grouping of both sides; keys compress so well that merged partitions would be large in memory
+    sides = spread(rows, "k").groupBy("k").agg(F.bool_or("o").alias("o"), F.bool_or(~F.col("o")).alias("l"))
+    apart = F.col("k").isNull()  # a null key has no partner
+    only = F.array(F.when(F.col("o") & (~F.col("l") | apart), "orders"), F.when(F.col("l") & (~F.col("o") | apart), "lineitem"))
+    return sides.select(F.explode(F.array_compact(only)).alias("side"), "k")
 
 
 @query(f"""
