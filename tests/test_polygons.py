@@ -124,3 +124,22 @@ def test_points_in_areas(spark):
     at = spark.createDataFrame([(1, 15.0, 10.0), (2, 55.0, 1.0), (3, 45.0, 10.0), (4, 22.0, 6.0), (5, float("inf"), 1.0), (6, None, 1.0)], "i int, x double, y double")
     got = polygons.assign_to_areas(at, areas, "x", "y", "rings", 7.0).collect()
     assert sorted((r.i, r.name or "") for r in got) == [(1, "b"), (2, "a"), (3, ""), (4, "a"), (4, "b"), (5, ""), (6, "")]
+
+
+def test_an_area_meets_only_pieces_from_its_beginning_on(spark, monkeypatch):
+    """Boxes of one column, far apart and some of them twice: an edge is not measured against the pieces of all others."""
+    from wayfold.workspace import Workspace
+
+    kept, was = {}, Workspace.table
+
+    def table(self, df, name, *a, **more):
+        kept[name] = was(self, df, name, *a, **more)
+        return kept[name]
+
+    monkeypatch.setattr(Workspace, "table", table)
+    box = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]]
+    rows = [(i, 1, [[(x, y + 100.0 * (i // 2)) for x, y in ring] for ring in box]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, k int, a array<array<struct<x: double, y: double>>>")
+    got = polygons.outline_measures(polygons.union_outline(df, "k", "id", "a", 4.0), "k").collect()
+    assert [tuple(r) for r in got] == [(1, 40, 160.0, 160.0)]
+    assert kept["edges"].count() == 40 and {"lowx", "lowy"} <= set(kept["edges"].columns)

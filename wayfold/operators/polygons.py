@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators.line_joins import _listed
 from wayfold.operators.polyline import at_distance, hypot, length, nearest_on_line, nearest_on_segment, ring_edges, segments
-from wayfold.operators.spatial import _cell, finite
+from wayfold.operators.spatial import _cell, finite, spread
 from wayfold.workspace import Workspace
 
 #: Decimal digits of the coordinates of an outline; what is nearer is one place.
@@ -220,20 +220,25 @@ def assign_to_areas(pts: DataFrame, areas: DataFrame, x: str, y: str, rings: str
 
 # ---------------------------------------------------------------- outline of a union
 def _edges(areas: DataFrame, key: str, id: str, rings: str) -> DataFrame:
-    """(key, id, e, ax, ay, bx, by): edges from the lesser to the greater end, coordinates rounded, none of no length."""
-    each = areas.select(key, id, F.posexplode(area_edges(F.col(rings))).alias("i", "s"))
+    """(key, id, lowx, lowy, ax, ay, bx, by): edges from the lesser to the greater end, coordinates rounded, none of no length, and where their area begins.
+
+    Areas of the same rings count once.
+    """
+    areas = areas.groupBy(key, rings).agg(F.min(id).alias(id))
+    low = [F.round(F.array_min(F.flatten(rings)[k]), DIGITS).alias(f"low{k}") for k in "xy"]
+    each = spread(areas, id).select(key, id, *low, F.explode(area_edges(F.col(rings))).alias("s"))
     ends = {f"{p}{k}": F.round(F.col(f"s.{p}.{k}"), DIGITS) for p in "ab" for k in "xy"}
-    flat = each.select(key, id, "i", *(c.alias(n) for n, c in ends.items())).filter("ax <> bx OR ay <> by")
+    flat = each.select(key, id, "lowx", "lowy", *(c.alias(n) for n, c in ends.items())).filter("ax <> bx OR ay <> by")
     low = "ax < bx OR ax = bx AND ay < by"
     swapped = [F.expr(f"CASE WHEN {low} THEN {p}{k} ELSE {q}{k} END").alias(f"{p}{k}") for p, q in ("ab", "ba") for k in "xy"]
-    return flat.select(key, id, F.struct(F.col(id).alias("id"), "i").alias("e"), *swapped)
+    return flat.select(key, id, "lowx", "lowy", *swapped)
 
 
 def _meetings(edges: DataFrame, key: str, cell: float) -> DataFrame:
     """(key, e, x, y): places where an edge meets another one, at a crossing or at an end of either."""
     lines = edges.select(key, "e", F.array(*(F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")) for p in "ab")).alias("line"))
     one, two = _listed(lines, "e", "line", [key], cell, TOLERANCE, "s"), _listed(lines, "e", "line", [key], cell, TOLERANCE, "t")
-    pairs = one.join(two.withColumnRenamed("e", "f"), [key, "_cx", "_cy"]).filter("e < f").dropDuplicates([key, "e", "f"])
+    pairs = one.join(two.withColumnRenamed("e", "f").hint("merge"), [key, "_cx", "_cy"]).filter("e < f")
     runs = pairs.selectExpr("*", "sbx - sax AS sx", "sby - say AS sy", "tbx - tax AS tx", "tby - tay AS ty")
     solved = runs.selectExpr("*", "sx * ty - sy * tx AS den").selectExpr(
         "*", "((tax - sax) * ty - (tay - say) * tx) / nullif(den, 0D) AS u", "((tax - sax) * sy - (tay - say) * sx) / nullif(den, 0D) AS v"
@@ -250,7 +255,7 @@ def _meetings(edges: DataFrame, key: str, cell: float) -> DataFrame:
     of_s = F.concat(both, F.array_compact(F.array(F.expr(on("ta", "s")), F.expr(on("tb", "s")))))
     of_t = F.concat(both, F.array_compact(F.array(F.expr(on("sa", "t")), F.expr(on("sb", "t")))))
     rows = solved.select(key, F.explode(F.array(F.struct("e", of_s.alias("p")), F.struct(F.col("f").alias("e"), of_t.alias("p")))).alias("m"))
-    return rows.select(key, "m.e", F.explode("m.p").alias("p")).select(key, "e", "p.x", "p.y")
+    return rows.select(key, "m.e", F.explode("m.p").alias("p")).select(key, "e", "p.x", "p.y").distinct()
 
 
 def _pieces(edges: DataFrame, meetings: DataFrame, key: str) -> DataFrame:
@@ -280,21 +285,27 @@ def union_outline(areas: DataFrame, key: str, id: str, rings: str, cell: float)
     """
     work = Workspace(areas.sparkSession, "union-outline")
     edges = work.table(_edges(areas, key, id, rings), "edges")
-    pieces = work.table(_pieces(edges, _meetings(edges, key, cell), key), "pieces")
+    # edges at the same place meet the same ones
+    ends = ["ax", "ay", "bx", "by"]
+    places = work.table(edges.select(key, *ends).distinct().withColumn("e", F.struct(*ends)), "places")
+    pieces = work.table(_pieces(places, _meetings(places, key, cell), key), "pieces")
     # what lies above the middle of a flat piece, or to the right of a steep one, in strips across the ray
     flat = "bx - ax >= abs(by - ay)"
     mid = pieces.selectExpr("*", f"{flat} AS flat", "(ax + bx) / 2 AS mx", "(ay + by) / 2 AS my")
     mid = mid.withColumn("strip", F.floor(F.when(F.col("flat"), F.col("mx")).otherwise(F.col("my")) / cell).cast("long"))
-    ex = edges.selectExpr(key, f"`{id}` AS _id", "ax AS px", "ay AS py", "bx AS qx", "by AS qy")
+    mid = mid.withColumn("row", F.floor(F.when(F.col("flat"), F.col("my")).otherwise(F.col("mx")) / cell).cast("long"))
+    ex = edges.selectExpr(key, f"`{id}` AS _id", "lowx", "lowy", "ax AS px", "ay AS py", "bx AS qx", "by AS qy")
+    # a place is within an area only above the area's beginning, so an edge is listed from there to itself
     sides = F.array(
-        F.struct(F.lit(True).alias("flat"), F.least("px", "qx").alias("lo"), F.greatest("px", "qx").alias("hi")),
-        F.struct(F.lit(False).alias("flat"), F.least("py", "qy").alias("lo"), F.greatest("py", "qy").alias("hi")),
+        F.struct(F.lit(True).alias("flat"), F.least("px", "qx").alias("lo"), F.greatest("px", "qx").alias("hi"), F.col("lowy").alias("low"), F.greatest("py", "qy").alias("high")),
+        F.struct(F.lit(False).alias("flat"), F.least("py", "qy").alias("lo"), F.greatest("py", "qy").alias("hi"), F.col("lowx").alias("low"), F.greatest("px", "qx").alias("high")),
     )
-    listed = ex.withColumn("_o", F.explode(sides)).selectExpr("*", "_o.flat", "_o.lo", "_o.hi").drop("_o").filter("lo < hi")
+    listed = ex.withColumn("_o", F.explode(sides)).selectExpr("*", "_o.flat", "_o.lo", "_o.hi", "_o.low", "_o.high").drop("_o", "lowx", "lowy").filter("lo < hi")
     listed = listed.withColumn("strip", F.explode(F.sequence(F.floor(F.col("lo") / cell).cast("long"), F.floor(F.col("hi") / cell).cast("long"))))
+    listed = listed.withColumn("row", F.explode(F.sequence(F.floor((F.col("low") - TOLERANCE) / cell).cast("long"), F.floor((F.col("high") + TOLERANCE) / cell).cast("long"))))
     spans = "(flat AND lo <= mx AND mx < hi OR NOT flat AND lo <= my AND my < hi)"
     away = "CASE WHEN flat THEN py + (mx - px) / (qx - px) * (qy - py) - my ELSE px + (my - py) / (qy - py) * (qx - px) - mx END"
-    met = mid.join(listed, [key, "flat", "strip"]).filter(spans).withColumn("away", F.expr(away))
+    met = mid.join(listed.hint("merge"), [key, "flat", "strip", "row"]).filter(spans).withColumn("away", F.expr(away))
     # an edge at the piece itself lies between its two sides
     per = met.groupBy(key, "flat", "ax", "ay", "bx", "by", "_id").agg(
         F.sum(F.expr(f"CAST(away > {TOLERANCE!r}D AS INT)")).alias("beyond"), F.sum(F.expr(f"CAST(abs(away) <= {TOLERANCE!r}D AS INT)")).alias("own")
