@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wayfold.operators import polyline
+from wayfold.operators import graph, polyline, spatial
 
 LINKS = "link_id long, f_node long, t_node long, name string, first_dx double, first_dy double, last_dx double, last_dy double"
 
@@ -35,3 +35,24 @@ def test_census_of_a_node_with_very_many_links(spark):
     leave = spark.range(n).select("id", F.lit(0).cast("long").alias("f_node"), (-F.col("id") - 10).alias("t_node"), F.concat(F.lit("b"), "id").alias("name"), *ones)
     got = polyline.turn_census(come.unionByName(leave)).filter("node = 0").first()
     assert (got.n, got.turned, got.under_90, got.under_120) == (n * n, n * n, 0, n * n)
+
+
+def test_removal_near_is_that_of_the_pairs(spark):
+    r = random.Random(8)
+    rows = [(i, r.randrange(2), float(r.randrange(4)), float(r.randrange(4)), r.randrange(-2, 3), r.choice([-1, 0, 1, 2, None])) for i in range(300)]
+    rows += [(300, 0, float("nan"), 0.0, 1, 1), (301, 0, None, 0.0, -1, -1), (302, None, 0.0, 0.0, 1, 1)]
+    points = spark.createDataFrame(r.sample(rows, len(rows)), "id long, g long, x double, y double, u long, v long").repartition(3)
+    a = points.selectExpr("g", "id AS i", "x AS ax", "y AS ay", "u AS au", "v AS av")
+    b = points.selectExpr("g", "id AS j", "x AS bx", "y AS by", "u AS bu", "v AS bv")
+    pairs = spatial.within(a, b, 1.5, keys=["g"]).filter("i < j AND au * bu + av * bv < 0")
+    want = sorted((x.g, x.id) for x in graph.greedy_removal(pairs, ["g"]).collect())
+    got = graph.greedy_removal_near(points, "id", "x", "y", ["g"], ["u", "v"], 1.5, "a_u * b_u + a_v * b_v < 0")
+    assert sorted((x.g, x.id) for x in got.collect()) == want
+    assert graph.greedy_removal_near(points.limit(0), "id", "x", "y", ["g"], ["u", "v"], 1.5, "a_u * b_u < 0").count() == 0
+
+
+def test_removal_near_lists_no_pairs(spark):
+    # 400 million pairs of rivals at one place
+    points = spark.range(40_000).select("id", F.lit(0).alias("g"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (1 - F.col("id") % 2 * 2).alias("u"))
+    got = graph.greedy_removal_near(points, "id", "x", "y", ["g"], ["u"], 1.0, "a_u * b_u < 0")
+    assert got.count() == 20_000 and got.filter("id % 2 = 0").count() == 0

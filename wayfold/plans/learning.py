@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.numbers import fixed
-from wayfold.operators import graph, learn, ranking, spatial, sweep
+from wayfold.operators import graph, learn, ranking, sweep
 from wayfold.plans.base import fx, n_if, query
 from wayfold.sources.tables import table, tables
 
@@ -91,9 +91,8 @@ SELECT ids.n, ids.id FROM ids JOIN f ON ids.n = f.n WHERE NOT list_contains(kept
 def opposite_pairs_removed(spark: SparkSession, sf: str) -> DataFrame:
     """Points that fall to an earlier one near them of the same nation that runs the other way."""
     c = table(spark, sf, "customer").selectExpr(*(f"{p.strip()}" for p in _AT.split(", ")))
-    a, b = c.selectExpr("n", "id AS i", "x AS ax", "y AS ay", "vx AS avx", "vy AS avy"), c.selectExpr("n", "id AS j", "x AS bx", "y AS by", "vx AS bvx", "vy AS bvy")
-    pairs = spatial.within(a, b, 100.0, keys=["n"]).filter("i < j AND avx * bvx + avy * bvy < 0")
-    return graph.greedy_removal(pairs, ["n"]).select("n", "id")
+    removed = graph.greedy_removal_near(c, "id", "x", "y", ["n"], ["vx", "vy"], 100.0, "a_vx * b_vx + a_vy * b_vy < 0")
+    return removed.select("n", "id")
 
 
 _MEASURED = {"A": "l_quantity * 0.5", "L": "2.5 + (l_partkey % 56) / 10", "S": "1.2 + (l_suppkey % 20) / 10", "R": "0.5 + l_discount * 4"}
