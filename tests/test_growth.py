@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wayfold.operators import graph, polyline, spatial
+from wayfold.streaming import incidents
 
 LINKS = "link_id long, f_node long, t_node long, name string, first_dx double, first_dy double, last_dx double, last_dy double"
 
@@ -56,3 +58,34 @@ def test_removal_near_lists_no_pairs(spark):
     points = spark.range(40_000).select("id", F.lit(0).alias("g"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (1 - F.col("id") % 2 * 2).alias("u"))
     got = graph.greedy_removal_near(points, "id", "x", "y", ["g"], ["u"], 1.0, "a_u * b_u < 0")
     assert got.count() == 20_000 and got.filter("id % 2 = 0").count() == 0
+
+
+class _Store:
+    """A handle whose one value counts how often it is asked for and written."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_a_batch_of_a_key_asks_its_state_once(spark):
+    store, job = _Store(), incidents.Recompute(1000)
+    job.init(store)
+    rows = [Row(at=i * 1000, ts=None, kind="incident" if i % 10 == 9 else "decision", id=i, slot=0, hold=2, links=[i % 3]) for i in range(100)]
+    for part in (rows[:50], rows[50:]):
+        out = list(job.handleInputRows((1,), iter(part), None))
+    assert store.calls == ["get", "update"] * 2 and store.timers == [1049]
+    assert len(out) == sum(1 for i in range(59, 100, 10) for d in range(i) if d % 10 != 9 and d % 3 == i % 3)

@@ -1,7 +1,7 @@
 """Recomputing around incidents, as a stream.
 
 Decisions and incidents arrive as rows of one stream, keyed by scenario.  A key's
-state is a map from each decision to its slots, links and version.  An incident
+state holds each decision with its slots, links and version.  An incident
 touches the decisions that are not over by its slot and use one of its links: each
 gets the next version and is given out; all others are locked.  A timer clears a
 key's state once the watermark is past its last event by the idle time.
@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,45 +24,50 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Recompute(StatefulProcessor):
-    """State: decision -> (slot, hold, links as text, version), and when the key's timer stands."""
+    """State: decisions as text of [id, slot, hold, links, version], the time until which they are held, and when the key's timer stands.
+
+    It is one value, read and written once for a key's rows of a batch: each call
+    of the state store costs more than what a key decides.  A timer that finds the
+    key with later rows is set anew.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.decisions = handle.getMapState("decisions", "id long", "slot int, hold int, links string, version long")
-        self.until = handle.getValueState("until", "ms long")
+        self.held = handle.getValueState("held", "decisions string, until long, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # the order of events within a batch; a decision of the same time comes before an incident
-        batch = batch.assign(_last=batch["kind"].eq("incident")).sort_values(["ts", "_last", "id"], kind="stable")
+        batch = sorted(rows, key=lambda r: (r["at"], r["kind"] == "incident", r["id"]))
+        decisions, until, timer = self.held.get() or ("[]", None, None)
+        held = {d[0]: d for d in json.loads(decisions)}
         out = []
-        for r in batch.itertuples(index=False):
-            links = sorted(int(x) for x in (r.links if r.links is not None else ()))
-            if r.kind == "decision":
-                self.decisions.updateValue((int(r.id),), (int(r.slot), int(r.hold), json.dumps(links), 0))
+        for r in batch:
+            if r["kind"] == "decision":
+                held[r["id"]] = [r["id"], r["slot"], r["hold"], sorted(r["links"] or ()), 0]
                 continue
-            for (id,), (slot, hold, own, version) in list(self.decisions.iterator()):
-                if slot + hold > r.slot and set(links) & set(json.loads(own)):
-                    self.decisions.updateValue((id,), (slot, hold, own, version + 1))
-                    out.append((key[0], int(r.id), id, version + 1, r.ts))
-        self._wait(int(batch["ts"].max().timestamp() * 1000) + self.idle_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["scenario", "incident", "id", "version", "ts"])
-
-    def _wait(self, until: int) -> None:
-        before = self.until.get()[0] if self.until.exists() else None
-        if before is None or until > before:
-            if before is not None:
-                self.handle.deleteTimer(before)
+            links = set(r["links"] or ())
+            for d in held.values():
+                if d[1] + d[2] > r["slot"] and not links.isdisjoint(d[3]):
+                    d[4] += 1
+                    out.append(Row(scenario=key[0], incident=r["id"], id=d[0], version=d[4], ts=r["ts"]))
+        last = batch[-1]["at"] // 1000 + self.idle_ms
+        until = last if until is None else max(until, last)
+        if timer is None:
+            timer = until
+            self.handle.registerTimer(timer)
+        self.held.update((json.dumps(list(held.values())), until, timer))
+        return iter(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        decisions, until, _ = self.held.get() or ("[]", None, None)
+        if until is None or until <= timerValues.getCurrentWatermarkInMs():
+            self.held.clear()
+        else:
             self.handle.registerTimer(until)
-            self.until.update((until,))
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.decisions.clear()
-        self.until.clear()
+            self.held.update((decisions, until, until))
         return iter(())
 
     def close(self) -> None:
@@ -76,9 +81,9 @@ def recomputed(events: DataFrame, idle: str = "36500 days") -> DataFrame:
     ts; what comes in a later batch is later.  A decision that comes again starts
     anew.  Rows later than ``idle`` after a key's other rows may find its state gone.
     """
-    late = events.withWatermark("ts", idle)
+    late = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", idle)
     processor = Recompute(int(pd.Timedelta(idle).total_seconds() * 1000))
-    return late.groupBy("scenario").transformWithStateInPandas(
+    return late.groupBy("scenario").transformWithState(
         statefulProcessor=processor, outputStructType=TOUCHED, outputMode="Update", timeMode="EventTime"
     )
 
