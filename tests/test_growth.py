@@ -1,11 +1,12 @@
 """Steps whose work must not grow with the square of the tables, against their plain forms."""
 
+import itertools
 import random
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from wayfold.operators import graph, polyline, spatial
+from wayfold.operators import graph, polyline, slots, spatial
 from wayfold.streaming import incidents
 
 LINKS = "link_id long, f_node long, t_node long, name string, first_dx double, first_dy double, last_dx double, last_dy double"
@@ -89,3 +90,21 @@ def test_a_batch_of_a_key_asks_its_state_once(spark):
         out = list(job.handleInputRows((1,), iter(part), None))
     assert store.calls == ["get", "update"] * 2 and store.timers == [1049]
     assert len(out) == sum(1 for i in range(59, 100, 10) for d in range(i) if d % 10 != 9 and d % 3 == i % 3)
+
+
+def test_a_scenario_passes_in_order_and_is_not_gathered(spark):
+    r = random.Random(5)
+    rows = [(i % 3, i, r.choice([*slots.KINDS, None]), r.randrange(4), 1 + r.randrange(2), r.choice([None, [], [r.randrange(4), r.randrange(4)]]), [r.randrange(4)]) for i in range(300)]
+    requests = spark.createDataFrame(rows, "scenario long, id long, kind string, slot int, hold int, route array<long>, alternative array<long>").repartition(5)
+    lanes = spark.createDataFrame([(s, k, 1 + k) for s in (0, 1, 7) for k in range(4)], "scenario long, link_id long, lanes long")
+    names = ["id", "kind", "slot", "hold", "route", "alternative"]
+    want = [(s, *d.values()) for s in (0, 1) for d in slots.resolve_one([dict(zip(names, x[1:])) for x in rows if x[0] == s], {k: 1 + k for k in range(4)})]
+    resolved = slots.resolve(requests, lanes)
+    assert sorted(map(repr, map(tuple, resolved.collect()))) == sorted(map(repr, want))
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_decisions_need_no_list_of_requests():
+    endless = ({"id": i, "kind": "general", "slot": 0, "hold": 1, "route": [0], "alternative": None} for i in itertools.count())
+    assert [d["status"] for d in itertools.islice(slots.decisions(endless, {0: 2}), 8)] == ["confirmed"] * 2 + ["delayed"] * 4 + ["advice"] * 2

@@ -7,7 +7,10 @@ scenarios are made up, not measured.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,18 +54,17 @@ def evacuation_slots(rate: Column) -> Column:
     return F.least(F.lit(5), F.greatest(F.lit(1), F.bround((2 * rate).cast("decimal(18, 6)"), 0).cast("int")))
 
 
-def resolve_one(requests: list[dict], lanes: dict[int, int], slots: int = SLOTS, used: dict | None = None) -> list[dict]:
-    """Decisions on the requests of one scenario, in order of kind and id.
+def decisions(requests: Iterable[dict], lanes: dict[int, int], slots: int = SLOTS, used: dict | None = None) -> Iterator[dict]:
+    """Decisions on the requests of one scenario, which come in order of kind and id.
 
     A request: id, kind, slot, hold, route and alternative (lists of links or
     None).  Evacuation is confirmed always and takes its links from all others.
     An emergency that does not fit takes its alternative, else the first later
     slot.  A general request may be late by two slots; else it gets advice,
-    which is never carried out.
+    which is never carried out.  What is held in between are cells, not requests.
     """
     used = dict(used or {})
     shut: set[tuple[int, int]] = set()
-    rank = {k: i for i, k in enumerate(KINDS)}
 
     def cells(route: list[int], slot: int, hold: int) -> list[tuple[int, int]]:
         return [(link, s) for link in route for s in range(slot, slot + hold)]
@@ -72,8 +74,7 @@ def resolve_one(requests: list[dict], lanes: dict[int, int], slots: int = SLOTS,
             return False
         return all(c not in shut and used.get(c, 0) < lanes.get(c[0], 0) for c in cells(route, slot, hold))
 
-    out = []
-    for r in sorted(requests, key=lambda r: (rank.get(r["kind"], len(KINDS)), r["id"])):
+    for r in requests:
         route, slot, hold = r["route"], r["slot"], r["hold"]
         status, delay = "unresolved", 0
         if route:
@@ -96,39 +97,63 @@ def resolve_one(requests: list[dict], lanes: dict[int, int], slots: int = SLOTS,
         if done and r["kind"] != "evac":
             for c in cells(route, slot + delay, hold):
                 used[c] = used.get(c, 0) + 1
-        out.append({"id": r["id"], "kind": r["kind"], "status": status, "slot": slot + delay, "delay": delay, "route": list(route or []), "done": done})
-    return out
+        yield {"id": r["id"], "kind": r["kind"], "status": status, "slot": slot + delay, "delay": delay, "route": list(route or []), "done": done}
+
+
+def resolve_one(requests: list[dict], lanes: dict[int, int], slots: int = SLOTS, used: dict | None = None) -> list[dict]:
+    """:func:`decisions` on requests in any order."""
+    rank = {k: i for i, k in enumerate(KINDS)}
+    return list(decisions(sorted(requests, key=lambda r: (rank.get(r["kind"], len(KINDS)), r["id"])), lanes, slots, used))
 
 
 RESOLVED = "scenario long, id long, kind string, status string, slot int, delay int, route array<long>, done boolean"
+_ARROW = pa.schema(
+    [("scenario", pa.int64()), ("id", pa.int64()), ("kind", pa.string()), ("status", pa.string()), ("slot", pa.int32()), ("delay", pa.int32()), ("route", pa.list_(pa.int64())), ("done", pa.bool_())]
+)
+#: Decisions that are given out together.
+AT_ONCE = 4096
 
 
 def resolve(requests: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Decisions of all scenarios, one group each; a scenario's requests are few by nature.
+    """Decisions of all scenarios, each in one task, whose rows pass in order and are not gathered.
 
     ``requests``: scenario, id, kind, slot, hold, route, alternative.  ``lanes``:
-    scenario, link_id, lanes.
+    scenario, link_id, lanes; a scenario without lanes is left out.
     """
-    listed = lanes.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("link_id", "lanes"))).alias("lanes"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = dict(pdf["lanes"].iloc[0] or {})
-        rows = [
-            {
-                "id": int(r.id),
-                "kind": r.kind,
-                "slot": int(r.slot),
-                "hold": int(r.hold),
-                "route": None if r.route is None else [int(x) for x in r.route],
-                "alternative": None if r.alternative is None else [int(x) for x in r.alternative],
-            }
-            for r in pdf.itertuples()
-        ]
-        out = pd.DataFrame(resolve_one(rows, {int(k): int(v) for k, v in table.items()}))
-        out.insert(0, "scenario", pdf["scenario"].iloc[0])
-        return out
-
-    return requests.join(listed, "scenario").groupBy("scenario").applyInPandas(work, RESOLVED)
+    links = F.expr("CAST(NULL AS ARRAY<BIGINT>)")
+    own = requests.select(
+        F.col("scenario").cast("long").alias("scenario"),
+        kind_order(F.col("kind")).alias("place"),
+        F.col("id").cast("long").alias("id"),
+        "kind",
+        *(F.col(c).cast("int").alias(c) for c in ("slot", "hold")),
+        *(F.col(c).cast("array<bigint>").alias(c) for c in ("route", "alternative")),
+    )
+    # a scenario's lanes come before its requests
+    first = lanes.select(F.col("scenario").cast("long").alias("scenario"), F.lit(-1).alias("place"), F.col("link_id").cast("long").alias("id"), F.lit(None).cast("string").alias("kind"), F.col("lanes").cast("int").alias("slot"), F.lit(0).alias("hold"), links.alias("route"), links.alias("alternative"))
+    rows = own.unionByName(first).filter("scenario IS NOT NULL").repartition("scenario").sortWithinPartitions("scenario", "place", "id")
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passing = (r for batch in batches for at in range(0, batch.num_rows, AT_ONCE) for r in batch.slice(at, AT_ONCE).to_pylist())
+        out: list[dict] = []
+        for scenario, group in groupby(passing, key=lambda r: r["scenario"]):
+            table: dict[int, int] = {}
+            for r in group:
+                if r["place"] >= 0:
+                    break
+                table[r["id"]] = r["slot"]
+            else:
+                continue
+            if not table:
+                continue
+            for d in decisions(chain([r], group), table):
+                out.append({"scenario": scenario, **d})
+                if len(out) == AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, _ARROW)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _ARROW)
+
+    return rows.mapInArrow(work, RESOLVED)
 
 
 def ledger(resolved: DataFrame) -> DataFrame:
