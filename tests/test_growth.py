@@ -4,10 +4,11 @@ import itertools
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from wayfold.operators import graph, polyline, slots, spatial
+from wayfold.operators import forest, graph, polyline, ranking, slots, spatial
 from wayfold.streaming import incidents
 
 LINKS = "link_id long, f_node long, t_node long, name string, first_dx double, first_dy double, last_dx double, last_dy double"
@@ -127,3 +128,20 @@ def test_radius_of_a_line_of_many_vertices(spark):
     line = F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.struct((i * 100).cast("double").alias("x"), (i % 2 * 40).cast("double").alias("y")))
     got = spark.range(40).select(line.alias("line")).select(polyline.least_radius(F.col("line")).alias("r"))
     assert got.filter("r > 4 AND r < 20").count() == 40
+
+
+def test_a_forest_follows_only_rows_that_count(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[i % 2], int(a + b > 1), float(a), float(b)) for i, (a, b) in enumerate(rng.random((300, 2)))]
+    df = spark.createDataFrame(rows, "k long, g string, y int, a double, b double")
+    model = forest.fit(df, ["a", "b"], "y", "k", "g", trees=5, depth=3)
+    bins, trees = model.bins(np.array([x[3:] for x in rows])), slice(2, 9)
+    whole = model.nodes(bins, trees)
+    m = ranking.draws(np.arange(300), 7, 2)
+    row, tree = np.nonzero(m)
+    row, tree, n, node = model.members(bins, trees, row, tree, m[row, tree], 3)
+    at_last = (whole >= 7) & (m > 0)
+    assert sorted(zip(row, tree)) == sorted(zip(*np.nonzero(at_last))) and len(row)
+    assert (node == whole[row, tree]).all() and (n == m[row, tree]).all()
+    # the last level has leaves only, each with its classes
+    assert (model.feature[:, 7:] == -1).all() and not np.isnan(model.value).any()

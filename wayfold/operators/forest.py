@@ -52,6 +52,19 @@ class Forest:
             right = bins[row, np.maximum(f, 0)] > cut[tree, node]
             node = np.where(inner, 2 * node + 1 + right, node)
 
+    def members(self, bins: np.ndarray, trees: slice, row: np.ndarray, tree: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+        """(row, tree, n, node) of those pairs of row and tree that have come down to nodes of a level."""
+        feature, cut, n_nodes = self.feature[trees].ravel(), self.bin[trees].ravel(), self.feature.shape[1]
+        flat, node = bins.ravel(), np.zeros(len(row), dtype=np.int64)
+        for _ in range(level):
+            at = tree * n_nodes + node
+            f = feature[at]
+            inner = f >= 0
+            if not inner.all():
+                row, tree, n, node, at, f = (v[inner] for v in (row, tree, n, node, at, f))
+            node = 2 * node + 1 + (flat[row * bins.shape[1] + f] > cut[at])
+        return row, tree, n, node
+
     def scores(self, x: np.ndarray, group: list) -> np.ndarray:
         """Mean over the trees that have not seen the row's group (over all trees, if they were grown on all groups)."""
         bins, out = self.bins(x), np.zeros(len(x))
@@ -134,7 +147,9 @@ def _level(rows: DataFrame, forest: Forest, weight: np.ndarray, level: int, dept
     n, n_nodes, n_trees = len(forest.features), forest.feature.shape[1], len(forest.feature)
     first, width = 2**level - 1, 2**level
     known = rows.sparkSession.sparkContext.broadcast((forest, weight))  # the model
-    each = n * n_bins * 2
+    # nodes of the last level are leaves, of which only the classes count
+    bare = level == depth
+    each = 2 if bare else n * n_bins * 2
 
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, _ = known.value
@@ -148,6 +163,8 @@ def _level(rows: DataFrame, forest: Forest, weight: np.ndarray, level: int, dept
             trees = slice(t0, min(n_trees, t0 + step))
             n_own = trees.stop - t0
             total = np.zeros(n_own * width * each, dtype=np.int64)
+            # a node's rows are counted by the features that it may split on
+            allowed = None if bare else chosen_features(((t0 + np.arange(n_own))[:, None] * n_nodes + first + np.arange(width)).ravel(), n, seed)
             for batch in held:
                 x = np.stack([batch.column(f"x{j}").to_numpy() for j in range(n)], axis=1)
                 k, y = batch.column("k").to_numpy(), batch.column("y").to_numpy()
@@ -155,15 +172,19 @@ def _level(rows: DataFrame, forest: Forest, weight: np.ndarray, level: int, dept
                 for a in range(0, len(k), max(1, AT_ONCE // n_own)):
                     b = slice(a, a + max(1, AT_ONCE // n_own))
                     bins = forest.bins(x[b])
-                    node = forest.nodes(bins, trees) - first
                     m = draws(k[b], n_own, t0)
                     if None not in number:
                         m = m * (own[b][:, None] != code[trees][None, :])  # a tree does not see its own group
-                    live = (node >= 0) & (m > 0)
-                    r, t = np.nonzero(live)
-                    base = (t * width + node[r, t]) * each + y[b][r]
+                    r, t = np.nonzero(m)
+                    r, t, m, node = forest.members(bins, trees, r, t, m[r, t], level)
+                    slot = t * width + node - first
+                    base = slot * each + y[b][r]
+                    if bare:
+                        np.add.at(total, base, m)
+                        continue
                     for j in range(n):
-                        total += np.bincount(base + (j * n_bins + bins[r, j]) * 2, weights=m[r, t], minlength=len(total)).astype(np.int64)
+                        some = np.flatnonzero(allowed[slot, j])
+                        np.add.at(total, base[some] + (j * n_bins + bins[r[some], j]) * 2, m[some])
             at = np.flatnonzero(total)
             slot, inner = at // each, at % each
             slot = (t0 + slot // width) * n_nodes + first + slot % width
@@ -183,13 +204,17 @@ def _level(rows: DataFrame, forest: Forest, weight: np.ndarray, level: int, dept
             own, here = slots[a : a + step], (row >= a) & (row < a + step)
             sums = np.zeros((len(own), each), dtype=np.int64)
             sums[row[here] - a, at[here]] = count[here]
+            if bare:
+                columns = [own, sums[:, 0], sums[:, 1], np.full(len(own), -1), np.zeros(len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["slot", "n0", "n1", "feature", "bin"])
+                continue
             sums = sums.reshape(len(own), n, n_bins, 2)
-            classes = sums[:, 0].sum(axis=1)
+            classes = sums.sum(axis=2).max(axis=1)  # the same by each feature that was counted
             w = weight[own // n_nodes]
             if level == 0:
                 w = classes.sum(axis=1, keepdims=True) / (2 * np.maximum(classes, 1))
             feature, cut = best_splits(own, sums, w, least_leaf, chosen_features(own, n, seed))
-            feature = np.where((level < depth) & (classes > 0).all(axis=1), feature, -1)
+            feature = np.where((classes > 0).all(axis=1), feature, -1)
             columns = [own, classes[:, 0], classes[:, 1], feature, cut]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["slot", "n0", "n1", "feature", "bin"])
 
