@@ -216,6 +216,59 @@ def test_steps_go_along_the_gradient(monkeypatch):
     assert 0.5 * 1e4 * rate * norm < high - low < 1.5 * 1e4 * rate * norm
 
 
+def test_a_step_is_the_plain_gradient_and_changes_each_table_once(monkeypatch):
+    """The same step from one softmax after the other; its cost is no multiple of the number of groups."""
+    monkeypatch.setattr(lm_score, "CACHED", 7, raising=False)
+    net, line, place = net_and_line(400)
+    line[place[::5]] = line[place[0]]  # a run of rows longer than a part
+    place = place[3:]
+    tables = {k: t.astype(np.float64) for k, t in net.tables.items()}
+    gradients = {k: np.zeros_like(t) for k, t in tables.items()}
+    for at in place:
+        around = line[at + np.array(lm_score.WINDOW)]
+        x = np.append(np.concatenate(tables["vectors"][around]), 1)
+        h = np.append(np.tanh(x @ tables["mix"]), 1)
+        spot = int(lm_score.PLACE[line[at]])
+        group, back = spot // lm_score.PER_CLASS, 0
+        softmaxes = [("classes", 0, lm_score.CLASSES, group), ("places", group * lm_score.PER_CLASS, lm_score.PER_CLASS, spot % lm_score.PER_CLASS)]
+        if line[at] >= lm_score.TAIL:
+            bucket, word = divmod(int(line[at]) - lm_score.TAIL, lm_score.PER_BUCKET)
+            softmaxes.append(("words", bucket * lm_score.PER_BUCKET, lm_score.PER_BUCKET, word))
+        for table, first, size, which in softmaxes:
+            weights = tables[table][first : first + size]
+            e = np.exp(weights @ h)
+            d = (np.arange(size) == which) - e / e.sum()
+            gradients[table][first : first + size] += d[:, None] * h
+            back = back + d @ weights
+        dx = back[:-1] * (1 - h[:-1] ** 2)
+        gradients["mix"] += x[:, None] * dx
+        np.add.at(gradients["vectors"], around, (tables["mix"][:-1] @ dx).reshape(len(around), -1))
+    steps, step = [], lm_score.Network._step
+    monkeypatch.setattr(lm_score.Network, "_step", lambda self, table, *a: (steps.append(table), step(self, table, *a)))
+    net.learn(line, place)
+    for k, g in gradients.items():
+        squares = lm_score.DAMP + (g**2).mean(axis=1)
+        assert np.allclose(net.squares[k], squares, rtol=1e-3, atol=1e-5)
+        assert np.allclose(net.tables[k], tables[k] + g * lm_score.RATE / np.sqrt(squares)[:, None], rtol=1e-3, atol=1e-4)
+    assert sorted(steps) == sorted(net.tables)  # one step of a table was as many as it had groups
+
+
+def test_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(3)
+    near = np.array([0, 1, 2, 1 << 20, (1 << 64) - 1, (1 << 64) - 3], dtype=np.uint64)  # many of the same first bits
+    for words in (np.unique(np.concatenate([near, rng.integers(0, 1 << 64, 3000, dtype=np.uint64)])), near[:1], near[4:5], near[:0]):
+        words = rng.permutation(words)
+        vocab = lm_score.Vocabulary(words, np.zeros(lm_score.IDS), np.sort(words), np.ones(len(words)))
+        hashes = np.concatenate([words, near, words + np.uint64(1), rng.integers(0, 1 << 64, 2000, dtype=np.uint64)])
+        place = {int(w): i for i, w in enumerate(words)}
+        other = lm_score.Vocabulary.other(hashes)
+        for h, o, got in zip(hashes.tolist(), other.tolist(), vocab.ids(hashes).tolist()):
+            rank = place.get(h)
+            tail = None if rank is None else rank - lm_score.FIRST
+            want = o if rank is None else 1 + rank if tail < 0 else lm_score.TAIL + tail % lm_score.BUCKETS * lm_score.PER_BUCKET + tail // lm_score.BUCKETS
+            assert got == want
+
+
 def test_gradient_steps_raise_the_likelihood():
     net = lm_score.Network.fresh(np.ones(lm_score.IDS))
     line, place = lm_score.padded(np.tile([5, 6, 7, lm_score.TAIL + 9], 50), np.array([200]))

@@ -48,15 +48,17 @@ FIRST = CLASSES * PER_CLASS - BUCKETS - 1
 WORDS = FIRST + BUCKETS * (PER_BUCKET - 1)
 TAIL = 1 + FIRST
 IDS = TAIL + BUCKETS * PER_BUCKET
+#: Bits of a hash that say where in the vocabulary to look for it.
+FIRST_BITS = 16
 #: Tokens whose counts scoring holds in memory; those of all others are joined.
 KNOWN = 1 << 16
 WINDOW, VECTOR, HIDDEN = (-2, -1, 1, 2), 16, 15
 SHARD_TOKENS, ROUNDS = 1 << 21, 3
 BATCH, RATE, DAMP, SEED = 1 << 14, 0.2, 0.1, 11
-#: Logits under this bound neither overflow nor vanish as powers of e in 32 bits.
-CALM = 80.0
-#: Tokens that are learned one after the other before more are read; bytes that are cut at a time; tokens scored at a time; rows of weights sent together.
-LEARN, BLOCK_BYTES, CHUNK, ROWS = 1 << 16, 1 << 19, 1 << 15, 1024
+#: Logits under this bound neither overflow nor vanish as powers of e in 32 bits, nor do sums of such powers times weights.
+CALM = 60.0
+#: Tokens that are learned one after the other before more are read; bytes that are cut at a time; tokens scored at a time; rows of weights sent together; rows of a product that stay in the cache.
+LEARN, BLOCK_BYTES, CHUNK, ROWS, CACHED = 1 << 16, 1 << 19, 1 << 15, 1024, 1024
 
 
 class TokenHasher:
@@ -155,6 +157,9 @@ class Vocabulary:
         self.sorted = words[order]
         self.id = np.where(tail < 0, 1 + rank, TAIL + tail % BUCKETS * PER_BUCKET + tail // BUCKETS)[order]
         self.counts, self.known, self.times = counts, known, times
+        # hashes are spread evenly: those of the same first bits are few
+        self.start = np.searchsorted(self.sorted, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(64 - FIRST_BITS))
+        self.most = int(np.diff(self.start, append=len(words)).max())
 
     @staticmethod
     def other(hashes: np.ndarray) -> np.ndarray:
@@ -164,8 +169,11 @@ class Vocabulary:
         other = self.other(hashes)
         if not len(self.sorted):
             return other
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.id[at], other)
+        at, last = self.start.take(hashes >> np.uint64(64 - FIRST_BITS)), len(self.sorted) - 1
+        for _ in range(self.most):
+            at += self.sorted.take(at, mode="clip") < hashes
+        np.minimum(at, last, out=at)
+        return np.where(self.sorted.take(at) == hashes, self.id.take(at), other)
 
     def log_shares(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log of each token's share of its id's count, less its own log count where the second result says so."""
@@ -189,6 +197,26 @@ def padded(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line, place
 
 
+def runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by id, the distinct ids, and where each begins in that order."""
+    ids = ids.astype(np.uint16)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
+    return order, ids[first], first
+
+
+def sums_of_runs(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows, of an even number of 32-bit columns; two columns at a time, as if they were one number."""
+    return np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)
+
+
+def parts_of(a: int, b: int) -> Iterator[slice]:
+    """The rows from ``a`` on before ``b``, ``CACHED`` at a time."""
+    for at in range(a, b, CACHED):
+        yield slice(at, min(at + CACHED, b))
+
+
 class Network:
     """Tables of rows of weights; the last column of an output table is a bias, as is the last row of ``mix``."""
 
@@ -218,88 +246,141 @@ class Network:
         net.words[:, -1] = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
         return net
 
-    def hidden(self, line: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the first to the last of ascending places: ids with the window's margins, neighbours' vectors, and what is made of them.
+    def _mix(self) -> np.ndarray:
+        """Rows of ``mix`` of all sides of the window next to each other, with a column of zeros after each side's."""
+        out = np.zeros((VECTOR, len(WINDOW), HIDDEN + 1), dtype=np.float32)
+        out[:, :, :-1] = self.mix[:-1].reshape(len(WINDOW), VECTOR, HIDDEN).transpose(1, 0, 2)
+        return out.reshape(VECTOR, -1)
 
-        The last column of what is made of them is ones.
-        """
-        low, n = int(place[0]), int(place[-1]) + 1 - int(place[0])
-        around = line[low + WINDOW[0] : low + n + WINDOW[-1]]
-        v = self.vectors.take(around, axis=0)
-        x = np.concatenate([v[d - WINDOW[0] : d - WINDOW[0] + n] for d in WINDOW], axis=1)
-        h = np.ones((n, HIDDEN + 1), dtype=np.float32)
-        np.tanh(x @ self.mix[:-1] + self.mix[-1], out=h[:, :-1])
-        return around, x, h
-
-    def _softmaxes(self, target: np.ndarray, h: np.ndarray) -> Iterator[tuple[slice, str, slice, np.ndarray, np.ndarray]]:
-        """(rows, table, its rows, place of each target, powers of e) of the softmaxes of sorted targets.
+    def hidden(self, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """What is made of the neighbours of all places but the margins of ``around``, which has no ids but ``ids``.
 
-        The powers are those of the logits, less each row's largest where weights are so large that they might overflow.
+        A vector's part in it depends only on its side of the window: it is worked out once an id and
+        looked up at each place.  The last column of the result is ones.
         """
-        place = PLACE[target].astype(np.int64)
-        group = place // PER_CLASS
-        calm = all(np.abs(t).sum(axis=1).max() < CALM for t in (self.classes, self.places, self.words))  # h is within 1
+        n = len(around) + WINDOW[0] - WINDOW[-1]
+        parts = self.vectors.take(ids, axis=0) @ self._mix()
+        parts[:, :HIDDEN] += self.mix[-1]
+        parts = parts.reshape(-1, HIDDEN + 1)
+        row = np.empty(IDS, dtype=np.int64)
+        row[ids] = np.arange(0, len(parts), len(WINDOW))
+        row = row.take(around)
+        h = parts.take(row[:n], axis=0)
+        for j, d in enumerate(WINDOW[1:], 1):
+            h += parts.take(row[d - WINDOW[0] : d - WINDOW[0] + n] + j, axis=0)
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        return h
+
+    def _softmaxes(self, distinct: np.ndarray, first: np.ndarray, h: np.ndarray) -> Iterator[tuple[slice, str, slice, np.ndarray, np.ndarray | None]]:
+        """(rows, table, its rows, powers of e, what was taken off the logits before) of the softmaxes of sorted targets.
+
+        ``distinct`` targets begin at the rows ``first``.  Each row's largest logit is taken off where
+        weights are so large that powers might overflow, otherwise nothing is.
+        """
+        one = np.ones(HIDDEN + 1, dtype=np.float32)
+        calm = all((np.abs(t) @ one).max() < CALM for t in (self.classes, self.places, self.words))  # h is within 1
 
-        def powers(rows: slice, weights: np.ndarray) -> np.ndarray:
-            x = h[rows] @ weights.T
+        def powers(rows: slice, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            x = h[rows] @ turned
+            off = None
             if not calm:
-                x -= x.max(axis=1, keepdims=True)
-            return np.exp(x, out=x)
-
-        whole = slice(0, len(target))
-        yield whole, "classes", slice(0, CLASSES), group, powers(whole, self.classes)
-        tail = int(np.searchsorted(target, TAIL))
-        for size, table, base, of, where in (
-            (PER_CLASS, "places", 0, group, place),
-            (PER_BUCKET, "words", tail, (target[tail:] - TAIL) // PER_BUCKET, target - TAIL),
+                off = x.max(axis=1)
+                x -= off[:, None]
+            return np.exp(x, out=x), off
+
+        turned = self.classes.T.copy()
+        for rows in parts_of(0, len(h)):
+            yield rows, "classes", slice(0, CLASSES), *powers(rows, turned)
+        tail = int(np.searchsorted(distinct, TAIL))
+        ends = np.append(first, len(h))
+        for size, table, skip, of in (
+            (PER_CLASS, "places", 0, PLACE[distinct] // PER_CLASS),
+            (PER_BUCKET, "words", tail, (distinct[tail:] - TAIL) // PER_BUCKET),
         ):
-            weights = self.tables[table]
-            edges = np.flatnonzero(np.diff(of, prepend=-1, append=-1)).tolist()
-            for a, b in zip(edges[:-1], edges[1:]):
-                first = int(of[a]) * size
-                rows, mine = slice(base + a, base + b), slice(first, first + size)
-                yield rows, table, mine, where[rows] - first, powers(rows, weights[mine])
+            turned = self.tables[table].reshape(-1, size, HIDDEN + 1).transpose(0, 2, 1).copy()
+            edges = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1, append=-1))
+            groups = of[edges[:-1]].tolist()
+            edges = ends[skip + edges].tolist()
+            for group, a, b in zip(groups, edges[:-1], edges[1:]):
+                mine = slice(group * size, group * size + size)
+                for rows in parts_of(a, b):
+                    yield rows, table, mine, *powers(rows, turned[group])
+
+    def _own(self, distinct: np.ndarray) -> np.ndarray:
+        """The sum of each target's rows of weights, whose product with ``h`` is the sum of its logits."""
+        place = PLACE[distinct]
+        own = self.classes.take(place // PER_CLASS, axis=0) + self.places.take(place, axis=0)
+        tail = int(np.searchsorted(distinct, TAIL))
+        own[tail:] += self.words.take(distinct[tail:] - TAIL, axis=0)
+        return own
 
     def log_probs(self, line: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of the token at each of ascending places, from its neighbours."""
-        out = np.empty(len(place))
+        out, one = np.empty(len(place)), np.ones(max(CLASSES, PER_CLASS, PER_BUCKET), dtype=np.float32)
         for at in range(0, len(place), CHUNK):
             part = place[at : at + CHUNK]
-            order = np.argsort(line[part].astype(np.uint16), kind="stable")
-            odds = np.zeros(len(part))
-            _, _, h = self.hidden(line, part)
-            h = h.take(part[order] - part[0], axis=0)
-            for rows, _, _, which, x in self._softmaxes(line[part[order]], h):
-                odds[rows] += np.log(np.maximum(x[np.arange(len(which)), which], 1e-37) / x.sum(axis=1))
+            around = line[part[0] + WINDOW[0] : part[-1] + 1 + WINDOW[-1]]
+            order, distinct, first = runs(line[part])
+            h = self.hidden(around, runs(around)[1]).take(part[order] - part[0], axis=0)
+            sums = {table: np.ones(len(part), dtype=np.float32) for table in ("classes", "places", "words")}
+            odds = np.einsum("ij,ij->i", h, np.repeat(self._own(distinct), np.diff(first, append=len(h)), axis=0)).astype(np.float64)
+            for rows, table, _, x, off in self._softmaxes(distinct, first, h):
+                np.matmul(x, one[: x.shape[1]], out=sums[table][rows])
+                if off is not None:
+                    odds[rows] -= off
+            for x in sums.values():
+                odds -= np.log(x)
             out[at + order] = odds
         return out
 
     def learn(self, line: np.ndarray, place: np.ndarray) -> None:
         """One step of gradient ascent on ascending places, each row of weights at a rate by the root of its squares."""
-        order = np.argsort(line[place].astype(np.uint16), kind="stable")
-        rows_of = place[order] - place[0]
-        around, x, h = self.hidden(line, place)
+        low, n = int(place[0]), int(place[-1]) + 1 - int(place[0])
+        around = line[low + WINDOW[0] : low + n + WINDOW[-1]]
+        by_id, ids, at_id = runs(around)
+        order, distinct, first = runs(line[place])
+        rows_of = place[order] - low
+        h = self.hidden(around, ids)
         sorted_h = h.take(rows_of, axis=0)
-        back = np.zeros_like(sorted_h)
-        for rows, table, mine, which, d in self._softmaxes(line[place[order]], sorted_h):
-            d *= -1 / d.sum(axis=1, keepdims=True)
-            d[np.arange(len(which)), which] += 1
-            weights = self.tables[table][mine]
-            back[rows] += d @ weights
-            self._step(table, mine, d.T @ sorted_h[rows])
-        dh = np.zeros_like(h)
-        dh[rows_of] = back
-        dx = dh[:, :-1] * (1 - h[:, :-1] ** 2)
-        back = dx @ self.mix[:-1].T
-        self._step("mix", slice(0, len(self.mix)), np.concatenate([x.T @ dx, dx.sum(axis=0)[None]]))
-        change = np.zeros((len(around), VECTOR), dtype=np.float32)  # of the vector at each place
-        for j, d in enumerate(WINDOW):
-            change[d - WINDOW[0] : d - WINDOW[0] + len(h)] += back[:, j * VECTOR : (j + 1) * VECTOR]
-        ids = around.astype(np.uint16)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.diff(ids.astype(np.int32), prepend=-1))
-        self._step("vectors", ids[first], np.add.reduceat(change.take(order, axis=0), first, axis=0))
+        back = np.zeros((len(order) + 1, HIDDEN + 1), dtype=np.float32)  # the last row is for places that have no target
+        back[:-1] = np.repeat(self._own(distinct), np.diff(first, append=len(order)), axis=0)
+        # biases are no part of what goes back: their column gives the powers' sums instead
+        names = ("classes", "places", "words")
+        with_sums = {table: self.tables[table].copy() for table in names}
+        for t in with_sums.values():
+            t[:, -1] = 1
+        gradients = {table: np.zeros_like(self.tables[table]) for table in names}
+        for rows, table, mine, x, _ in self._softmaxes(distinct, first, sorted_h):
+            mean = x @ with_sums[table][mine]
+            scale = -1 / mean[:, -1:]
+            mean *= scale
+            back[rows] += mean
+            gradients[table][mine] += x.T @ (sorted_h[rows] * scale)
+        said = sums_of_runs(sorted_h, first)
+        tail = int(np.searchsorted(distinct, TAIL))
+        gradients["words"][distinct[tail:] - TAIL] += said[tail:]
+        of = PLACE[distinct]
+        edges = np.flatnonzero(np.diff(of.astype(np.int32), prepend=-1))
+        of, said = of[edges], sums_of_runs(said, edges)
+        gradients["places"][of] += said
+        np.add.at(gradients["classes"], of // PER_CLASS, said)
+        for table in names:
+            self._step(table, slice(None), gradients[table])
+
+        row_at = np.full(n, len(order))
+        row_at[rows_of] = np.arange(len(order))
+        span = WINDOW[-1] - WINDOW[0]
+        dx = np.zeros((n + 2 * span, HIDDEN + 1), dtype=np.float32)  # with margins, where nothing changes
+        np.multiply(back.take(row_at, axis=0), 1 - h * h, out=dx[span:-span])  # the last column is zeros
+        # at each place of ``around``, those of the targets that it is a neighbour of
+        around_it = dx.take((np.arange(len(around)) + span + WINDOW[0])[:, None] - np.array(WINDOW), axis=0).reshape(len(around), -1)
+        change = around_it @ self._mix().T
+        vectors = self.vectors.take(around, axis=0)
+        of_mix = sum(vectors[part].T @ around_it[part] for part in parts_of(0, len(around)))
+        of_mix = of_mix.reshape(VECTOR, len(WINDOW), HIDDEN + 1)[:, :, :-1].transpose(1, 0, 2).reshape(-1, HIDDEN)
+        self._step("mix", slice(None), np.concatenate([of_mix, (np.ones(len(dx), dtype=np.float32) @ dx)[None, :-1]]))
+        self._step("vectors", ids, sums_of_runs(change.take(by_id, axis=0), at_id))
 
     def _step(self, table: str, rows, gradient: np.ndarray) -> None:
         squares = self.squares[table][rows] + np.einsum("ij,ij->i", gradient, gradient) / gradient.shape[1]
