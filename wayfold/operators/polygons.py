@@ -8,9 +8,11 @@ where they meet, by a grid join, and those stay that are covered on one side onl
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators import room
 from wayfold.operators.line_joins import _listed
 from wayfold.operators.polyline import at_distance, hypot, length, nearest_on_line, nearest_on_segment, ring_edges, segments
 from wayfold.operators.spatial import _cell, finite, spread
@@ -168,9 +170,14 @@ def medial_width(df: DataFrame, line: str, rings: str, x: str, y: str, obstacles
     median of both, and of obstacle less edge, 2 digits.  The first of these that
     holds is the status, without numbers: no area, not inside, too short, too few
     samples; else ok.
+
+    Rows are measured together in arrays; those with a null or a coordinate that is
+    not finite, of which there are few, by the same steps in Spark's functions.
     """
-    area, path, edges = F.col(rings), F.col(line), F.col("_edges")
-    out = df.withColumn("_edges", area_edges(area))  # once a row, not once a sample
+    path, edges, found = F.col(line), F.col("_edges"), F.col("_found")
+    out = df.withColumn("_found", _rooms(line, rings, x, y, obstacles))
+    area = F.when(found["status"].isNull(), F.col(rings))
+    out = out.withColumn("_edges", area_edges(area))  # once a row, not once a sample
     out = out.withColumn("_part", F.when(F.size(edges) > 0, _nearest_stretch(path, edges, F.col(x), F.col(y))))
     out = out.withColumn("_own", F.when(F.col("_part").isNotNull(), stretch_of(path, F.col("_part")))).withColumn("_long", length(F.col("_own")) + SLACK)
     n = F.floor(F.col("_long") - 2 * TRIM).cast("int")
@@ -192,16 +199,29 @@ def medial_width(df: DataFrame, line: str, rings: str, x: str, y: str, obstacles
         .when(F.size("_at") < LEAST_SAMPLES, "too few samples")
         .otherwise("ok")
     )
-    out = out.withColumn("status", status).withColumn("n_samples", F.when(F.col("status") == "ok", F.size("_at")))
+    out = out.withColumn("status", F.coalesce(found["status"], status))
+    out = out.withColumn("n_samples", F.coalesce(found["n"], F.when(F.col("status") == "ok", F.size("_at"))))
     for name, field in (("width", "w"), ("deducted", "v"), ("gap", "g")):
         if field != "w" and not obstacles:
             continue
         out = out.withColumn("_s", F.when(F.col("status") == "ok", F.array_sort(F.col("_m")[field])))
         size = F.size("_s")
         p10 = F.greatest(F.lit(1), F.floor(size / 10).cast("int"))  # one less than the tenth, counted from 0
-        for label, at in (("least", F.lit(1)), ("p10", p10), ("median", F.floor(size / 2).cast("int") + 1)):
-            out = out.withColumn(f"{name}_{label}", F.when(size > 0, F.floor(F.element_at("_s", at) * 100 + 0.5) / 100))
-    return out.drop("_edges", "_part", "_own", "_long", "_p", "_e", "_at", "_m", "_s")
+        for k, (label, at) in enumerate((("least", F.lit(1)), ("p10", p10), ("median", F.floor(size / 2).cast("int") + 1))):
+            value = F.coalesce(found[f"{field}{k}"], F.when(size > 0, F.element_at("_s", at)))
+            out = out.withColumn(f"{name}_{label}", F.floor(value * 100 + 0.5) / 100)
+    return out.drop("_found", "_edges", "_part", "_own", "_long", "_p", "_e", "_at", "_m", "_s")
+
+
+def _rooms(line: str, rings: str, x: str, y: str, obstacles: str | None) -> Column:
+    """The numbers of rows whose lists and coordinates are all known and finite; see :func:`room.measured`."""
+    fields = ", ".join(f"{f}{k}: double" for f in room.FIELDS for k in range(3))
+
+    @F.arrow_udf(f"struct<status: string, n: int, {fields}>")
+    def rooms(line: pa.Array, rings: pa.Array, x: pa.Array, y: pa.Array, *walls: pa.Array) -> pa.Array:
+        return room.measured(line, rings, x, y, walls[0] if walls else None, TRIM, LEAST_LENGTH, LEAST_SAMPLES, SLACK)
+
+    return rooms(*(F.col(c) for c in (line, rings, x, y, obstacles) if c))
 
 
 # ---------------------------------------------------------------- joins

@@ -104,6 +104,7 @@ def medial_widths(spark: SparkSession, sf: str) -> DataFrame:
     beside = F.array(_box(0.0, 20.0, long, 28.0))
     rings = F.when(k % 10 == 0, F.array().cast(_NO_RINGS)).when(k % 10 == 1, beside).otherwise(area)
     line, wall = F.array(_point(-5.0, 3.0), _point(100.0, 3.0)), F.array(_point(0.0, 4.0), _point(100.0, 4.0))
-    rows = table(spark, sf, "part").select("p_partkey", line.alias("line"), rings.alias("rings"), F.array(wall).alias("walls"), F.lit(7.0).alias("x"), F.lit(3.0).alias("y"))
-    out = polygons.medial_width(spread(rows, "p_partkey"), "line", "rings", "x", "y", "walls")
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey")  # dealt before the shapes are made
+    rows = rows.select("p_partkey", line.alias("line"), rings.alias("rings"), F.array(wall).alias("walls"), F.lit(7.0).alias("x"), F.lit(3.0).alias("y"))
+    out = polygons.medial_width(rows, "line", "rings", "x", "y", "walls")
     return out.drop("line", "rings", "walls", "x", "y")
